@@ -133,14 +133,16 @@ def rate_response(
 
 
 _MEASURES = Measures(
-    moments=("utilization_rate", "borrow_apr", "delta_u_real", "_slope"),
+    levels=("utilization_rate", "borrow_apr"),
+    changes=("delta_u_real", "_slope"),
     sums=(*_FLOWS, "_supplied"),
     highs=("utilization_rate", "borrow_apr"),
     pairs=tuple((f"contrib_u_from_{name}", "delta_u_real") for name in _SHARED),
     nullable=frozenset({"borrow_apr"}),
 )
 _ALL_TIME = Measures(
-    moments=("utilization_rate", "borrow_apr", "delta_u_real"),
+    levels=("utilization_rate", "borrow_apr"),
+    changes=("delta_u_real",),
     highs=("utilization_rate", "borrow_apr"),
     nullable=frozenset({"borrow_apr"}),
 )

@@ -68,7 +68,7 @@ def regime_flags(ledger: DataFrame) -> DataFrame:
 
 
 _MEASURES = Measures(
-    moments=("utilization_rate", "borrow_apr"),
+    levels=("utilization_rate", "borrow_apr"),
     sums=(*_INTENSITIES.values(), "interest_assets", "_borrowed"),
     nullable=frozenset({"borrow_apr"}),
 )

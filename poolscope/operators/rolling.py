@@ -14,9 +14,11 @@ once as carried one width ahead, so both meet in one group, and the two frames s
 block is at most a day wide; a longer window is a whole number of blocks, whose totals go through the
 same two-block step. No group holds a whole market at row level.
 
-Mean, variance and covariance travel as (count, mean, second moment) and merge by the pairwise formula.
-Runs of merged cells are centred on a member of the run, so constant series give exactly zero and long
-ones do not cancel. Nulls are skipped, as is the usual rule for rolling statistics.
+Two kinds of column need a variance. Levels (utilization, APR) sit far from zero, so they travel as
+(count, mean, second moment), merge by the pairwise formula, and runs of cells are centred on a member
+of the run: constant series give exactly zero and long ones do not cancel. Changes (steps, shares)
+scatter around zero, so their plain sums of powers and products are enough and merge by adding.
+Nulls are skipped, as is the usual rule for rolling statistics.
 """
 
 from __future__ import annotations
@@ -37,125 +39,119 @@ Output = tuple[str, str]  # column name, SQL expression
 
 @dataclass(frozen=True)
 class Measures:
-    """Columns to aggregate. ``pairs`` (for covariance) must be free of nulls, and so must every
-    column not listed in ``nullable``."""
+    """Columns to aggregate.
 
-    moments: tuple[str, ...] = ()
+    ``levels`` get mean and variance, ``changes`` sum, mean and variance, ``pairs`` of changes a
+    covariance, ``sums`` a sum and mean, ``highs`` and ``lows`` the extremes. Columns not listed in
+    ``nullable`` must be free of nulls, and so must all changes.
+    """
+
+    levels: tuple[str, ...] = ()
+    changes: tuple[str, ...] = ()
+    pairs: tuple[tuple[str, str], ...] = ()
     sums: tuple[str, ...] = ()
     highs: tuple[str, ...] = ()
     lows: tuple[str, ...] = ()
-    pairs: tuple[tuple[str, str], ...] = ()
     nullable: frozenset[str] = field(default_factory=frozenset)
 
     def __post_init__(self) -> None:
-        bad = {c for pair in self.pairs for c in pair} & self.nullable
-        if bad:
-            raise ValueError(f"covariance needs columns without nulls, not {sorted(bad)}")
+        paired = {c for pair in self.pairs for c in pair}
+        if bad := self.nullable & {*self.changes, *paired}:
+            raise ValueError(f"variance of changes needs columns without nulls, not {sorted(bad)}")
 
     @property
-    def means(self) -> list[str]:
-        return list(dict.fromkeys([*self.moments, *[c for pair in self.pairs for c in pair]]))
+    def counted(self) -> list[str]:
+        return sorted({*self.levels, *self.sums} & self.nullable)
 
     @property
-    def counted(self) -> list[str]:
-        used = {*self.means, *self.sums}
-        return sorted(used & self.nullable)
+    def summed(self) -> list[str]:
+        return list(dict.fromkeys([*self.sums, *self.changes, *[c for pair in self.pairs for c in pair]]))
 
     def count(self, column: str) -> str:
         return f"n_{column}" if column in self.counted else "n"
 
+    @property
+    def counts(self) -> list[str]:
+        return ["n", *[f"n_{c}" for c in self.counted]]
+
+    @property
+    def added(self) -> dict[str, str]:
+        """Parts that merge by adding, with the row expression they sum."""
+        return {
+            **{f"s_{c}": c for c in self.summed},
+            **{f"q_{c}": f"{c} * {c}" for c in self.changes},
+            **{f"x_{x}_{y}": f"{x} * {y}" for x, y in self.pairs},
+        }
+
+    @property
+    def extremes(self) -> dict[str, tuple[str, str]]:
+        return {
+            **{f"h_{c}": ("max", "greatest") for c in self.highs},
+            **{f"l_{c}": ("min", "least") for c in self.lows},
+        }
+
     def parts(self) -> list[str]:
         """Names of the partial aggregates, in a fixed order."""
-        return [
-            "n",
-            *[f"n_{c}" for c in self.counted],
-            *[f"s_{c}" for c in self.sums],
-            *[f"h_{c}" for c in self.highs],
-            *[f"l_{c}" for c in self.lows],
-            *[f"m_{c}" for c in self.means],
-            *[f"v_{c}" for c in self.moments],
-            *[f"c_{x}_{y}" for x, y in self.pairs],
-        ]
+        moments = [f"{k}_{c}" for c in self.levels for k in ("m", "v")]
+        return [*self.counts, *self.added, *self.extremes, *moments]
 
     def from_rows(self, over: str = "", prefix: str = "") -> list[str]:
         """Partial aggregates of plain rows, as aggregates or (with ``over``) as window functions."""
-        n = lambda c: f"count({c if c in self.counted else 1}){over}"
         out = {"n": f"count(1){over}"}
         out |= {f"n_{c}": f"count({c}){over}" for c in self.counted}
-        out |= {f"s_{c}": f"sum({c}){over}" for c in self.sums}
-        out |= {f"h_{c}": f"max({c}){over}" for c in self.highs}
-        out |= {f"l_{c}": f"min({c}){over}" for c in self.lows}
-        out |= {f"m_{c}": f"avg({c}){over}" for c in self.means}
-        out |= {f"v_{c}": f"var_pop({c}){over} * {n(c)}" for c in self.moments}
-        out |= {f"c_{x}_{y}": f"covar_pop({x}, {y}){over} * count(1){over}" for x, y in self.pairs}
+        out |= {part: f"sum({expr}){over}" for part, expr in self.added.items()}
+        out |= {part: f"{agg}({part[2:]}){over}" for part, (agg, _) in self.extremes.items()}
+        for c in self.levels:
+            counted = c if c in self.counted else 1
+            out[f"m_{c}"] = f"avg({c}){over}"
+            out[f"v_{c}"] = f"var_pop({c}){over} * count({counted}){over}"
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
     def merged(self, a: str, b: str, prefix: str = "") -> list[str]:
         """Partial aggregates of the rows behind ``a`` and ``b`` together (either may be absent)."""
-        na = lambda c: f"coalesce({a}{self.count(c)}, 0)"
-        nb = lambda c: f"coalesce({b}{self.count(c)}, 0)"
-
-        def pairwise(c: str, part: str, both: str) -> str:
-            return (
-                f"CASE WHEN {nb(c)} = 0 THEN {a}{part} WHEN {na(c)} = 0 THEN {b}{part} ELSE {both} END"
+        out = {k: f"coalesce({a}{k}, 0) + coalesce({b}{k}, 0)" for k in self.counts}
+        for part in self.added:
+            if part[2:] in self.nullable:
+                out[part] = f"coalesce({a}{part} + {b}{part}, {a}{part}, {b}{part})"
+            else:
+                out[part] = f"coalesce({a}{part}, 0D) + coalesce({b}{part}, 0D)"
+        for part, (_, pick) in self.extremes.items():
+            out[part] = f"{pick}({a}{part}, {b}{part})"
+        for c in self.levels:
+            k = self.count(c)
+            gap = f"({b}m_{c} - {a}m_{c})"
+            weight = f"({b}{k} / nullif({a}{k} + {b}{k}, 0))"
+            # coalesce: with one side absent (its mean is null) the other side stands alone.
+            out[f"m_{c}"] = f"coalesce({a}m_{c} + {gap} * {weight}, {a}m_{c}, {b}m_{c})"
+            out[f"v_{c}"] = (
+                f"coalesce({a}v_{c} + {b}v_{c} + {gap} * {gap} * ({a}{k} * {weight}), {a}v_{c}, {b}v_{c})"
             )
-
-        out = {k: f"coalesce({a}{k}, 0) + coalesce({b}{k}, 0)" for k in ["n", *[f"n_{c}" for c in self.counted]]}
-        for c in self.sums:
-            out[f"s_{c}"] = f"coalesce({a}s_{c} + {b}s_{c}, {a}s_{c}, {b}s_{c})"
-        for c in self.highs:
-            out[f"h_{c}"] = f"greatest({a}h_{c}, {b}h_{c})"
-        for c in self.lows:
-            out[f"l_{c}"] = f"least({a}l_{c}, {b}l_{c})"
-        share = lambda c: f"({na(c)} + {nb(c)})"
-        gap = lambda c: f"({b}m_{c} - {a}m_{c})"
-        for c in self.means:
-            out[f"m_{c}"] = pairwise(c, f"m_{c}", f"{a}m_{c} + {gap(c)} * ({nb(c)} / {share(c)})")
-        for c in self.moments:
-            spread = f"{gap(c)} * {gap(c)} * ({na(c)} * ({nb(c)} / {share(c)}))"
-            out[f"v_{c}"] = pairwise(c, f"v_{c}", f"{a}v_{c} + {b}v_{c} + {spread}")
-        for x, y in self.pairs:
-            spread = f"{gap(x)} * {gap(y)} * ({na(x)} * ({nb(x)} / {share(x)}))"
-            part = f"c_{x}_{y}"
-            out[part] = pairwise(x, part, f"{a}{part} + {b}{part} + {spread}")
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
     def centres(self, mask: str, over: str, prefix: str) -> list[str]:
-        """For each mean, the first member of the run seen so far: the constant the run is centred on."""
+        """For each level, the first member of the run seen so far: the constant the run is centred on."""
         return [
-            f"first_value(CASE WHEN {mask} THEN m_{c} END) IGNORE NULLS {over} AS {prefix}m_{c}"
-            for c in self.means
+            f"first_value(CASE WHEN {mask} THEN m_{c} END) IGNORE NULLS {over} AS {prefix}{c}"
+            for c in self.levels
         ]
 
     def run(self, mask: str, over: str, centre: str, prefix: str) -> list[str]:
         """Running sums over masked partial aggregates; :meth:`settled` turns them into parts."""
         pick = lambda expr: f"CASE WHEN {mask} THEN {expr} END"
-        dev = lambda c: f"(m_{c} - {centre}m_{c})"
-        out = {"n": f"sum({pick('n')}) {over}"}
-        out |= {f"n_{c}": f"sum({pick(f'n_{c}')}) {over}" for c in self.counted}
-        out |= {f"s_{c}": f"sum({pick(f's_{c}')}) {over}" for c in self.sums}
-        out |= {f"h_{c}": f"max({pick(f'h_{c}')}) {over}" for c in self.highs}
-        out |= {f"l_{c}": f"min({pick(f'l_{c}')}) {over}" for c in self.lows}
-        for c in self.means:
-            out[f"m_{c}"] = f"sum({pick(f'{self.count(c)} * {dev(c)}')}) {over}"
-        for c in self.moments:
-            out[f"v_{c}"] = f"sum({pick(f'v_{c} + {self.count(c)} * {dev(c)} * {dev(c)}')}) {over}"
-        for x, y in self.pairs:
-            out[f"c_{x}_{y}"] = f"sum({pick(f'c_{x}_{y} + n * {dev(x)} * {dev(y)}')}) {over}"
+        out = {k: f"sum({pick(k)}) {over}" for k in [*self.counts, *self.added]}
+        out |= {k: f"{agg}({pick(k)}) {over}" for k, (agg, _) in self.extremes.items()}
+        for c in self.levels:
+            n, dev = self.count(c), f"(m_{c} - {centre}{c})"
+            out[f"m_{c}"] = f"sum({pick(f'{n} * {dev}')}) {over}"
+            out[f"v_{c}"] = f"sum({pick(f'v_{c} + {n} * {dev} * {dev}')}) {over}"
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
     def settled(self, run: str, centre: str, prefix: str) -> list[str]:
-        n = lambda c: f"{run}{self.count(c)}"
-        some = lambda c, expr: f"CASE WHEN {n(c)} > 0 THEN {expr} END"
-        plain = ["n", *[f"n_{c}" for c in self.counted], *[f"s_{c}" for c in self.sums],
-                 *[f"h_{c}" for c in self.highs], *[f"l_{c}" for c in self.lows]]
-        out = {k: f"{run}{k}" for k in plain}
-        for c in self.means:
-            out[f"m_{c}"] = some(c, f"{centre}m_{c} + {run}m_{c} / {n(c)}")
-        for c in self.moments:
-            out[f"v_{c}"] = some(c, f"greatest({run}v_{c} - {run}m_{c} * ({run}m_{c} / {n(c)}), 0D)")
-        for x, y in self.pairs:
-            out[f"c_{x}_{y}"] = some(x, f"{run}c_{x}_{y} - {run}m_{x} * ({run}m_{y} / {run}n)")
+        out = {k: f"{run}{k}" for k in [*self.counts, *self.added, *self.extremes]}
+        for c in self.levels:
+            n = f"nullif({run}{self.count(c)}, 0)"
+            out[f"m_{c}"] = f"{centre}{c} + {run}m_{c} / {n}"
+            out[f"v_{c}"] = f"CASE WHEN {n} > 0 THEN greatest({run}v_{c} - {run}m_{c} * ({run}m_{c} / {n}), 0D) END"
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
 
@@ -168,15 +164,16 @@ class Window:
     measures: Measures
     prefix: str
 
+    def _n(self, c: str) -> str:
+        return self.prefix + self.measures.count(c)
+
     def sum(self, c: str) -> str:
-        if c in self.measures.sums:
-            return f"{self.prefix}s_{c}"
-        return f"({self.prefix}m_{c} * {self.prefix}{self.measures.count(c)})"
+        return f"{self.prefix}s_{c}"
 
     def mean(self, c: str) -> str:
-        if c in self.measures.means:
+        if c in self.measures.levels:
             return f"{self.prefix}m_{c}"
-        return f"({self.prefix}s_{c} / nullif({self.prefix}{self.measures.count(c)}, 0))"
+        return f"({self.prefix}s_{c} / nullif({self._n(c)}, 0))"
 
     def max(self, c: str) -> str:
         return f"{self.prefix}h_{c}"
@@ -184,20 +181,23 @@ class Window:
     def min(self, c: str) -> str:
         return f"{self.prefix}l_{c}"
 
-    def _per_degree(self, c: str, part: str) -> str:
-        n = f"{self.prefix}{self.measures.count(c)}"
-        return f"CASE WHEN {n} > 1 THEN {self.prefix}{part} / ({n} - 1) ELSE 0D END"
-
     def var(self, c: str) -> str:
         """Sample variance, 0 for fewer than two values."""
-        return self._per_degree(c, f"v_{c}")
+        n = self._n(c)
+        spread = f"{self.prefix}v_{c}"
+        if c not in self.measures.levels:
+            s = self.sum(c)
+            spread = f"greatest({self.prefix}q_{c} - {s} * ({s} / {n}), 0D)"
+        return f"CASE WHEN {n} > 1 THEN {spread} / ({n} - 1) ELSE 0D END"
 
     def std(self, c: str) -> str:
         return f"sqrt({self.var(c)})"
 
     def cov(self, x: str, y: str) -> str:
         """Sample covariance, 0 for fewer than two rows."""
-        return self._per_degree(x, f"c_{x}_{y}")
+        n = f"{self.prefix}n"
+        joint = f"{self.prefix}x_{x}_{y} - {self.sum(x)} * ({self.sum(y)} / {n})"
+        return f"CASE WHEN {n} > 1 THEN ({joint}) / ({n} - 1) ELSE 0D END"
 
 
 def block_width(seconds: int, widest: int = WIDEST_BLOCK) -> int:
