@@ -34,13 +34,18 @@ def _cut(column: str, by: int) -> Column:
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], *, part: Sequence[str]
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    *,
+    part: Sequence[str],
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles per ``part`` with linear interpolation, as columns ``p<percent>``.
 
     Equal values are counted first, the counts are summed along the value order by the bounded prefix
     sums of :mod:`poolscope.operators.ordered`, and each quantile reads the one or two values whose
-    ranks enclose it. Nulls are left out.
+    ranks enclose it. Nulls are left out. ``totals`` may pass the counts per part (``_total``) if known.
     """
     part = list(part)
     counts = (
@@ -60,7 +65,8 @@ def quantiles(
             [("_top", _cut("_high", _GROUP))],
         ],
     )
-    totals = counts.groupBy(*part).agg(F.sum("_n").alias("_total"))
+    if totals is None:
+        totals = counts.groupBy(*part).agg(F.sum("_n").alias("_total"))
     placed = ranked.join(totals, part)
     wanted = []
     for p in probabilities:
@@ -95,4 +101,5 @@ def describe(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    return basic.join(quantiles(long, "value", probabilities, part=keys), keys)
+    totals = basic.select(*keys, F.col("count").alias("_total"))
+    return basic.join(quantiles(long, "value", probabilities, part=keys, totals=totals), keys)

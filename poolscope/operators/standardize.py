@@ -53,6 +53,23 @@ def standardize_event(df: DataFrame, event: str, *, amount_type: str = "bigint")
     return _signed(_tagged(df, event), amount_type)
 
 
+def raw_ledger_together(events: DataFrame, *, amount_type: str = "bigint") -> DataFrame:
+    """The ledger from one frame of all kinds, tagged with ``event_type``."""
+    pick = lambda values: "CASE event_type " + " ".join(f"WHEN '{e}' THEN {v}" for e, v in values.items()) + " END"
+    tagged = events.selectExpr(
+        "id AS market_id",
+        *_POSITION,
+        "tx_hash",
+        "event_type",
+        f"{pick({e: repr(f'{e}.{a}') for e, a in AMOUNT_COLUMN.items()})} AS _source",
+        f"{pick(AMOUNT_COLUMN)} AS _amount",
+        *[f"{pick({e: s[k] for e, s in SIGNS.items()})} AS _sign{k}" for k in range(len(_DELTAS))],
+        "event_type = 'AccrueInterest' AS _sets_rate",
+        "CAST(prevBorrowRate AS DOUBLE) AS _rate",
+    )
+    return _signed(tagged, amount_type)
+
+
 def raw_ledger(
     events: dict[str, DataFrame], *, spark: SparkSession | None = None, amount_type: str = "bigint"
 ) -> DataFrame:

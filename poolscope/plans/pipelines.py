@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from poolscope.operators.attribution import attribution
 from poolscope.operators.checks import integrity_report
 from poolscope.operators.indicators import market_indicators
-from poolscope.operators.standardize import raw_ledger
+from poolscope.operators.standardize import raw_ledger_together
 from poolscope.operators.state import state_frame
 from poolscope.operators.ticks import aggregate_ledger
 from poolscope.schemas import LEDGER
@@ -20,7 +20,7 @@ Markets = str | Iterable[str] | None
 
 def ledger_state(store: EventStore, market_ids: Markets = None, **options) -> DataFrame:
     """Scan, standardize, running state; keeps the previous-row columns for the steps that follow."""
-    return state_frame(raw_ledger(store.read_all(market_ids), spark=store.spark), **options)
+    return state_frame(raw_ledger_together(store.read_together(market_ids)), **options)
 
 
 def enriched_ledger_dataset(store: EventStore, market_ids: Markets = None, **options) -> DataFrame:

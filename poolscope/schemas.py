@@ -62,6 +62,12 @@ def event_schema(event: str) -> T.StructType:
     return _struct(*_BASE, *[(name, "string", False) for name in extra])
 
 
+def all_events_schema() -> T.StructType:
+    """The columns of all kinds side by side, for a scan of all event tables at once."""
+    extra = ["prevBorrowRate", *dict.fromkeys(AMOUNT_COLUMN.values())]
+    return _struct(*_BASE, *[(name, "string", True) for name in extra])
+
+
 _KEYS = [("market_id", "string", False), *_BASE[1:], ("event_type", "string", False)]
 _DELTAS = [
     ("delta_supply_assets", "bigint", False),

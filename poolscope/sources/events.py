@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.schemas import EVENTS, event_schema
+from poolscope.schemas import EVENTS, all_events_schema, event_schema
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,9 @@ class EventStore:
 
     def path(self, event: str) -> str:
         event_schema(event)
+        return self._glob(event)
+
+    def _glob(self, event: str) -> str:
         return f"{self.root.rstrip('/')}/{self.layout.format(event=event)}"
 
     def read(
@@ -62,6 +65,32 @@ class EventStore:
         wanted = [columns] if isinstance(columns, str) else list(columns)
         return df.select(*wanted)
 
+    def read_together(self, market_ids: str | Iterable[str] | None = None) -> DataFrame:
+        """All eight event kinds in one scan, with the kind (from the file's folder) as ``event_type``.
+
+        The same rows as :meth:`read_all`, for the pipelines: one scan keeps the plan eight times
+        smaller. A kind's own columns are null on the other kinds' rows.
+        """
+        schema = all_events_schema()
+        try:
+            df = self.spark.read.schema(schema).parquet(self._glob("*"))
+        except AnalysisException as problem:
+            if not self.allow_missing or problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema.add("event_type", "string"))
+        folders = self.layout.split("/")
+        place = next(k for k, f in enumerate(folders) if "{event}" in f)
+        before, after = folders[place].split("{event}")
+        folder = F.substring_index(
+            F.substring_index(F.col("_metadata.file_path"), "/", place - len(folders)), "/", 1
+        )
+        kind = F.substring(folder, F.lit(len(before) + 1), F.length(folder) - len(before) - len(after))
+        df = df.withColumn("event_type", kind).where(F.col("event_type").isin(*EVENTS))
+        if market_ids is not None:
+            ids = [market_ids] if isinstance(market_ids, str) else list(market_ids)
+            df = df.where(F.col("id").isin(ids))
+        return df
+
     def read_all(self, market_ids: str | Iterable[str] | None = None) -> dict[str, DataFrame]:
         """All eight event tables, for some markets or for all of them."""
         ids = market_ids if market_ids is None or isinstance(market_ids, str) else list(market_ids)
