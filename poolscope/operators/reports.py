@@ -72,7 +72,7 @@ def time_series(ledger: DataFrame, rows: int = 100) -> DataFrame:
         .limit(rows)
         .select(
             "market_id", "block_number", "log_index",
-            F.timestamp_millis(F.col("block_timestamp") * 1_000).cast("timestamp_ntz").alias("timestamp"),
+            F.timestamp_millis(F.col("block_timestamp") * 1_000).alias("timestamp"),
             "utilization_rate", "borrow_apy", "supply_apy",
             "total_supplied_assets", "outstanding_borrow_assets",
         )

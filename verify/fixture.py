@@ -23,7 +23,10 @@ _written: dict[tuple[str, str], EventStore] = {}
 def lending_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lending events in one frame, amounts as decimal or hex strings."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sec = F.expr("unix_micros(cast(cast(ts as string) as timestamp)) div 1000000")
+    # Plain wall-clock arithmetic: the result does not depend on the session's time zone.
+    sec = F.expr(
+        "cast(cast(cast(ts as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00' as interval second) as bigint)"
+    )
     df = events.select(
         "event_id", "user_id",
         sec.alias("sec"),
