@@ -13,6 +13,7 @@ from poolscope.operators.rolling import EXPANDING, Measures, Output, Window, rol
 from poolscope.operators.state import PREVIOUS, with_previous
 from poolscope.operators.ticks import first_last_per_tick
 from poolscope.schemas import AGGREGATED, ATTRIBUTION_CORE, ATTRIBUTION_WINDOWS, SECONDS_PER_YEAR
+from poolscope.session import settled
 
 # Guards against dividing by (almost) nothing, and the winsorizing bound of the slope.
 EPS_U = 1e-9
@@ -220,7 +221,9 @@ def attribution_core(
     span the dropped rows while flows do not, so residuals grow. A tick ledger avoids that.
     """
     if first_last_only:
-        ledger = first_last_per_tick(ledger.drop(*PREVIOUS), tick_seconds=tick_seconds, min_rows=min_rows)
+        ledger = settled(
+            first_last_per_tick(ledger.drop(*PREVIOUS), tick_seconds=tick_seconds, min_rows=min_rows)
+        )
     if not has_previous(ledger):
         ledger = with_previous(
             ledger,

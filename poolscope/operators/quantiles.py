@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.operators.joins import join_spread
 from poolscope.operators.ordered import Running, running
+from poolscope.session import settled
 
 _MANTISSA = 2**36
 _GROUP = 65_536
@@ -67,7 +69,7 @@ def quantiles(
     )
     if totals is None:
         totals = counts.groupBy(*part).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, part)
+    placed = join_spread(ranked, totals, part, spread=[F.col("_value")])
     wanted = []
     for p in probabilities:
         place = F.lit(float(p)) * (F.col("_total") - 1)
@@ -87,8 +89,13 @@ def describe(
     part: Sequence[str] = ("market_id",),
     probabilities: Sequence[float] = (0.25, 0.5, 0.75),
 ) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quantiles of several columns per ``part``."""
+    """Count, mean, sample deviation, extremes and exact quantiles of several columns per ``part``.
+
+    The columns are settled first (see :func:`poolscope.session.settled`), as they are read for the
+    counts and for every level of the ranks.
+    """
     part = list(part)
+    df = settled(df.select(*part, *columns))
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     long = df.selectExpr(*part, f"stack({len(columns)}, {pairs}) AS (metric, value)")
     # x + 0 folds negative zero into zero, so both count as one value.

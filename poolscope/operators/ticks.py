@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.operators.joins import join_spread
 from poolscope.operators.ordered import BLOCKS_PER_SPAN, Running, running
 from poolscope.schemas import AGGREGATED, AGGREGATED_LEDGER, FLOW_TOTALS
+from poolscope.session import settled
 
 _ROWS_PER_EXPLODE = 4_096
 _TICKS_PER_SPAN = 65_536
@@ -77,6 +79,7 @@ def _finish(df: DataFrame) -> DataFrame:
 def block_ledger(ledger: DataFrame) -> DataFrame:
     """One row per market and block; changes are between consecutive blocks."""
     blocks = _condense(ledger, F.col("block_number"), "_block").select("*", "_last.*").drop("_last", "_block")
+    blocks = settled(blocks)
     items = [Running("row", F.col(c), before=f"_p_{c}") for c in _CHANGES.values()]
     items.append(Running("sum", F.lit(1).cast("bigint"), upto="_row"))
     blocks = running(
@@ -104,9 +107,11 @@ def tick_ledger(ledger: DataFrame, *, tick_seconds: int = 300, fill: str = "last
         raise ValueError("fill must be 'last' or 'running_max'")
     n = int(tick_seconds)
     ticks = _condense(ledger, tick_of("block_timestamp", n), "tick").select("*", "_last.*").drop("_last")
+    # Settled: the prefix levels read the ticks again, and would otherwise redo the ledger each time.
+    ticks = settled(ticks)
 
     # Everything a gap needs is found on the non-empty ticks: the previous one, and what it carries.
-    items = [Running("row", F.struct("tick", *_CARRIED), before="_prev")]
+    items = [Running("row", F.col(c), before=f"_p_{c}") for c in ("tick", *_CARRIED)]
     if fill == "running_max":
         items += [Running("max", F.col(c), upto=f"_m_{c}", before=f"_f_{c}") for c in _CARRIED]
     ticks = running(
@@ -119,14 +124,14 @@ def tick_ledger(ledger: DataFrame, *, tick_seconds: int = 300, fill: str = "last
     if fill == "running_max":
         fills = {c: F.col(f"_f_{c}") for c in _CARRIED}
         own = {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in _CARRIED}
-        before = {c: F.coalesce(F.col(f"_prev.{c}"), F.col(f"_f_{c}")) for c in _CARRIED}
+        before = {c: F.coalesce(F.col(f"_p_{c}"), F.col(f"_f_{c}")) for c in _CARRIED}
     else:
-        fills = before = {c: F.col(f"_prev.{c}") for c in _CARRIED}
+        fills = before = {c: F.col(f"_p_{c}") for c in _CARRIED}
         own = {c: F.col(c) for c in _CARRIED}
 
     # Each tick emits the empty ticks before it, then itself. Gaps are unfolded in two steps, so that
     # no array grows with the length of a gap.
-    gap = F.coalesce((F.col("tick") - F.col("_prev.tick")).cast("bigint") / F.lit(n) - 1, F.lit(0.0))
+    gap = F.coalesce((F.col("tick") - F.col("_p_tick")).cast("bigint") / F.lit(n) - 1, F.lit(0.0))
     step = F.lit(_ROWS_PER_EXPLODE)
     unfolded = (
         ticks.withColumn("_gap", gap.cast("bigint"))
@@ -143,7 +148,7 @@ def tick_ledger(ledger: DataFrame, *, tick_seconds: int = 300, fill: str = "last
 
     def change(c: str) -> Column:
         return (
-            F.when(F.col("_prev").isNull(), F.lit(0.0))
+            F.when(F.col("_p_tick").isNull(), F.lit(0.0))
             .when(F.col("_i") == 0, value(c) - before[c])
             .otherwise(value(c) - fills[c])
         )
@@ -190,13 +195,8 @@ def first_last_per_tick(
         return ledger.join(ends, keys, "left_semi").select(*ledger.columns)
 
     small = ticks.groupBy("market_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") <= min_rows)
-    # A whole small market is at most min_rows rows; its row keys come from its ticks, salted so that
-    # the rows of a hot market spread while they look for a match.
-    salts = 64
-    salted_small = small.select("market_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    marked = (
-        ledger.withColumn("_salt", F.pmod(F.xxhash64("block_number", "log_index"), F.lit(salts)).cast("int"))
-        .join(salted_small.withColumn("_small", F.lit(True)), ["market_id", "_salt"], "left")
-        .join(ends.withColumn("_end", F.lit(True)), keys, "left")
-    )
+    marked = join_spread(
+        ledger, small.select("market_id", F.lit(True).alias("_small")), ["market_id"],
+        spread=[F.col("block_number"), F.col("log_index")],
+    ).join(ends.withColumn("_end", F.lit(True)), keys, "left")
     return marked.where(F.col("_small") | F.col("_end")).select(*ledger.columns)

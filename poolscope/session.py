@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
 
@@ -31,3 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="poolscope-")
     return _local_folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For results that later steps read more than once: their lineage is computed once, survives the
+    loss of executors, and later reads are columnar. Runs a job when called.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from poolscope.operators.standardize import raw_ledger
 from poolscope.operators.state import with_running_state
 from poolscope.plans import pipelines as P
 from poolscope.schemas import ATTRIBUTION_CORE, FLOW_TOTALS, LEDGER, RAW_LEDGER, indicator_schema
+from poolscope.session import settled
 from poolscope.sources.events import EventStore, register
 from verify import oracles as O
 
@@ -52,12 +53,11 @@ def _digits(column: str) -> int:
     if "std" in column or column in ("mean", "cov_ub"):
         return 6
     if "rate_per_sec" in column:
-        return 15
-    return 9
+        return 18
+    return 12
 
 
 _ROW = ["market_id", "block_number", "log_index"]
-_BOTH = {"ledger": P.ledger_state}
 _QUERIES: dict[str, Query] = {}
 
 
@@ -275,7 +275,7 @@ _SOME = {k: (O.LEVELS | O.INTENSITIES | O.CONTRIBUTIONS | O.VOLATILITY)[k]
                    "interest_intensity", "contrib_borrow_sum", "contrib_withdraw_abs_sum", "delta_u_std")}
 _DAY = {"1h": 3_600, "24h": 86_400}
 _add("attribution_of_ticks",
-     lambda s: A.attribution(P.tick_dataset(s), compute_windows=_DAY, expanding=False),
+     lambda s: A.attribution(settled(P.tick_dataset(s)), compute_windows=_DAY, expanding=False),
      O.tick_attribution(_DAY, _SOME), "win",
      [*_ROW, "block_timestamp", "event_count"], [*_FLOW_COLUMNS[:6], *_PARTS, *_rolled(list(_SOME), _DAY)])
 _add("attribution_first_last",
