@@ -11,7 +11,7 @@ from poolscope.schemas import AGGREGATED, AGGREGATED_LEDGER, FLOW_TOTALS
 from poolscope.session import settled
 
 _ROWS_PER_EXPLODE = 4_096
-_TICKS_PER_SPAN = 65_536
+_TICKS_PER_SPAN = 4_096
 
 _DELTAS = ["delta_supply_assets", "delta_borrow_assets", "delta_collateral_assets"]
 # Columns an empty tick inherits.

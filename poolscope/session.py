@@ -11,11 +11,20 @@ _local_folder: str | None = None
 
 
 def build_session(master: str | None = None, *, app: str = "poolscope", **conf: str) -> SparkSession:
-    """Session with UTC time and strict (ANSI) arithmetic; other settings as given."""
+    """Session with UTC time and strict (ANSI) arithmetic; other settings as given.
+
+    The window tables are wide and one plan has more generated classes than Spark keeps by default
+    (100), which would compile them anew for every query; the larger cache keeps them.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", **conf}
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.ansi.enabled": "true",
+        "spark.sql.codegen.cache.maxEntries": "2000",
+        **conf,
+    }
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
