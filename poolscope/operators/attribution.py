@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from poolscope.functions import ratio_or
 from poolscope.operators.indicators import has_previous
+from poolscope.operators.ordered import CELL
 from poolscope.operators.rolling import EXPANDING, Measures, Output, Window, rolling
 from poolscope.operators.state import PREVIOUS, with_previous
 from poolscope.operators.ticks import first_last_per_tick
@@ -220,9 +221,23 @@ def attribution_core(
     reduces markets of more than ``min_rows`` rows to the first and last row of each tick; changes then
     span the dropped rows while flows do not, so residuals grow. A tick ledger avoids that.
     """
+    return _core(
+        ledger, seconds_per_year, eps_u, eps_contrib, first_last_only, tick_seconds, min_rows
+    ).drop(CELL)
+
+
+def _core(
+    ledger: DataFrame,
+    seconds_per_year: int,
+    eps_u: float,
+    eps_contrib: float,
+    first_last_only: bool,
+    tick_seconds: int,
+    min_rows: int,
+) -> DataFrame:
     if first_last_only:
         ledger = settled(
-            first_last_per_tick(ledger.drop(*PREVIOUS), tick_seconds=tick_seconds, min_rows=min_rows)
+            first_last_per_tick(ledger.drop(*PREVIOUS, CELL), tick_seconds=tick_seconds, min_rows=min_rows)
         )
     if not has_previous(ledger):
         ledger = with_previous(
@@ -283,14 +298,6 @@ def attribution(
 ) -> DataFrame:
     """The full attribution table: per-row part, window statistics, all-time statistics."""
     adjacent = has_previous(ledger) and not first_last_only
-    core = attribution_core(
-        ledger,
-        seconds_per_year=seconds_per_year,
-        eps_u=eps_u,
-        eps_contrib=eps_contrib,
-        first_last_only=first_last_only,
-        tick_seconds=tick_seconds,
-        min_rows=min_rows,
-    )
+    core = _core(ledger, seconds_per_year, eps_u, eps_contrib, first_last_only, tick_seconds, min_rows)
     chosen = chosen_windows(windows, compute_windows)
     return attribution_windows(core, windows=chosen, expanding=expanding, repeats=not adjacent)

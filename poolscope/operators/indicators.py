@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.functions import ratio_or
+from poolscope.operators.ordered import CELL
 from poolscope.operators.rolling import Measures, Output, Window, rolling
 from poolscope.operators.state import PREVIOUS, with_previous
 from poolscope.schemas import INDICATOR_WINDOWS, LEDGER, SECONDS_PER_YEAR, indicator_schema
@@ -106,7 +107,7 @@ def market_indicators(
     df = elasticity(ledger, seconds_per_year=seconds_per_year, eps_util=eps_util)
     df = regime_flags(flow_split(df)).withColumn("_borrowed", F.col("outstanding_borrow_assets").cast("double"))
     keep = [*LEDGER.names, "borrow_apr", *_INTENSITIES.values(), "interest_assets", "_borrowed",
-            "delta_borrow_apr", "elasticity_apr_per_util", *[f"regime_util_gt_{p}" for p in _REGIMES]]
+            "delta_borrow_apr", "elasticity_apr_per_util", *[f"regime_util_gt_{p}" for p in _REGIMES], *([CELL] if CELL in df.columns else [])]
     df = rolling(df.select(*keep), _MEASURES, windows, _statistics, repeats=not adjacent)
     if "6h" in windows:
         df = df.withColumn("borrow_apr_6h_avg_ui", F.col("borrow_apr_mean_6h"))

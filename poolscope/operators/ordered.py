@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 LOGS_PER_CELL = 65_536
 BLOCKS_PER_SPAN = 4_096
+CELL = "_cell"
 
 Level = Sequence[tuple[str, Column]]
 
@@ -125,6 +126,10 @@ def running(
     return joined.select(*base, *[merged[n].alias(n) for n in added])
 
 
+def cell_of(logs_per_cell: int = LOGS_PER_CELL) -> Column:
+    return F.expr(f"log_index div {int(logs_per_cell)}")
+
+
 def ledger_levels(
     *,
     with_time: bool = False,
@@ -136,7 +141,7 @@ def ledger_levels(
     ``with_time`` is for ledgers where a (block, log) pair can repeat at another time, as in filled
     ticks: the order is then (block_timestamp, block_number, log_index) and spans cut the time.
     """
-    cell = ("_cell", F.expr(f"log_index div {int(logs_per_cell)}"))
+    cell = (CELL, cell_of(logs_per_cell))
     block = ("block_number", F.col("block_number"))
     if with_time:
         time = ("block_timestamp", F.col("block_timestamp"))

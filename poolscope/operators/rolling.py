@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.operators.ordered import LOGS_PER_CELL
+from poolscope.operators.ordered import CELL, LOGS_PER_CELL, cell_of
 
 WIDEST_BLOCK = 86_400
 EXPANDING = "expanding"
@@ -313,18 +313,18 @@ def rolling(
     ``windows`` maps a label to a width in seconds, or to None for all rows so far. ``outputs`` turns a
     :class:`Window` into (column name, SQL) pairs. Timestamps must not decrease along the ledger order.
     With ``repeats`` a (block, log) pair may come again at another second, as in filled ticks; without
-    it, rows already partitioned by block (as the state operators leave them) are not shuffled again.
+    it, rows that come with their cell (as the state operators leave them) are not shuffled again.
     """
     if not windows:
-        return df
+        return df.drop(CELL)
     part = list(part)
-    base = df.columns
+    base = [c for c in df.columns if c != CELL]
     ids = dict(enumerate(windows))
-    ties = ["block_number", "_cell"]
+    ties = ["block_number", CELL]
     stamp = ["block_timestamp"] if repeats else []
     cell = [*part, *stamp, *ties]
 
-    cut = df.selectExpr("*", f"log_index div {int(logs_per_cell)} AS _cell")
+    cut = df if CELL in df.columns else df.withColumn(CELL, cell_of(logs_per_cell))
     totals = [F.expr(e) for e in measures.from_rows()]
     time = [] if repeats else [F.expr("max(block_timestamp) AS _time")]
     cells = cut.groupBy(*cell).agg(*time, *totals)

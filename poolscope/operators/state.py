@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.functions import annual_yield, utilization
-from poolscope.operators.ordered import Running, ledger_levels, running
+from poolscope.operators.ordered import CELL, LOGS_PER_CELL, Running, cell_of, ledger_levels, running
 from poolscope.schemas import LEDGER, SECONDS_PER_YEAR
 
 TOTALS = {
@@ -45,8 +45,10 @@ def with_running_state(
     """The raw ledger with running totals, the carried rate and the row number per market.
 
     Also appends the previous row's rate (`_prev_rate`); every other previous-row value follows
-    exactly from the row itself, since a total before the event is the total less the delta.
+    exactly from the row itself, since a total before the event is the total less the delta. The cell
+    is kept too: the rows stay partitioned by (market, block, cell) for the steps that follow.
     """
+    raw = raw.withColumn(CELL, cell_of(logs_per_cell or LOGS_PER_CELL))
     sizes = {"logs_per_cell": logs_per_cell, "blocks_per_span": blocks_per_span}
     levels = ledger_levels(**{k: v for k, v in sizes.items() if v})
     rate = F.col("borrow_rate_per_sec")
@@ -72,7 +74,7 @@ def state_frame(
     logs_per_cell: int | None = None,
     blocks_per_span: int | None = None,
 ) -> DataFrame:
-    """The 20-column ledger plus the previous-row columns in ``PREVIOUS``."""
+    """The 20-column ledger plus the previous-row columns in ``PREVIOUS`` and the cell."""
     df = with_running_state(
         raw,
         leading_rate=leading_rate,
@@ -115,7 +117,7 @@ def state_frame(
             "delta_supply_apy": change("supply_apy", "_prev_supply_apy"),
         }
     )
-    return df.select(*LEDGER.names, *PREVIOUS)
+    return df.select(*LEDGER.names, *PREVIOUS, CELL)
 
 
 def enriched_ledger(raw: DataFrame, **options) -> DataFrame:

@@ -52,3 +52,16 @@ def test_rows_are_never_grouped_by_market_alone(spark):
     assert all(e.startswith("market_id") for e in by_market) and len(by_market) <= 4
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_rows_are_shuffled_once_from_scan_to_windows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [_plan(pipelines.indicator_dataset(event_store(spark, FOLDER))),
+                 _plan(pipelines.attribution_dataset(event_store(spark, FOLDER), compute_windows=["1h"])[0])]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        # The plan's first branch is the rows' own path, down to the first scan.
+        rows = plan[: plan.index("FileScan")]
+        assert rows.count("Exchange hashpartitioning") == 1 and rows.count("SortMergeJoin") == 2
