@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from poolscope.llm import line_dedup, mixing
 from poolscope.llm.packing import pack
+from poolscope.llm.quality import quality_scores
 from poolscope.llm.token_counts import token_counts
+from poolscope.llm.toxicity import toxicity_scores
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +36,21 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_mix, op3_pack, op7_token_counts]
+    named = [op1_line_dedup, op2_mix, op3_pack, op6_quality, op7_token_counts, op10_toxicity]
     return {f.__name__: f for f in named}
 
 
