@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from poolscope.llm import line_dedup, mixing
 from poolscope.llm.packing import pack
 from poolscope.llm.quality import quality_scores
+from poolscope.llm.rules import apply_rules
 from poolscope.llm.token_counts import token_counts
 from poolscope.llm.toxicity import toxicity_scores
 
@@ -44,13 +45,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_rules(_documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_mix, op3_pack, op6_quality, op7_token_counts, op10_toxicity]
+    named = [op1_line_dedup, op2_mix, op3_pack, op6_quality, op7_token_counts, op9_rules, op10_toxicity]
     return {f.__name__: f for f in named}
 
 
