@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.llm import line_dedup, mixing
+from poolscope.llm.ngram_join import near_copies
 from poolscope.llm.packing import pack
 from poolscope.llm.quality import quality_scores
 from poolscope.llm.rules import apply_rules
@@ -45,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_documents(spark, sf_dir))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_rules(_documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_mix, op3_pack, op6_quality, op7_token_counts, op9_rules, op10_toxicity]
+    named = [op1_line_dedup, op2_mix, op3_pack, op6_quality, op7_token_counts, op8_ngram_join, op9_rules, op10_toxicity]
     return {f.__name__: f for f in named}
 
 
