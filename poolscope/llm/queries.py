@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.llm import line_dedup, mixing
+from poolscope.llm.language_model import log_likelihoods
 from poolscope.llm.ngram_join import near_copies
 from poolscope.llm.packing import pack
 from poolscope.llm.quality import quality_scores
@@ -38,6 +39,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_likelihoods(_documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_mix, op3_pack, op6_quality, op7_token_counts, op8_ngram_join, op9_rules, op10_toxicity]
+    named = [op1_line_dedup, op2_mix, op3_pack, op5_language_model, op6_quality, op7_token_counts, op8_ngram_join, op9_rules, op10_toxicity]
     return {f.__name__: f for f in named}
 
 
