@@ -21,6 +21,7 @@ LEAST_CHARS = 40
 LEAST_DOCS = 5
 BATCHES = 4
 FANOUT = 4
+HEAVY = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = -(1 << 63)
 
@@ -97,9 +98,18 @@ class LineRuns:
         return lines
 
     def repeated(self, lines: DataFrame, least_docs: int) -> DataFrame:
-        """The lines found in at least ``least_docs`` documents, except in the largest id of them."""
+        """The lines found in at least ``least_docs`` documents, except in the largest id of them.
+
+        Keys with over a ``HEAVY``-th of all occurrences, of which there are fewer than HEAVY, are sent to
+        all tasks; so no key's lines meet in one task. All others meet their runs in a merge join.
+        """
         many = self.entries().where(F.col("n_docs") >= least_docs)
-        return lines.join(many, ["h1", "h2"]).where(F.col("doc") < F.col("last_doc"))
+        total = many.agg(F.sum("n_docs")).first()[0] or 0
+        heavy = many.where(F.col("n_docs") * HEAVY > total).select("h1", "h2", F.col("last_doc").alias("_last"))
+        marked = lines.join(F.broadcast(heavy), ["h1", "h2"], "left")
+        rare = many.where(F.col("n_docs") * HEAVY <= total).select("h1", "h2", "last_doc")
+        rest = marked.where(F.col("_last").isNull()).join(rare, ["h1", "h2"]).where(F.col("doc") < F.col("last_doc"))
+        return marked.where(F.col("doc") < F.col("_last")).select("doc", "row", "at").unionByName(rest.select("doc", "row", "at"))
 
 
 def dedup_lines(

@@ -14,6 +14,7 @@ from poolscope.llm.ngram_join import near_copies
 from poolscope.llm.packing import pack
 from poolscope.llm.quality import quality_scores
 from poolscope.llm.rules import apply_rules
+from poolscope.llm.search import search
 from poolscope.llm.token_counts import token_counts
 from poolscope.llm.toxicity import toxicity_scores
 
@@ -39,6 +40,12 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(docs, asked)
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_likelihoods(_documents(spark, sf_dir))
 
@@ -66,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_mix, op3_pack, op5_language_model, op6_quality, op7_token_counts, op8_ngram_join, op9_rules, op10_toxicity]
+    named = [op1_line_dedup, op2_mix, op3_pack, op4_search, op5_language_model, op6_quality, op7_token_counts, op8_ngram_join, op9_rules, op10_toxicity]
     return {f.__name__: f for f in named}
 
 
