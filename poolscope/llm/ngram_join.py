@@ -5,9 +5,9 @@ token of the set is followed if its hash is below a threshold that makes one tok
 similar set survive a level on average. Two similar sets keep a common path through all levels of a run
 with a known probability, so the number of runs follows from the target recall. Paths are a function of
 the set alone, so the recursion needs no shuffle; sets that share a path meet in its bucket, where pairs
-are verified exactly. Buckets with the same members are one bucket. A large bucket is dealt out in tiles
-of two chunks, each a task of bounded size, so no bucket is dropped or cut. Pairs never leave a tile:
-it returns each set's number of links and the components that its links form.
+are verified exactly. Buckets with the same members are one bucket. Sets that share large buckets form
+groups, dealt out in tiles of two chunks of bounded size, so no bucket is dropped or cut. Pairs never
+leave a tile: it returns each set's number of links and the components that its links form.
 """
 
 from __future__ import annotations
@@ -16,19 +16,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import by_bytes, documents, words, words_on_workers
+from poolscope.llm.common import by_bytes, documents, words_on_workers
 from poolscope.session import settled
 
 SHINGLE = 5
 LEAST = 0.8
 RECALL = 0.999
-DEPTH = 4
+SPREAD = 64
 CHUNK = 256
 SLAB = 4096
 CELLS = 2_000_000
@@ -60,9 +59,14 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meet)) if meet < 1 else 1
 
 
+def depth_for(rows: int) -> int:
+    """Levels so that paths spread over about as many buckets as there are rows, SPREAD a level; at least 3."""
+    return max(3, math.ceil(math.log(max(rows, 1)) / math.log(SPREAD)))
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Distinct 64-bit hashes of the runs of ``size`` words, ascending; of all words if there are fewer."""
-    own = words(text)
+    own = (text or "").encode().split()  # bytes split at ASCII white space only
     if not own:
         return np.zeros(0, _U)
     if len(_held) > HELD_WORDS:
@@ -73,24 +77,27 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     width = min(size, len(own))
     out = np.full(len(own) - width + 1, _U(width))
     for i in range(width):
-        out = mixed(out * _STEPS[i % 3] + h[i : len(own) - width + 1 + i])
-    return np.unique(out)
+        out *= _STEPS[0]
+        out += h[i : len(own) - width + 1 + i]
+    return np.unique(mixed(out))
 
 
 def chosen_paths(tokens: np.ndarray, runs: int, depth: int, least: float = LEAST) -> np.ndarray:
     """The set's paths after ``depth`` levels, of all runs."""
-    if not len(tokens):
+    n = len(tokens)
+    if not n:
         return np.zeros(0, _U)
     path = mixed(np.arange(1, runs + 1, dtype=_U) * _STEPS[0])
-    share = 1 / (least * len(tokens))
+    share = 1 / (least * n)
     bound = _U(min(int(share * 2.0**64), 2**64 - 1))
-    rows = max(1, CELLS // len(tokens))
+    rows = max(1, CELLS // n)
     for _ in range(depth):
         step = mixed(path) | _U(1)
         found = []
         for i in range(0, len(path), rows):
-            at, token = np.nonzero(tokens[None, :] * step[i : i + rows, None] <= bound)
-            found.append(mixed(path[i + at] * _STEPS[1] + tokens[token]))
+            cell = np.flatnonzero(np.multiply.outer(step[i : i + rows], tokens) <= bound)
+            at = cell // n
+            found.append(mixed(path[i + at] * _STEPS[1] + tokens[cell - at * n]))
         path = np.concatenate(found) if found else path
     return np.unique(path)
 
@@ -146,36 +153,85 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_tile(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """c, links, root of the sets of a tile that have a link in it; a link counts in the least of the buckets both are in.
+def verify_tile(bucket: int | None, sides: list[tuple], least: float) -> Iterator[tuple[int, int, int]]:
+    """c, links, root of the sets that have a link in a tile: of one chunk, or between two.
 
-    rows: bucket, ti, tj, chunk, c, size, tokens, buckets. Within one chunk each pair is looked at once.
+    sides: c, size, group (-1: none), tokens and buckets of each set, c ascending. Without ``bucket`` the tile
+    is of a group and all its links count. Else links within a group are left to it, and others count in the
+    least of the buckets both sets are in.
     """
-    bucket, ti, tj = (int(rows[k].iloc[0]) for k in ("bucket", "ti", "tj"))
-    sides = []
-    for chunk in (ti, tj):
-        own = rows[rows["chunk"] == chunk].sort_values("c")
-        tokens = [np.asarray(x) for x in own["tokens"]]
-        lower = [(x := np.asarray(y))[x < bucket] for y in own["buckets"]]
-        sides.append((own["c"].to_numpy(), own["size"].to_numpy(), tokens, lower))
-    (ca, sa, ta, la), (cb, sb, tb, lb) = sides
+    (ca, sa, ga, ta, la), (cb, sb, gb, tb, lb) = sides[0], sides[-1]
+    if len(sides) == 1 and len(ca) < 2:
+        return
     common = _overlaps(ta, tb)
     union = np.array([len(x) for x in ta])[:, None] + np.array([len(x) for x in tb])[None, :] - common
     linked = common >= least * union - 1e-6
-    if ti == tj:
+    if len(sides) == 1:
         linked &= ~np.eye(len(ca), dtype=bool)
-    root_a, root_b = ca.copy(), cb.copy()
-    while linked.any():
-        new_a = np.minimum(root_a, np.where(linked, root_b[None, :], np.iinfo(np.int64).max).min(1))
-        new_b = np.minimum(root_b, np.where(linked, new_a[:, None], np.iinfo(np.int64).max).min(0))
+    if bucket is not None:
+        linked &= (ga[:, None] != gb[None, :]) | (ga < 0)[:, None]
+    if not linked.any():
+        return
+    root_a, root_b, most = ca.copy(), cb.copy(), np.iinfo(np.int64).max
+    while True:
+        new_a = np.minimum(root_a, np.where(linked, root_b[None, :], most).min(1))
+        new_b = np.minimum(root_b, np.where(linked, new_a[:, None], most).min(0))
         if (new_a == root_a).all() and (new_b == root_b).all():
             break
         root_a, root_b = new_a, new_b
-    counted = linked & (_overlaps(la, lb) == 0) if linked.any() else linked
-    parts = [(ca, counted @ sb, root_a, linked.any(1))]
-    if ti != tj:
-        parts.append((cb, counted.T @ sa, root_b, linked.any(0)))
-    return pd.concat([pd.DataFrame({"c": c, "links": n.astype(np.int64), "root": r})[has] for c, n, r, has in parts])
+    counted = linked
+    if bucket is not None:
+        counted = linked & (_overlaps([x[x < bucket] for x in la], [x[x < bucket] for x in lb]) == 0)
+    yield from zip(ca[linked.any(1)].tolist(), (counted @ sb)[linked.any(1)].tolist(), root_a[linked.any(1)].tolist(), strict=True)
+    if len(sides) > 1:
+        yield from zip(cb[linked.any(0)].tolist(), (counted.T @ sa)[linked.any(0)].tolist(), root_b[linked.any(0)].tolist(), strict=True)
+
+
+def verify(tiles: DataFrame, least: float) -> DataFrame:
+    """c, links, root from the rows of all tiles: each tile's lie together in a partition, in order."""
+    keys = ["big", "bucket", "ti", "tj"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        done: list[tuple[int, int, int]] = []
+        now = None
+
+        def finish() -> None:
+            sides = []
+            for chunk in dict.fromkeys(now[2:]):
+                own = [r for r in held if r[0] == chunk]
+                sides.append((*[np.array([r[i] for r in own], np.int64) for i in (1, 2, 3)], [r[4] for r in own], [r[5] for r in own]))
+            done.extend(verify_tile(None if now[0] else now[1], sides, least))
+            held.clear()
+
+        def table() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], ["c", "links", "root"])
+            done.clear()
+            return out
+
+        for batch in batches:
+            heads = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+            plain = list(zip(*[batch.column(k).to_pylist() for k in ("chunk", "c", "size", "g")], strict=True))
+            lists = []
+            for name in ("tokens", "buckets"):
+                column = batch.column(name)
+                ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+                lists.append([values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+            for head, row, tokens, buckets in zip(heads, plain, *lists, strict=True):
+                if head != now:
+                    if held:
+                        finish()
+                    now = head
+                held.append((*row, tokens, buckets))
+            if len(done) > 10_000:
+                yield table()
+        if held:
+            finish()
+        if done:
+            yield table()
+
+    dealt = tiles.repartition(*keys).sortWithinPartitions(*keys, "chunk", "c")
+    return dealt.mapInArrow(check, "c long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, *, size: int = SHINGLE, least: float = LEAST, recall: float = RECALL, depth: int = DEPTH, chunk: int = CHUNK,
+    docs: DataFrame, *, size: int = SHINGLE, least: float = LEAST, recall: float = RECALL, chunk: int = CHUNK,
 ) -> DataFrame:
     """doc_id, class_id, n_links of each row of documents.
 
@@ -205,6 +261,7 @@ def near_copies(
     Repeated rows are copies of each other. A null doc_id takes part; class_id is null where a component has
     no other id. An empty table gives an empty result. Runs jobs when called.
     """
+    depth = depth_for(docs.count())
     runs = runs_for(recall, depth)
     rows = settled(signatures(docs, size, runs, depth, least))
     same = ["n_shingles", "s1", "s2"]
@@ -213,9 +270,19 @@ def near_copies(
     classes = settled(grouped.withColumn("c", F.monotonically_increasing_id()))
     members = settled(shared_paths(classes))
 
-    # Sets are computed again for the classes that share a bucket, from one text of each.
-    wanted = members.select("c").distinct().join(classes, "c").select("c", "size", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
-    wanted = settled(wanted)
+    # Classes that share a bucket of more than a chunk form groups, verified as a whole: near copies of one text
+    # share many such buckets, and would else be looked at in each of them.
+    big = members.where(F.col("n_members") > chunk)
+    least_of = big.groupBy("bucket").agg(F.min("c").alias("v"))
+    groups = components(big.join(least_of, "bucket").where(F.col("c") != F.col("v")).select(F.col("c").alias("u"), "v"))
+    groups = settled(groups.select(F.col("v").alias("c"), F.col("label").alias("g")))
+    small = members.where(F.col("n_members") <= chunk).join(groups, "c", "left").select("bucket", "c", F.coalesce("g", F.lit(-1)).alias("g"))
+    inside = small.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo = hi AND lo >= 0")
+    small = settled(small.join(inside.select("bucket"), "bucket", "left_anti"))
+
+    # Sets are computed again for these classes, from one text of each.
+    wanted = small.select("c").unionByName(groups.select("c")).distinct().join(classes, "c")
+    wanted = settled(wanted.select("c", "size", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")))
     few = wanted.count() <= BROADCAST_ROWS
     own = documents(docs, "doc_id", "text")
     texts = own.join(F.broadcast(wanted) if few else wanted, own["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(own["text"]) == wanted["_hash"]))
@@ -226,13 +293,15 @@ def near_copies(
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("size"), pa.array(tokens, pa.list_(pa.int64()))], ["c", "size", "tokens"])
 
     tokens = texts.select("c", "size", "text").mapInArrow(sets, "c long, size long, tokens array<long>").dropDuplicates(["c"])
-    lists = members.groupBy("c").agg(F.collect_list("bucket").alias("buckets"))
-    n_chunks = F.ceil(F.col("n_members") / chunk).cast("int")
-    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("c", "bucket"), n_chunks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-    dealt = dealt.select("bucket", "c", "chunk", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
-    tiles = dealt.join(lists, "c").join(tokens, "c").groupBy("bucket", "ti", "tj")
-    found = settled(tiles.applyInPandas(lambda t: verify_tile(t, least), "c long, links long, root long"))
+    lists = small.groupBy("c").agg(F.collect_list("bucket").alias("buckets"))
+    one = small.select(F.lit(False).alias("big"), "bucket", "c", "g", *[F.lit(0).alias(k) for k in ("chunk", "ti", "tj")])
+    sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
+    dealt = groups.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    many = dealt.select(F.lit(True).alias("big"), F.col("g").alias("bucket"), "c", "g", "chunk",
+                        F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
+    placed = one.unionByName(many).join(lists, "c", "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<bigint>")))
+    found = settled(verify(placed.join(tokens, "c"), least))
 
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     labels = components(found.where("c <> root").select(F.col("c").alias("u"), F.col("root").alias("v")))
