@@ -29,6 +29,8 @@ EXAMPLES = 20_000
 TERMS = 1_000
 LEAST_RATIO = 25.0
 LEAST_DOCS = 5
+LEAST_LIFT = 3.0
+QUERIES = 512
 SMOOTHING = 1.0
 BLOCK = 64
 HELD_WORDS = 200_000
@@ -68,8 +70,8 @@ def term_table(rows: DataFrame) -> DataFrame:
 
 
 def telling_terms(table: DataFrame, n0: int, n1: int, *, terms: int = TERMS, least: float = LEAST_RATIO,
-                  least_docs: int = LEAST_DOCS) -> list[tuple[str, float]]:
-    """At most ``terms`` terms that label 1 has more often, by likelihood ratio, with their inverse document frequency."""
+                  least_docs: int = LEAST_DOCS, lift: float = LEAST_LIFT) -> list[tuple[str, float]]:
+    """At most ``terms`` terms that label 1 has ``lift`` times as often, by likelihood ratio, with their inverse document frequency."""
     n = n0 + n1
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d = n1 - a, n0 - b
@@ -78,7 +80,7 @@ def telling_terms(table: DataFrame, n0: int, n1: int, *, terms: int = TERMS, lea
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     ratio = 2 * (part(a, n1 * (a + b) / n) + part(b, n0 * (a + b) / n) + part(c, n1 * (c + d) / n) + part(d, n0 * (c + d) / n))
-    told = table.where((a + b >= least_docs) & (a * n0 > b * n1)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    told = table.where((a + b >= least_docs) & (a * n0 >= lift * b * n1)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
     best = told.orderBy(F.desc("ratio"), "term").limit(terms).collect()
     return [(r["term"], math.log((n + 1) / (r["n0"] + r["n1"] + 1)) + 1) for r in best]
 
@@ -112,36 +114,47 @@ class BlockMaxIndex:
         self.idf, self.block = idf, block
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[3] for e in examples], float)
-        blocks = -(-len(examples) // block)
-        self.most = np.zeros((blocks, len(idf)))
-        postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, (_, terms, counts, _) in enumerate(examples):
-            for t, w in zip(terms, unit_vector(terms, counts, idf), strict=True):
-                at, weight = postings.setdefault((i // block, t), ([], []))
-                at.append(i % block)
-                weight.append(w)
-                self.most[i // block, t] = max(self.most[i // block, t], w)
-        self.postings = {k: (np.array(a), np.array(w)) for k, (a, w) in postings.items()}
-
-    def nearest(self, terms: list[int], counts: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines, best first; only examples that share a term."""
-        w = unit_vector(terms, counts, self.idf)
-        bounds = self.most[:, terms] @ w
-        numbers, cosines = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(cosines) == k and bounds[b] < cosines[-1] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t, x in zip(terms, w, strict=True):
-                if (b, t) in self.postings:
-                    at, weight = self.postings[b, t]
-                    scores[at] += x * weight
-            found = np.flatnonzero(scores)
-            numbers = np.r_[numbers, found + b * self.block]
-            cosines = np.r_[cosines, np.round(scores[found], 9)]
-            order = np.lexsort((numbers, -cosines))[:k]
-            numbers, cosines = numbers[order], cosines[order]
-        return numbers, cosines
+        self.most = np.zeros((-(-len(examples) // block), len(idf)))
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []  # by block: its terms, their weights by example
+        for b in range(len(self.most)):
+            dense = self.vectors([e[1:3] for e in examples[b * block : (b + 1) * block]])
+            self.most[b] = dense.max(0)
+            terms = np.flatnonzero(self.most[b])
+            self.postings.append((terms, dense[:, terms].T.copy()))
+
+    def vectors(self, documents: list[tuple[list[int], list[int]]]) -> np.ndarray:
+        out = np.zeros((len(documents), len(self.idf)))
+        for i, (terms, counts) in enumerate(documents):
+            out[i, terms] = unit_vector(terms, counts, self.idf)
+        return out
+
+    def nearest(self, documents: list[tuple[list[int], list[int]]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each document example numbers and cosines, best first; only examples that share a term.
+
+        A document passes over all blocks whose bound is below its k-th best cosine so far, its best block first.
+        """
+        own = self.vectors(documents)
+        bounds = own @ self.most.T
+        # A cosine to nine places and an example number in one key, so that sorting keys sorts by both.
+        best = np.zeros((len(own), k), np.int64)
+
+        def visit(b: int, rows: np.ndarray) -> None:
+            terms, weights = self.postings[b]
+            cosines = np.rint((own[rows][:, terms] @ weights) * 1e9).astype(np.int64)
+            numbers = (1 << 32) - 1 - (b * self.block + np.arange(weights.shape[1]))
+            keys = np.where(cosines > 0, (cosines << 32) + numbers, 0)
+            best[rows] = -np.sort(-np.concatenate([best[rows], keys], 1), 1)[:, :k]
+
+        if len(self.most):
+            first = bounds.argmax(1)
+            for b in np.unique(first):
+                visit(b, np.flatnonzero(first == b))
+            for b in np.argsort(-bounds.max(0), kind="stable"):
+                least = (best[:, -1] >> 32) * 1e-9
+                rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= least - 2e-9) & (first != b))
+                if len(rows):
+                    visit(b, rows)
+        return [((1 << 32) - 1 - (row[row > 0] & ((1 << 32) - 1)), (row[row > 0] >> 32) * 1e-9) for row in best]
 
 
 def toxicity_scores(
@@ -177,21 +190,17 @@ def toxicity_scores(
     shared = spark.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, done = shared.value, {}
+        index = shared.value
         for batch in batches:
-            out = []
-            for own, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (*own, *counts)
-                if key not in done:
-                    if len(done) > 50_000:
-                        done.clear()
-                    if own:
-                        at, cosines = index.nearest(own, counts, k)
-                        vote = (cosines @ index.labels[at] + SMOOTHING * share) / (cosines.sum() + SMOOTHING)
-                        done[key] = float(vote), index.ids[at].tolist(), cosines.tolist()
-                    else:
-                        done[key] = plain, [], []
-                out.append(done[key])
+            keys = [(tuple(t), tuple(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            distinct = [x for x in dict.fromkeys(keys) if x[0]]
+            done: dict[tuple, tuple] = {((), ()): (plain, [], [])}
+            for i in range(0, len(distinct), QUERIES):
+                part = distinct[i : i + QUERIES]
+                for key, (at, cosines) in zip(part, index.nearest([(list(t), list(c)) for t, c in part], k), strict=True):
+                    vote = (cosines @ index.labels[at] + SMOOTHING * share) / (cosines.sum() + SMOOTHING)
+                    done[key] = float(vote), index.ids[at].tolist(), cosines.tolist()
+            out = [done[key] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.float64()),
                  pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
