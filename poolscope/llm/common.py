@@ -56,6 +56,10 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
             yield batch.slice(start)
 
 
-def documents(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the wanted columns, text as string; extra columns of any name are left behind."""
-    return docs.select(*[docs[c].cast("string").alias(c) if c == "text" else docs[c] for c in columns])
+def documents(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
+    """Only the wanted columns, text as string; with ``whole`` all of them as the struct _whole too.
+
+    Extra columns of any name so never meet those that an operator adds.
+    """
+    wanted = [docs[c].cast("string").alias(c) if c == "text" else docs[c] for c in columns]
+    return docs.select(*wanted, *[F.struct(*[docs[c] for c in docs.columns]).alias("_whole")] * whole)

@@ -209,7 +209,7 @@ def score_texts(docs: DataFrame, vocab, model) -> DataFrame:
             numbers, places, others = v.numbers(text)
             rare = numbers >= heads
             sums = known_log[places]
-            return (numbers.astype(np.int32), int((places >= 0).sum()), float(sums.sum()) - len(numbers) * v.log_base,
+            return (numbers.astype(np.int32), int((sums > 0).sum()), float(sums.sum()) - len(numbers) * v.log_base,
                     float(sums[rare].sum() - v.log_rare[numbers[rare] - heads].sum()), Counter(others))
 
         for held in _buffers(batches, summed):

@@ -183,12 +183,13 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     """The mixed rows of documents, all columns, one row for each time a document is drawn.
 
     Texts stay whole: where a source's quota ends inside a document, it is drawn if at least half of it
-    is wanted. Each shard's rows lie together in the order of their hashes. Cases as in ``taken``; columns
-    named pass, shard, words or order_key, or with a leading underscore, may not be in docs.
+    is wanted. Each shard's rows lie together in the order of their hashes. Cases as in ``taken``; extra columns
+    of any name are kept.
     """
-    _, blocks = plan(docs, shards=shards, seed=seed)
-    rows = draw(docs, blocks, seed=seed).where(2 * F.col("words") >= F.col("_size"))
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "order_key").select(*docs.columns)
+    own = documents(docs, "doc_id", "text", "source", whole=True)
+    _, blocks = plan(own, shards=shards, seed=seed)
+    rows = draw(own, blocks, seed=seed).where(2 * F.col("words") >= F.col("_size"))
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "order_key").select("_whole.*")
 
 
 #: The same figures from windows over all documents.

@@ -45,7 +45,7 @@ def term_frequencies(text: str | None) -> Counter:
     own = Counter((text or "").encode().lower().split())
     if len(_held) > HELD_WORDS:
         _held.clear()
-    new = own.keys() - _held.keys()
+    new = [w for w in own if w not in _held]
     _held.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
     return Counter(dict(zip(map(_held.__getitem__, own), own.values(), strict=True)))
 
