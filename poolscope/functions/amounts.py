@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 _WIDE = "decimal(38,0)"
 _LIMB = 15  # hex digits per limb: 60 bits, so conv() stays inside a signed 64-bit value
+_MOST_HEX = 32  # hex digits of the largest decimal(38,0)
 _WAD = 1e18
 _BLANKS = " \t\n\r\f\x0b"
 
@@ -14,8 +15,9 @@ _BLANKS = " \t\n\r\f\x0b"
 def base_units(col: Column, *, name: str | Column, amount_type: str = "bigint") -> Column:
     """Amount in base units from an integer, a decimal string or a ``0x`` hex string.
 
-    Null and blank give 0, thousands commas are dropped, a decimal point is an error that names the
-    column, and a value outside ``amount_type`` is a cast error.
+    Null and blank give 0 and thousands commas are dropped. Anything else that isn't a whole number
+    (points, exponents, letters) is an error that names the column; so is a value outside
+    ``amount_type``, of which decimal(38,0) is the widest.
     """
     label = F.lit(name) if isinstance(name, str) else name
     text = F.trim(F.coalesce(col.cast("string"), F.lit("0")), F.lit(_BLANKS))
@@ -24,21 +26,23 @@ def base_units(col: Column, *, name: str | Column, amount_type: str = "bigint")
     def fail(why: str) -> Column:
         return F.raise_error(F.concat(label, F.lit(f": {why} '"), text, F.lit("'"))).cast(_WIDE)
 
-    digits = F.regexp_replace(F.substring(lower, 3, 1_000), "^0+(?=.)", "")
-    padded = F.lpad(digits, 2 * _LIMB, "0")
-    limb = lambda start: F.conv(F.substring(padded, start, _LIMB), 16, 10).cast("decimal(20,0)")
-    from_hex = (limb(1) * F.lit(2**60).cast("decimal(19,0)") + limb(_LIMB + 1)).cast(_WIDE)
+    after = F.substr(lower, F.lit(3))
+    digits = F.regexp_replace(after, "^0+(?=.)", "")
+    padded = F.lpad(digits, 3 * _LIMB, "0")
+    limb = lambda k: F.conv(F.substring(padded, k * _LIMB + 1, _LIMB), 16, 10).cast("decimal(19,0)")
+    worth = lambda bits: F.lit(str(1 << bits)).cast(_WIDE)
+    from_hex = (limb(0) * worth(4 * 2 * _LIMB) + limb(1) * worth(4 * _LIMB) + limb(2)).cast(_WIDE)
 
     plain = F.regexp_replace(text, ",", "")
     parsed = (
         F.when(
             lower.startswith("0x"),
             F.when(~digits.rlike("^[0-9a-f]+$"), fail("bad hex value"))
-            .when(F.length(digits) > 2 * _LIMB, fail("value too large"))
+            .when(F.length(digits) > _MOST_HEX, fail("more than 38 decimal digits in"))
             .otherwise(from_hex),
         )
         .when(plain == "", F.lit(0).cast(_WIDE))
-        .when(plain.contains("."), fail("non-integer value"))
+        .when(~plain.rlike("^[+-]?[0-9]+$"), fail("expected a whole number, found"))
         .otherwise(plain.cast(_WIDE))
     )
     return parsed.cast(amount_type)

@@ -13,8 +13,9 @@ from poolscope.operators.ordered import CELL
 from poolscope.operators.rolling import EXPANDING, Measures, Output, Window, rolling
 from poolscope.operators.state import PREVIOUS, with_previous
 from poolscope.operators.ticks import first_last_per_tick
-from poolscope.schemas import AGGREGATED, ATTRIBUTION_CORE, ATTRIBUTION_WINDOWS, SECONDS_PER_YEAR
-from poolscope.session import settled
+from poolscope.schemas import (
+    AGGREGATED, ATTRIBUTION_CORE, ATTRIBUTION_WINDOWS, FLOW_RULES, SECONDS_PER_YEAR, amount_type_of,
+)
 
 # Guards against dividing by (almost) nothing, and the winsorizing bound of the slope.
 EPS_U = 1e-9
@@ -22,15 +23,8 @@ EPS_CONTRIB = 1e-12
 MIN_VARIANCE = 1e-12
 SLOPE_BOUND = 1_000
 
-# Event type, delta column and sign behind each flow.
-_FLOWS = {
-    "borrow_in_assets": ("Borrow", "delta_borrow_assets", 1),
-    "repay_out_assets": ("Repay", "delta_borrow_assets", -1),
-    "liquidate_repay_assets": ("Liquidate", "delta_borrow_assets", -1),
-    "supply_in_assets": ("Supply", "delta_supply_assets", 1),
-    "withdraw_out_assets": ("Withdraw", "delta_supply_assets", -1),
-    "interest_assets": ("AccrueInterest", "delta_borrow_assets", None),
-}
+_FLOWS = ("borrow_in_assets", "repay_out_assets", "liquidate_repay_assets", "supply_in_assets", "withdraw_out_assets",
+          "interest_assets")
 _SHARED = ("withdraw", "repay", "liquidate", "borrow", "supply")
 
 
@@ -39,7 +33,7 @@ def state_levels(ledger: DataFrame, *, seconds_per_year: int = SECONDS_PER_YEAR)
     room = lambda share: (
         F.lit(share) * F.col("total_supplied_assets").cast("double")
         - F.col("outstanding_borrow_assets").cast("double")
-    ).cast("bigint")
+    ).cast(amount_type_of(ledger))
     return ledger.withColumns(
         {
             "borrow_apr": F.col("borrow_rate_per_sec") * F.lit(float(seconds_per_year)),
@@ -57,7 +51,7 @@ def event_flows(ledger: DataFrame) -> DataFrame:
     """
 
     def flow(name: str):
-        event, delta, sign = _FLOWS[name]
+        event, delta, sign = FLOW_RULES[name]
         moved = F.col(delta)
         if sign is not None:
             moved = F.greatest(moved * F.lit(sign), F.lit(0))
@@ -213,17 +207,14 @@ def attribution_core(
     eps_contrib: float = EPS_CONTRIB,
     first_last_only: bool = False,
     tick_seconds: int = 300,
-    min_rows: int = 1_000,
 ) -> DataFrame:
     """The per-row part: 20 ledger columns and 26 attribution columns, other columns kept after them.
 
     Takes any frame with the ledger's columns: events, blocks or ticks. ``first_last_only`` first
-    reduces markets of more than ``min_rows`` rows to the first and last row of each tick; changes then
-    span the dropped rows while flows do not, so residuals grow. A tick ledger avoids that.
+    reduces every market to the first and last row of each tick; changes then span the dropped rows while
+    flows do not, so residuals grow. A tick ledger avoids that.
     """
-    return _core(
-        ledger, seconds_per_year, eps_u, eps_contrib, first_last_only, tick_seconds, min_rows
-    ).drop(CELL)
+    return _core(ledger, seconds_per_year, eps_u, eps_contrib, first_last_only, tick_seconds).drop(CELL)
 
 
 def _core(
@@ -233,12 +224,9 @@ def _core(
     eps_contrib: float,
     first_last_only: bool,
     tick_seconds: int,
-    min_rows: int,
 ) -> DataFrame:
     if first_last_only:
-        ledger = settled(
-            first_last_per_tick(ledger.drop(*PREVIOUS, CELL), tick_seconds=tick_seconds, min_rows=min_rows)
-        )
+        ledger = first_last_per_tick(ledger.drop(*PREVIOUS, CELL), tick_seconds=tick_seconds)
     if not has_previous(ledger):
         ledger = with_previous(
             ledger,
@@ -294,10 +282,9 @@ def attribution(
     eps_contrib: float = EPS_CONTRIB,
     first_last_only: bool = False,
     tick_seconds: int = 300,
-    min_rows: int = 1_000,
 ) -> DataFrame:
     """The full attribution table: per-row part, window statistics, all-time statistics."""
     adjacent = has_previous(ledger) and not first_last_only
-    core = _core(ledger, seconds_per_year, eps_u, eps_contrib, first_last_only, tick_seconds, min_rows)
+    core = _core(ledger, seconds_per_year, eps_u, eps_contrib, first_last_only, tick_seconds)
     chosen = chosen_windows(windows, compute_windows)
     return attribution_windows(core, windows=chosen, expanding=expanding, repeats=not adjacent)

@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 from poolscope.operators.state import with_previous
 from poolscope.schemas import ATTRIBUTION_CORE, LEDGER, RAW_LEDGER, event_schema, indicator_schema
 
-INTEGER_COLUMNS = (
-    "delta_supply_assets", "delta_borrow_assets", "delta_collateral_assets",
-    "total_supplied_assets", "outstanding_borrow_assets", "total_collateral_assets",
-    "headroom_u90_assets", "headroom_u95_assets",
+#: The whole-number amounts of the attribution table.
+INTEGER_COLUMNS = tuple(
+    f.name for f in ATTRIBUTION_CORE.fields if isinstance(f.dataType, T.LongType) and f.name.endswith("_assets")
 )
 
 
@@ -53,31 +52,33 @@ def require_attribution(df: DataFrame) -> DataFrame:
 
 
 def require_integers(df: DataFrame, columns: Sequence[str], *, context: str) -> DataFrame:
-    """The frame itself; KeyError, TypeError or ValueError if a column is absent, not bigint, or has nulls."""
+    """The frame itself; KeyError, TypeError or ValueError if a column is absent, no whole-number type, or has nulls."""
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        raise KeyError(f"{context}: no such amounts: {absent}")
     for c in columns:
-        if c not in df.columns:
-            raise KeyError(f"{context}: missing integer column {c}")
-        if not isinstance(df.schema[c].dataType, T.LongType):
-            raise TypeError(f"{context}: {c} must be bigint; got {df.schema[c].dataType.simpleString()}")
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    for c in columns:
-        if nulls[c]:
-            raise ValueError(f"{context}: {c} has {nulls[c]} nulls")
+        kind = df.schema[c].dataType
+        if not isinstance(kind, T.LongType) and not (isinstance(kind, T.DecimalType) and kind.scale == 0):
+            raise TypeError(f"{context}: amounts are bigint or decimal(n,0), but {c} is {kind.simpleString()}")
+    found = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    unset = {c: found[c] for c in columns if found[c]}
+    if unset:
+        raise ValueError(f"{context}: amounts not set, rows by column: {unset}")
     return df
 
 
 def require_utilization(df: DataFrame, *, column: str = "utilization_rate", context: str) -> DataFrame:
     """The frame itself; error if utilization is absent, undefined, or outside [0, 1] by more than 1e-12."""
     if column not in df.columns:
-        raise KeyError(f"{context}: missing {column}")
+        raise KeyError(f"{context}: no column {column}")
     u = F.col(column)
     seen = df.agg(
         F.count_if(u.isNull() | F.isnan(u)).alias("undefined"), F.min(u).alias("low"), F.max(u).alias("high")
     ).first()
     if seen["undefined"]:
-        raise ValueError(f"{context}: {column} contains NaNs")
+        raise ValueError(f"{context}: {seen['undefined']} rows have no {column}")
     if seen["low"] is not None and (seen["low"] < -1e-12 or seen["high"] > 1 + 1e-12):
-        raise ValueError(f"{context}: {column} out of bounds [0,1]. min={seen['low']}, max={seen['high']}")
+        raise ValueError(f"{context}: {column} runs from {seen['low']} to {seen['high']}, beyond a share")
     return df
 
 
@@ -96,11 +97,20 @@ def timestamp_order(ledger: DataFrame) -> DataFrame:
     return back.join(split, "market_id").select("market_id", "rows", "backward_rows", "split_blocks")
 
 
+def require_time_order(ledger: DataFrame) -> DataFrame:
+    """The frame itself; ValueError if time runs backward in a market, or a block has two timestamps. Runs a job."""
+    bad = timestamp_order(ledger).where("backward_rows > 0 OR split_blocks > 0").orderBy("market_id").limit(5).collect()
+    if bad:
+        told = ", ".join(f"{r['market_id']}: {r['backward_rows']} rows back, {r['split_blocks']} blocks split" for r in bad)
+        raise ValueError(f"timestamps are not in ledger order ({told})")
+    return ledger
+
+
 def integrity_report(attribution: DataFrame, *, max_residual_abs: float = 0.01) -> DataFrame:
     """One row per market and check: severity, violations, largest value seen, passed.
 
     Errors: nulls in integer columns, utilization outside [0, 1], flows that do not add up to the borrow
-    delta. Warnings: more than 5% of rows with a large residual, interest rows whose supply or borrow
+    delta, timestamps that run backward or differ within a block (``timestamp_order``, on the rows' keys). Warnings: more than 5% of rows with a large residual, interest rows whose supply or borrow
     delta is not the interest.
     """
     col, zero = F.col, F.lit(0.0)
@@ -153,7 +163,11 @@ def integrity_report(attribution: DataFrame, *, max_residual_abs: float = 0.01)
             for name, severity, violations, largest, passed in lines
         ]
     )
-    return one.select("market_id", F.inline(rows))
+    unordered = timestamp_order(attribution).withColumn("violations", F.col("backward_rows") + F.col("split_blocks")).select(
+        "market_id", F.lit("timestamp_order").alias("check"), F.lit("error").alias("severity"), "violations",
+        F.col("violations").cast("double").alias("max_value"), (F.col("violations") == 0).alias("passed"),
+    )
+    return one.select("market_id", F.inline(rows)).unionByName(unordered)
 
 
 def passed(report: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from poolscope.functions import ratio_or
 from poolscope.operators.ordered import CELL
 from poolscope.operators.rolling import Measures, Output, Window, rolling
 from poolscope.operators.state import PREVIOUS, with_previous
-from poolscope.schemas import INDICATOR_WINDOWS, LEDGER, SECONDS_PER_YEAR, indicator_schema
+from poolscope.schemas import (
+    INDICATOR_WINDOWS, LEDGER, SECONDS_PER_YEAR, amount_type_of, indicator_schema, with_amounts,
+)
 
 # Flow behind each intensity.
 _INTENSITIES = {
@@ -111,6 +113,5 @@ def market_indicators(
     df = rolling(df.select(*keep), _MEASURES, windows, _statistics, repeats=not adjacent)
     if "6h" in windows:
         df = df.withColumn("borrow_apr_6h_avg_ui", F.col("borrow_apr_mean_6h"))
-    return df.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in indicator_schema(windows).fields]
-    )
+    fields = with_amounts(indicator_schema(windows), amount_type_of(ledger)).fields
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])

@@ -88,14 +88,16 @@ def describe(
     *,
     part: Sequence[str] = ("market_id",),
     probabilities: Sequence[float] = (0.25, 0.5, 0.75),
+    ready: bool = False,
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quantiles of several columns per ``part``.
 
     The columns are settled first (see :func:`poolscope.session.settled`), as they are read for the
-    counts and for every level of the ranks.
+    counts and for every level of the ranks; with ``ready`` the caller has done so. Runs a job else.
     """
     part = list(part)
-    df = settled(df.select(*part, *columns))
+    df = df.select(*part, *columns)
+    df = df if ready else settled(df)
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     long = df.selectExpr(*part, f"stack({len(columns)}, {pairs}) AS (metric, value)")
     # x + 0 folds negative zero into zero, so both count as one value.

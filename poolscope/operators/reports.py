@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolscope.operators.quantiles import describe
+from poolscope.session import settled
 
 _MEASURES = ["total_supplied_assets", "outstanding_borrow_assets", "total_collateral_assets",
              "utilization_rate", "borrow_apy", "supply_apy"]
@@ -123,16 +124,17 @@ def _share(df: DataFrame, large, name: str) -> DataFrame:
 
 def residual_summary(attribution: DataFrame, *, threshold: float = 0.01) -> DataFrame:
     """Distribution of the residuals, with the count and share of large ones."""
+    rows = settled(attribution.select("market_id", "delta_u_residual"))
     large = F.abs("delta_u_residual") > threshold
-    summary = describe(attribution, ["delta_u_residual"]).drop("metric")
-    return summary.join(_share(attribution, large, "large_residuals"), "market_id")
+    summary = describe(rows, ["delta_u_residual"], ready=True).drop("metric")
+    return summary.join(_share(rows, large, "large_residuals"), "market_id")
 
 
 def irm_summary(attribution: DataFrame, *, threshold: float = 1.0) -> DataFrame:
     """Distribution of the defined slopes, with the count and share of steep ones."""
-    defined = attribution.where("irm_slope IS NOT NULL")
+    defined = settled(attribution.where("irm_slope IS NOT NULL").select("market_id", "irm_slope"))
     steep = F.abs("irm_slope") > threshold
-    return describe(defined, ["irm_slope"]).drop("metric").join(_share(defined, steep, "steep_slopes"), "market_id")
+    return describe(defined, ["irm_slope"], ready=True).drop("metric").join(_share(defined, steep, "steep_slopes"), "market_id")
 
 
 def steep_slopes(attribution: DataFrame, *, threshold: float = 1.0) -> DataFrame:
@@ -173,7 +175,9 @@ def quality_summary(attribution: DataFrame) -> DataFrame:
         - F.col("delta_borrow_assets").cast("double")
     )
     integers = ["delta_supply_assets", "delta_borrow_assets", "total_supplied_assets", "outstanding_borrow_assets"]
-    basic = attribution.groupBy("market_id").agg(
+    rows = settled(attribution.select("market_id", *integers, "utilization_rate", residual.alias("residual"), off.alias("off")))
+    residual, off = F.col("residual"), F.col("off")
+    basic = rows.groupBy("market_id").agg(
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in integers],
         F.min(u).alias("min_utilization"),
         F.max(u).alias("max_utilization"),
@@ -183,9 +187,7 @@ def quality_summary(attribution: DataFrame) -> DataFrame:
         F.avg(off).alias("mean_flow_diff"),
         F.count_if(off > 1.0).alias("flow_diffs"),
     )
-    sizes = describe(
-        attribution.select("market_id", residual.alias("residual")), ["residual"], probabilities=(0.5, 0.95)
-    ).select(
+    sizes = describe(rows, ["residual"], probabilities=(0.5, 0.95), ready=True).select(
         "market_id",
         F.col("mean").alias("mean_residual"), F.col("p50").alias("median_residual"),
         F.col("p95").alias("p95_residual"), F.col("max").alias("max_residual"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from poolscope.functions import annual_yield, utilization
 from poolscope.operators.ordered import CELL, LOGS_PER_CELL, Running, cell_of, ledger_levels, running
-from poolscope.schemas import LEDGER, SECONDS_PER_YEAR
+from poolscope.schemas import LEDGER, SECONDS_PER_YEAR, WIDE, amount_type_of
 
 TOTALS = {
     "total_supplied_assets": "delta_supply_assets",
@@ -52,7 +52,9 @@ def with_running_state(
     sizes = {"logs_per_cell": logs_per_cell, "blocks_per_span": blocks_per_span}
     levels = ledger_levels(**{k: v for k, v in sizes.items() if v})
     rate = F.col("borrow_rate_per_sec")
-    items = [Running("sum", F.col(delta), upto=total) for total, delta in TOTALS.items()]
+    # Wide sums: a part of one may pass 64 bits where the total doesn't.
+    kind = amount_type_of(raw)
+    items = [Running("sum", F.col(delta).cast(WIDE), upto=total) for total, delta in TOTALS.items()]
     items.append(Running("last", rate, upto="_rate", before="_prev_rate"))
     items.append(Running("sum", F.lit(1).cast("bigint"), upto="_row"))
     out = running(raw, items, part=["market_id"], order=["log_index"], levels=levels)
@@ -60,6 +62,7 @@ def with_running_state(
     return out.withColumns(
         {
             "borrow_rate_per_sec": _leading(F.col("_rate"), leading_rate),
+            **{total: F.col(total).cast(kind) for total in TOTALS},
             # The first row has no previous row, whatever the leading rate is set to.
             "_prev_rate": F.when(~first, _leading(F.col("_prev_rate"), leading_rate)),
         }

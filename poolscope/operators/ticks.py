@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from poolscope.operators.joins import join_spread
 from poolscope.operators.ordered import BLOCKS_PER_SPAN, Running, running
-from poolscope.schemas import AGGREGATED, AGGREGATED_LEDGER, FLOW_TOTALS
+from poolscope.schemas import AGGREGATED, AGGREGATED_LEDGER, FLOW_RULES, FLOW_TOTALS, WIDE, amount_type_of, with_amounts
 from poolscope.session import settled
 
 _ROWS_PER_EXPLODE = 4_096
@@ -25,27 +25,15 @@ _CHANGES = {
     "delta_borrow_apy": "borrow_apy",
     "delta_supply_apy": "supply_apy",
 }
-# Event type, delta column and sign behind each flow total (None: any sign, as is).
-_FLOW_RULES = {
-    "supply_in_assets": ("Supply", "delta_supply_assets", 1),
-    "withdraw_out_assets": ("Withdraw", "delta_supply_assets", -1),
-    "borrow_in_assets": ("Borrow", "delta_borrow_assets", 1),
-    "repay_out_assets": ("Repay", "delta_borrow_assets", -1),
-    "liquidate_repay_assets": ("Liquidate", "delta_borrow_assets", -1),
-    "interest_assets": ("AccrueInterest", "delta_borrow_assets", None),
-    "collateral_in_assets": ("SupplyCollateral", "delta_collateral_assets", 1),
-    "collateral_out_assets": ("WithdrawCollateral", "delta_collateral_assets", -1),
-}
-
 
 def tick_of(timestamp: Column | str, tick_seconds: int) -> Column:
     """Start of the tick that holds a Unix second."""
     ts = F.col(timestamp) if isinstance(timestamp, str) else timestamp
-    return F.floor(ts / F.lit(int(tick_seconds))) * F.lit(int(tick_seconds))
+    return ts - F.pmod(ts, F.lit(int(tick_seconds)))  # in whole numbers
 
 
 def _flow(name: str) -> Column:
-    event, delta, sign = _FLOW_RULES[name]
+    event, delta, sign = FLOW_RULES[name]
     moved = F.col(delta)
     if sign is not None:
         moved = F.greatest(moved * F.lit(sign), F.lit(0))
@@ -62,18 +50,18 @@ def _condense(ledger: DataFrame, key: Column, name: str) -> DataFrame:
         .groupBy("market_id", name)
         .agg(
             last.alias("_last"),
-            *[F.sum(d).alias(d) for d in _DELTAS],
-            *[F.sum(_flow(f)).alias(f) for f in FLOW_TOTALS],
+            # Wide sums: one may pass 64 bits on its way to a result that doesn't.
+            *[F.sum(F.col(d).cast(WIDE)).alias(d) for d in _DELTAS],
+            *[F.sum(_flow(f).cast(WIDE)).alias(f) for f in FLOW_TOTALS],
             F.count(F.lit(1)).alias("event_count"),
         )
     )
 
 
-def _finish(df: DataFrame) -> DataFrame:
+def _finish(df: DataFrame, amount_type: T.DataType) -> DataFrame:
     df = df.withColumn("event_type", F.lit(AGGREGATED))
-    return df.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in AGGREGATED_LEDGER.fields]
-    )
+    fields = with_amounts(AGGREGATED_LEDGER, amount_type).fields
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def block_ledger(ledger: DataFrame) -> DataFrame:
@@ -93,7 +81,7 @@ def block_ledger(ledger: DataFrame) -> DataFrame:
         d: F.when(F.col("_row") == 1, F.lit(0.0)).otherwise(F.col(c) - F.col(f"_p_{c}"))
         for d, c in _CHANGES.items()
     }
-    return _finish(blocks.withColumns(change))
+    return _finish(blocks.withColumns(change), amount_type_of(ledger))
 
 
 def tick_ledger(ledger: DataFrame, *, tick_seconds: int = 300, fill: str = "last") -> DataFrame:
@@ -136,6 +124,8 @@ def tick_ledger(ledger: DataFrame, *, tick_seconds: int = 300, fill: str = "last
     unfolded = (
         ticks.withColumn("_gap", gap.cast("bigint"))
         .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_gap"), step.cast("bigint"))))
+        # A long gap's stretches go to many tasks before they unfold.
+        .repartition("market_id", "tick", "_from")
         .withColumn(
             "_i", F.explode(F.sequence("_from", F.least(F.col("_from") + step - 1, F.col("_gap"))))
         )
@@ -161,7 +151,7 @@ def tick_ledger(ledger: DataFrame, *, tick_seconds: int = 300, fill: str = "last
         *[F.when(filled, F.lit(0)).otherwise(F.col(c)).alias(c) for c in zeroed],
         *[change(c).alias(d) for d, c in _CHANGES.items()],
     )
-    return _finish(out)
+    return _finish(out, amount_type_of(ledger))
 
 
 def aggregate_ledger(
@@ -175,28 +165,12 @@ def aggregate_ledger(
     raise ValueError("aggregation_level must be 'tick' or 'block'")
 
 
-def first_last_per_tick(
-    ledger: DataFrame, *, tick_seconds: int = 300, min_rows: int = 0
-) -> DataFrame:
-    """First and last row of every tick (one row where they coincide), columns unchanged.
-
-    Markets with at most ``min_rows`` rows are kept whole.
-    """
-    pos = F.struct("block_timestamp", "block_number", "log_index")
-    ticks = (
-        ledger.groupBy("market_id", tick_of("block_timestamp", tick_seconds).alias("_tick"))
-        .agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.count(F.lit(1)).alias("_n"))
+def first_last_per_tick(ledger: DataFrame, *, tick_seconds: int = 300) -> DataFrame:
+    """First and last row of every tick (one row where they coincide), columns unchanged, of every market."""
+    position = F.struct("block_timestamp", "block_number", "log_index")
+    row = F.struct(*[F.col(c) for c in ledger.columns])
+    ends = ledger.groupBy("market_id", tick_of("block_timestamp", tick_seconds).alias("_tick")).agg(
+        F.min_by(row, position).alias("_first"), F.max_by(row, position).alias("_last")
     )
-    ends = ticks.select("market_id", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_pos"))
-    ends = ends.select("market_id", "_pos.*")
-    # The keys are unique per row, so neither side of this join can be skewed.
-    keys = ["market_id", "block_timestamp", "block_number", "log_index"]
-    if not min_rows:
-        return ledger.join(ends, keys, "left_semi").select(*ledger.columns)
-
-    small = ticks.groupBy("market_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") <= min_rows)
-    marked = join_spread(
-        ledger, small.select("market_id", F.lit(True).alias("_small")), ["market_id"],
-        spread=[F.col("block_number"), F.col("log_index")],
-    ).join(ends.withColumn("_end", F.lit(True)), keys, "left")
-    return marked.where(F.col("_small") | F.col("_end")).select(*ledger.columns)
+    same = (F.col("_first.block_number") == F.col("_last.block_number")) & (F.col("_first.log_index") == F.col("_last.log_index"))
+    return ends.select(F.inline(F.when(same, F.array("_first")).otherwise(F.array("_first", "_last"))))

@@ -1,4 +1,10 @@
-"""From event tables to finished datasets. Every function is lazy and serves all markets at once."""
+"""From event tables to finished datasets, of all markets at once.
+
+All functions are lazy but ``tick_dataset``, which settles the condensed rows: it runs a job when called.
+Common options: ``seconds_per_year`` holds for every yield and rate of a dataset; ``leading_rate`` says what
+holds before a market's first interest event; ``amount_type`` is bigint or, for larger amounts,
+decimal(38,0), and is kept by every integer column.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +13,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from poolscope.operators.attribution import attribution
-from poolscope.operators.checks import integrity_report
+from poolscope.operators.checks import integrity_report, require_time_order
 from poolscope.operators.indicators import market_indicators
 from poolscope.operators.standardize import raw_ledger_together
 from poolscope.operators.state import state_frame
 from poolscope.operators.ticks import aggregate_ledger
-from poolscope.schemas import LEDGER
+from poolscope.schemas import LEDGER, SECONDS_PER_YEAR
 from poolscope.sources.events import EventStore
 
 Markets = str | Iterable[str] | None
 
 
-def ledger_state(store: EventStore, market_ids: Markets = None, **options) -> DataFrame:
+def ledger_state(store: EventStore, market_ids: Markets = None, *, amount_type: str = "bigint", **options) -> DataFrame:
     """Scan, standardize, running state; keeps the previous-row columns for the steps that follow."""
-    return state_frame(raw_ledger_together(store.read_together(market_ids)), **options)
+    return state_frame(raw_ledger_together(store.read_together(market_ids), amount_type=amount_type), **options)
 
 
 def enriched_ledger_dataset(store: EventStore, market_ids: Markets = None, **options) -> DataFrame:
@@ -45,10 +51,16 @@ def tick_dataset(
 
 
 def indicator_dataset(
-    store: EventStore, market_ids: Markets = None, *, windows: dict[str, int] | None = None, **options
+    store: EventStore,
+    market_ids: Markets = None,
+    *,
+    windows: dict[str, int] | None = None,
+    seconds_per_year: int = SECONDS_PER_YEAR,
+    **options,
 ) -> DataFrame:
     """The ledger with rolling indicators."""
-    return market_indicators(ledger_state(store, market_ids, **options), windows=windows)
+    ledger = ledger_state(store, market_ids, seconds_per_year=seconds_per_year, **options)
+    return market_indicators(ledger, windows=windows, seconds_per_year=seconds_per_year)
 
 
 def attribution_dataset(
@@ -58,16 +70,26 @@ def attribution_dataset(
     ledger: DataFrame | None = None,
     compute_windows: Iterable[str] | None = None,
     validate: bool = True,
+    seconds_per_year: int = SECONDS_PER_YEAR,
+    leading_rate: str = "null",
+    amount_type: str = "bigint",
+    refuse_unordered: bool = False,
     **options,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The attribution table and its integrity report (None unless ``validate``).
 
-    Starts from a store, or from any frame with the ledger's columns.
+    Starts from a store, or from any frame with the ledger's columns, to which ``leading_rate`` and
+    ``amount_type`` don't apply. Windows need timestamps in order: the report has a line on it, and
+    ``refuse_unordered`` raises before any window is planned (a job over the ledger's keys).
     """
     if ledger is None:
         if store is None:
             raise ValueError("give a store or a ledger")
-        ledger = ledger_state(store, market_ids)
-    table = attribution(ledger, compute_windows=compute_windows, **options)
+        ledger = ledger_state(
+            store, market_ids, seconds_per_year=seconds_per_year, leading_rate=leading_rate, amount_type=amount_type
+        )
+    if refuse_unordered:
+        require_time_order(ledger)
+    table = attribution(ledger, compute_windows=compute_windows, seconds_per_year=seconds_per_year, **options)
     # The checks read per-row columns only; the optimizer drops the windows from that plan.
     return table, integrity_report(table) if validate else None

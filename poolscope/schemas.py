@@ -83,26 +83,28 @@ LEDGER = _struct(
     ("total_supplied_assets", "bigint", False),
     ("outstanding_borrow_assets", "bigint", False),
     ("total_collateral_assets", "bigint", False),
-    ("borrow_rate_per_sec", "double", False),
+    ("borrow_rate_per_sec", "double", True),
     ("utilization_rate", "double", False),
-    ("borrow_apy", "double", False),
-    ("supply_rate_per_sec", "double", False),
-    ("supply_apy", "double", False),
+    ("borrow_apy", "double", True),
+    ("supply_rate_per_sec", "double", True),
+    ("supply_apy", "double", True),
     ("delta_utilization", "double", False),
-    ("delta_borrow_apy", "double", False),
-    ("delta_supply_apy", "double", False),
+    ("delta_borrow_apy", "double", True),
+    ("delta_supply_apy", "double", True),
 )
 
-FLOW_TOTALS = [
-    "supply_in_assets",
-    "withdraw_out_assets",
-    "borrow_in_assets",
-    "repay_out_assets",
-    "liquidate_repay_assets",
-    "interest_assets",
-    "collateral_in_assets",
-    "collateral_out_assets",
-]
+# Event type, delta column and sign behind each flow total (None: any sign, as is).
+FLOW_RULES = {
+    "supply_in_assets": ("Supply", "delta_supply_assets", 1),
+    "withdraw_out_assets": ("Withdraw", "delta_supply_assets", -1),
+    "borrow_in_assets": ("Borrow", "delta_borrow_assets", 1),
+    "repay_out_assets": ("Repay", "delta_borrow_assets", -1),
+    "liquidate_repay_assets": ("Liquidate", "delta_borrow_assets", -1),
+    "interest_assets": ("AccrueInterest", "delta_borrow_assets", None),
+    "collateral_in_assets": ("SupplyCollateral", "delta_collateral_assets", 1),
+    "collateral_out_assets": ("WithdrawCollateral", "delta_collateral_assets", -1),
+}
+FLOW_TOTALS = list(FLOW_RULES)
 
 AGGREGATED_LEDGER = T.StructType(
     LEDGER.fields
@@ -123,6 +125,25 @@ ATTRIBUTION_WINDOWS = {
 }
 
 
+#: What sums of amounts are held in, and the widest type an amount may have.
+WIDE = "decimal(38,0)"
+_AMOUNTS = {f.name for f in AGGREGATED_LEDGER.fields if isinstance(f.dataType, T.LongType)} - {
+    "block_number", "log_index", "block_timestamp", "event_count"} | {"headroom_u90_assets", "headroom_u95_assets"}
+
+
+def amount_type_of(ledger) -> T.DataType:
+    """The type of a ledger's amounts."""
+    return ledger.schema["delta_supply_assets"].dataType
+
+
+def with_amounts(schema: T.StructType, amount_type: T.DataType) -> T.StructType:
+    """The schema with whole-number amounts in another type."""
+    return T.StructType([
+        T.StructField(f.name, amount_type if f.name in _AMOUNTS and isinstance(f.dataType, T.LongType) else f.dataType, f.nullable)
+        for f in schema.fields
+    ])
+
+
 def indicator_schema(windows: dict[str, int] | None = None) -> T.StructType:
     """The ledger's 20 columns and the engineered features (39 for the default three windows)."""
     labels = list(windows or INDICATOR_WINDOWS)

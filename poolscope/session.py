@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_owners: list[list[str]] = []
 
 
 def build_session(master: str | None = None, *, app: str = "poolscope", **conf: str) -> SparkSession:
@@ -31,7 +36,10 @@ def build_session(master: str | None = None, *, app: str = "poolscope", **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, else a temporary one in local mode."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else a temporary one in local mode.
+
+    The temporary one goes when the interpreter ends.
+    """
     global _local_folder
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -40,6 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="poolscope-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 
@@ -47,8 +56,24 @@ def settled(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back.
 
     For results that later steps read more than once: their lineage is computed once, survives the
-    loss of executors, and later reads are columnar. Runs a job when called.
+    loss of executors, and later reads are columnar. Runs a job when called. The files belong to the
+    innermost ``settling`` block, which deletes them when it ends; without one they stay.
     """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settling(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables settled inside: write or collect results before the block ends, as it deletes them."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _owners.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)

@@ -109,13 +109,3 @@ def write_features(df: DataFrame, path: str, *, mode: str = "errorifexists", by_
     if by_market:
         writer = writer.partitionBy("market_id")
     writer.parquet(path)
-
-
-def head_as_arrow(df: DataFrame, rows: int):
-    """The first ``rows`` rows as an Arrow table (the limit keeps the driver's share bounded)."""
-    return df.limit(rows).toArrow()
-
-
-def head_as_pandas(df: DataFrame, rows: int):
-    """The first ``rows`` rows as a pandas frame."""
-    return df.limit(rows).toPandas()

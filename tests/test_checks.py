@@ -31,12 +31,12 @@ def test_value_contracts(spark):
         checks.require_integers(df, ["absent"], context="t")
     with pytest.raises(TypeError):
         checks.require_integers(df, ["s"], context="t")
-    with pytest.raises(ValueError, match="1 nulls"):
+    with pytest.raises(ValueError, match="not set"):
         checks.require_integers(df, ["n"], context="t")
     checks.require_integers(df.where("n = 1"), ["n"], context="t")
-    with pytest.raises(ValueError, match="out of bounds"):
+    with pytest.raises(ValueError, match="beyond a share"):
         checks.require_utilization(df, column="u", context="t")
-    with pytest.raises(ValueError, match="NaN"):
+    with pytest.raises(ValueError, match="have no"):
         checks.require_utilization(df.selectExpr("double('nan') AS u"), column="u", context="t")
     with pytest.raises(KeyError):
         checks.require_utilization(df, context="t")

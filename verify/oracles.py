@@ -290,6 +290,12 @@ CORE = LEDGER + _attribution()
 SPLIT = LEDGER + _SPLIT
 
 
+def wide(sql: str) -> str:
+    """The same query over amounts 10^15 times as large, in 128-bit integers."""
+    larger = sql.replace("ELSE 200 END AS amount", "ELSE 200 END * 1000000000000000::HUGEINT AS amount")
+    return larger.replace("AS BIGINT)", "AS HUGEINT)")
+
+
 def attribution_windows(windows: dict[str, int | None], measures: dict[str, str]) -> str:
     return CORE + _windowed("win", "attr", windows, measures)
 
