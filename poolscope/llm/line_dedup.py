@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import SPACES
+from poolscope.llm.common import SPACES, documents
 from poolscope.session import settled, shared_folder
 
 LEAST_CHARS = 40
@@ -22,6 +22,7 @@ LEAST_DOCS = 5
 BATCHES = 4
 FANOUT = 4
 HEAVY = 1000
+ENTRY = "h1 long, h2 long, n_docs long, last_doc long"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = -(1 << 63)
 
@@ -68,7 +69,7 @@ class LineRuns:
             return self.spark.table(runs[0])
         # Files, not tables: over a union of bucketed scans Spark 4.1 leaves out the shuffle but not the
         # rule that turns bucketing off, so entries of one key would not meet.
-        every = self.spark.read.parquet(*[f"{shared_folder(self.spark)}/{name}" for name in runs])
+        every = self.spark.read.schema(ENTRY).parquet(*[f"{shared_folder(self.spark)}/{name}" for name in runs])
         return every.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def add(self, lines: DataFrame) -> None:
@@ -125,22 +126,23 @@ def dedup_lines(
     n_dropped are replaced. Empty tables give an empty result. Runs jobs when called.
     """
     spark = docs.sparkSession
-    text = docs["text"].cast("string")
-    docs = docs.drop("n_lines", "n_dropped").withColumn("text", text)
+    docs = docs.drop("n_lines", "n_dropped")
     # A key's hashes are read twice, here for the runs and below for the join.
-    hashes = settled(line_hashes(docs, least_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))))
+    own = documents(docs, "doc_id", "text", whole=True)
+    hashes = settled(line_hashes(own, least_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))))
     runs = LineRuns(spark, fanout=fanout)
     for batch in range(batches):
         runs.add(hashes.where(F.col("batch") == batch))
     gone = runs.repeated(hashes, least_docs).groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row"))
     gone = gone.agg(F.collect_set("at").alias("_gone"))
-    same = (F.coalesce(docs["doc_id"], F.lit(_NO_ID)) == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_row"])
-    both = docs.join(gone, same, "left").withColumn("_lines", _lines(F.col("text")))
+    same = (F.coalesce(own["doc_id"], F.lit(_NO_ID)) == gone["_doc"]) & (F.xxhash64(own["text"]) == gone["_row"])
+    both = own.select("doc_id", "text", "_whole").join(gone, same, "left").withColumn("_lines", _lines(F.col("text")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(rest)
+    fields = [text.alias(c) if c == "text" else F.col("_whole")[c].alias(c) for c in docs.columns]
     return both.select(
-        *[(F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(rest).alias("text")
-           if c == "text" else docs[c]) for c in docs.columns],
+        *fields,
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
