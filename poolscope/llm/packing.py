@@ -86,7 +86,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 def cuts(length: int, capacity: int = CAPACITY, tail: int = LEAST_TAIL) -> list[int]:
     """Lengths of a document's pieces, in order: whole capacities, halves, quarters and so on, and a tail.
 
-    A tail shorter than ``tail`` is left only by a document that is itself shorter.
+    A tail shorter than ``tail`` is left only where what whole capacities leave is shorter.
     """
     whole, rest = divmod(length, capacity)
     pieces, size = [capacity] * whole, capacity // 2
