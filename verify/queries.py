@@ -306,6 +306,12 @@ for _name, _measures in {
 _LONG_MEASURES = O.LEVELS | O.INTENSITIES | O.CONTRIBUTIONS | O.VOLATILITY
 _add("attr_long_windows", lambda s: A.attribution(P.ledger_state(s), compute_windows=_LONG, expanding=False),
      O.attribution_windows(_LONG, _LONG_MEASURES), "win", _ROW, _rolled(list(_LONG_MEASURES), _LONG))
+_SHARE_WINDOWS = {**_LONG, "90d": 7_776_000}
+_add("vol_share_long", lambda s: A.attribution(P.ledger_state(s), compute_windows=_SHARE_WINDOWS, expanding=False),
+     O.attribution_windows(_SHARE_WINDOWS, O.SHARES), "win", _ROW, _rolled(list(O.SHARES), _SHARE_WINDOWS))
+_add("attribution_dataset", lambda s: P.attribution_dataset(s, compute_windows=_SHORT)[0],
+     O.attribution_windows(_SHORT, O.LEVELS), "win", _names(ATTRIBUTION_CORE, "exact"),
+     [*_names(ATTRIBUTION_CORE, "double"), *_rolled(list(O.LEVELS), _SHORT)])
 _SOME = {k: (O.LEVELS | O.INTENSITIES | O.CONTRIBUTIONS | O.VOLATILITY)[k]
          for k in ("util_mean", "util_max", "util_std", "borrow_apr_mean", "borrow_intensity", "supply_intensity",
                    "interest_intensity", "contrib_borrow_sum", "contrib_withdraw_abs_sum", "delta_u_std")}
@@ -441,6 +447,11 @@ _add("latest_rows",
      O.attribution_windows(_HOUR, O.LEVELS),
      "(SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY rn DESC) AS age FROM win QUALIFY age <= 20)",
      [*_ROW, "age"], _LATEST)
+_add("latest_all_time",
+     lambda s: reports.latest_rows(A.attribution(P.ledger_state(s), compute_windows=[]), _rolled(list(O.ALL_TIME), _EXPANDING), 1),
+     O.attribution_windows(_EXPANDING, O.ALL_TIME),
+     "(SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY rn DESC) AS age FROM win QUALIFY age <= 1)",
+     [*_ROW, "age"], _rolled(list(O.ALL_TIME), _EXPANDING))
 
 
 def registered() -> dict[str, Query]:
