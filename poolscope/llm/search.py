@@ -31,9 +31,9 @@ SHARD_DOCS = 8192
 SHARD_POSTINGS = 3_000_000
 BLOCK = 128
 HEAD_TERMS = 384
-SIDE = 512
+SIDE = 256
 QUERY_POSTINGS = 1_500_000
-EXPANDED = 4_000_000
+EXPANDED = 1_000_000
 BATCH_BYTES = 4_000_000
 HELD_WORDS = 300_000
 
@@ -83,8 +83,10 @@ class Shard:
         return [getattr(self, f).astype(k).tobytes() for f, k in zip(self._fields, self._kinds, strict=True)]
 
     @staticmethod
-    def unpacked(row: dict) -> Shard:
-        return Shard(*[np.frombuffer(row[f], k) for f, k in zip(Shard._fields, Shard._kinds, strict=True)])
+    def unpacked(batch: pa.RecordBatch) -> Iterator[Shard]:
+        """The shards of a batch, one at a time, as views of its memory."""
+        for i in range(batch.num_rows):
+            yield Shard(*[np.frombuffer(batch.column(f)[i].as_buffer(), k) for f, k in zip(Shard._fields, Shard._kinds, strict=True)])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -119,8 +121,8 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                terms, start = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["start"], np.int64)
+            for row in range(batch.num_rows):
+                terms, start = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int64) for c in ("terms", "start"))
                 for i in range(0, len(terms), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(np.diff(start[i : i + 100_001]))], ["term", "df"])
 
@@ -177,6 +179,11 @@ class Side:
         return Side(np.array(ids), dense, distinct, np.append(start, len(every)), owner[order], w[order])
 
 
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th largest of them; -1 if there are fewer. Places without a document have score 0 and count for nothing."""
+    return float(np.partition(scores, -k, None)[-k]) if scores.size >= k else -1.0
+
+
 def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float, k: int, floor: np.ndarray,
                  k1: float = K1, b: float = B) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the documents of the shard that may be among its k best, with exact scores.
@@ -227,18 +234,15 @@ def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float,
     np.put_along_axis(first, best, True, 1)
     finish(first & (bounds >= floor[:, None]))
     # Documents of finished blocks have their exact score; any k of them bound the k-th best from below.
-    exact = np.where(done[:, :, None], cubes, -1.0).reshape(nq, -1)
-    exact[:, n:] = -1.0
-    least = np.maximum(floor, np.partition(exact, -k, 1)[:, -k] if exact.shape[1] >= k else -1.0)
+    least = np.maximum(floor, [_kth(cubes[i, done[i]], k) for i in range(nq)])
     finish(~done & (bounds >= least[:, None] - 1e-9))
-    exact = np.where(done[:, :, None], cubes, -1.0).reshape(nq, -1)
-    exact[:, n:] = -1.0
-    if exact.shape[1] >= k:
-        least = np.maximum(least, np.partition(exact, -k, 1)[:, -k])
-    exact[exact <= 0] = -1.0
-    q, d = np.nonzero((exact >= least[:, None] - 1e-9) & (exact > 0))
-    edges = np.searchsorted(q, np.arange(nq + 1))
-    return [(shard.ids[d[edges[i] : edges[i + 1]]], exact[i, d[edges[i] : edges[i + 1]]]) for i in range(nq)]
+    out = []
+    for i in range(nq):
+        blocks = np.flatnonzero(done[i])
+        own = cubes[i, blocks]
+        at = np.flatnonzero((own >= max(least[i], _kth(own, k)) - 1e-9) & (own > 0))
+        out.append((shard.ids[blocks[at // BLOCK] * BLOCK + at % BLOCK], own.ravel()[at]))
+    return out
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,8 +297,7 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = TOP, query_postings:
             kept = [[(np.zeros(0, np.int64), np.zeros(0))] * len(s.ids) for s in sides]
             floors = [np.full(len(s.ids), -1.0) for s in sides]
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard.unpacked(row)
+                for shard in Shard.unpacked(batch):
                     for s, side in enumerate(sides):
                         for i, (found, scores) in enumerate(search_shard(side, shard, head, mean_length, k, floors[s])):
                             if len(found):
