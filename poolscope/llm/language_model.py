@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,13 @@ def tokens_of(text: str | None) -> Iterator[list[bytes]]:
     yield data[start:].split()
 
 
+#: By last byte: letter 0, full stop 1, comma 2, other 3.
+_ENDING = [1 if b == 46 else 2 if b == 44 else 0 if 97 <= b <= 122 or b >= 128 else 3 for b in range(256)]
+
+
 def rare_class(word: bytes) -> int:
     """A class by what a word ends with: letter, full stop, comma or other, and the two bytes before."""
-    last = word[-1] if word else 32
-    ending = {46: 1, 44: 2}.get(last, 0 if 97 <= last <= 122 or last >= 128 else 3)
+    ending = _ENDING[word[-1]] if word else 3
     stem = word.rstrip(b".,;:!?|#*$%&<>") if ending else word
     return ending * STEMS + zlib.crc32(stem[-2:]) % STEMS
 
@@ -104,7 +108,7 @@ class Vocabulary:
         numbers, places, others = [], [], []
         find = self.place.get
         for own in tokens_of(text):
-            at = np.array([find(w, -1) for w in own], np.int64)
+            at = np.fromiter(map(find, own, repeat(-1)), np.int64, len(own))
             rest = [own[i] for i in np.flatnonzero(at < 0)]
             n = self.number[at]
             n[at < 0] = [self.shape.heads + rare_class(w) for w in rest]

@@ -92,27 +92,33 @@ def _run(p: dict, before: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bo
     """States after each step from h on; with ``keep`` what backpropagation needs."""
     n = h.shape[1]
     states, kept = np.empty((len(before), *h.shape), np.float32), []
-    table = p["wx"] + p["b"]
+    # A gate is (1 + tanh(x / 2)) / 2, so the gates' columns are halved once.
+    half = np.repeat(np.array([0.5, 1], np.float32), [2 * n, n])
+    inputs, u = ((p["wx"] + p["b"]) * half)[before], p["u"] * half
     for t in range(len(before)):
         if first[t].any():
             h = np.where(first[t][:, None], np.float32(0), h)
-        gx, gh = table[before[t]], h @ p["u"]
-        gates = np.tanh(0.5 * (gx[:, : 2 * n] + gh[:, : 2 * n])) * np.float32(0.5) + np.float32(0.5)
+        both = h @ u
+        gates, inner = both[:, : 2 * n], both[:, 2 * n :]
+        gates += inputs[t, :, : 2 * n]
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
         z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
+        new = r * inner
+        new += inputs[t, :, 2 * n :]
+        np.tanh(new, out=new)
         if keep:
-            kept.append((h, z, r, new, gh[:, 2 * n :]))
+            kept.append((h, z, r, new, inner))
         h = new + z * (h - new)
         states[t] = h
     return states, kept
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the logarithm of their sum's scale."""
-    top = logits.max(1, keepdims=True)
-    e = np.exp(logits - top)
-    total = e.sum(1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    e /= e.sum(1, keepdims=True)
+    return e
 
 
 def _classes(tokens: np.ndarray, shape: Shape) -> np.ndarray:
@@ -143,7 +149,9 @@ def log_probabilities(p: dict, shape: Shape, documents: list[np.ndarray]) -> np.
         classes = _classes(y, shape)
         logits = x @ p["wo"] + p["bo"]
         top = logits.max(1, keepdims=True)
-        found = logits[np.arange(len(y)), classes] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+        found = logits[np.arange(len(y)), classes] - top[:, 0]
+        logits -= top
+        found -= np.log(np.exp(logits, out=logits).sum(1))
         for c, at in _groups(y, classes, shape):
             inner = x[at] @ p["wi"][c] + p["bi"][c]
             top = inner.max(1, keepdims=True)
@@ -161,7 +169,7 @@ def gradients(p: dict, shape: Shape, tokens: np.ndarray, before: np.ndarray, fir
     x, y = states[there], tokens[there]
     classes, size = _classes(y, shape), max(1, len(y))
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    prob, scale = _softmax(x @ p["wo"] + p["bo"])
+    prob = _softmax(x @ p["wo"] + p["bo"])
     rows = np.arange(len(y))
     loss = -np.log(prob[rows, classes] + 1e-30).sum()
     prob[rows, classes] -= 1
@@ -170,7 +178,7 @@ def gradients(p: dict, shape: Shape, tokens: np.ndarray, before: np.ndarray, fir
     dx = prob @ p["wo"].T
     for c, at in _groups(y, classes, shape):
         own = x[at]
-        inner, _ = _softmax(own @ p["wi"][c] + p["bi"][c])
+        inner = _softmax(own @ p["wi"][c] + p["bi"][c])
         place = np.arange(len(at)), y[at] - c * shape.members
         loss -= np.log(inner[place] + 1e-30).sum()
         inner[place] -= 1
@@ -179,20 +187,24 @@ def gradients(p: dict, shape: Shape, tokens: np.ndarray, before: np.ndarray, fir
         dx[at] += inner @ p["wi"][c].T
     dstates = np.zeros(states.shape, np.float32)
     dstates[there] = dx
-    dgates = np.empty((*tokens.shape, 3 * n), np.float32)
-    dh = np.zeros_like(h)
+    # What doesn't depend on the gradient of the state is worked out for all steps at once.
+    was, z, r, new, gh = (np.array(x) for x in zip(*kept, strict=True))
+    to_new, to_z, to_r = (1 - z) * (1 - new * new), (was - new) * z * (1 - z), gh * r * (1 - r)
+    dgates, through = np.empty((*tokens.shape, 3 * n), np.float32), np.empty((*tokens.shape, 3 * n), np.float32)
+    dh, back = np.zeros_like(h), p["u"].T.copy()
     for t in range(len(tokens) - 1, -1, -1):
-        before_h, z, r, new, gh = kept[t]
         dh = dh + dstates[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before_h - new) * z * (1 - z)
-        dr = dnew * gh * r * (1 - r)
-        dgates[t] = np.concatenate([dz, dr, dnew], 1)
-        through = np.concatenate([dz, dr, dnew * r], 1)
-        g["u"] += before_h.T @ through
-        dh = dh * z + through @ p["u"].T
+        dnew = dh * to_new[t]
+        own = through[t]
+        np.multiply(dh, to_z[t], out=own[:, :n])
+        np.multiply(dnew, to_r[t], out=own[:, n : 2 * n])
+        np.multiply(dnew, r[t], out=own[:, 2 * n :])
+        dgates[t, :, 2 * n :] = dnew
+        dh = dh * z[t] + own @ back
         if first[t].any():
             dh = np.where(first[t][:, None], np.float32(0), dh)
+    dgates[:, :, : 2 * n] = through[:, :, : 2 * n]
+    g["u"] = was.reshape(-1, n).T @ through.reshape(-1, 3 * n)
     flat, at = dgates.reshape(-1, 3 * n), before.ravel()
     g["b"] = flat.sum(0)
     order = np.argsort(at, kind="stable")
@@ -220,12 +232,22 @@ class Trainer:
             w = slice(t, t + WINDOW)
             loss, n, g, h = gradients(self.p, self.shape, tokens[w], before[w], first[w], h)
             self.steps += 1
-            scale = self.rate * (n / (n + 256)) * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+            # A Python number, so that arrays stay in single precision.
+            scale = self.rate * (n / (n + 256)) * (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
             for k, d in g.items():
+                m, v = self.m[k], self.v[k]
                 np.clip(d, -1, 1, out=d)
-                self.m[k] += 0.1 * (d - self.m[k])
-                self.v[k] += 0.001 * (d * d - self.v[k])
-                self.p[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+                m *= 0.9
+                m += 0.1 * d
+                v *= 0.999
+                d *= d
+                d *= 0.001
+                v += d
+                root = np.sqrt(v, out=d)
+                root += 1e-8
+                np.divide(m, root, out=root)
+                root *= scale
+                self.p[k] -= root
             total, seen = total + loss, seen + n
         self.tokens += seen
         return total / max(1, seen)
