@@ -4,7 +4,9 @@ Words that tell the classes apart are chosen by a likelihood-ratio test over all
 the training folds, counted by Spark. Each document is the TF-IDF vector of those words. A bounded
 sample of labelled documents is the index: postings in blocks of examples with each word's largest
 weight per block, so that a block whose bound is below the k-th best cosine is skipped, with exact
-results. The votes of the neighbours, weighed by cosine, give the score; their ids are the evidence.
+results. The votes of the neighbours, weighed by cosine, are mapped to the share of toxic documents that
+labelled training documents with such a vote have, each judged without itself; that share is the score. The
+neighbours' ids are the evidence.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ LEAST_DOCS = 5
 LEAST_LIFT = 3.0
 QUERIES = 512
 SMOOTHING = 1.0
+VOTE_BINS = 1_000
+PRIOR = 0.1
 BLOCK = 64
 HELD_WORDS = 200_000
 BROADCAST_LABELS = 1_000_000
@@ -114,6 +119,7 @@ class BlockMaxIndex:
         self.idf, self.block = idf, block
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[3] for e in examples], float)
+        self.most_rows = int(np.unique(self.ids, return_counts=True)[1].max(initial=0))  # of one id
         self.most = np.zeros((-(-len(examples) // block), len(idf)))
         self.postings: list[tuple[np.ndarray, np.ndarray]] = []  # by block: its terms, their weights by example
         for b in range(len(self.most)):
@@ -157,6 +163,68 @@ class BlockMaxIndex:
         return [((1 << 32) - 1 - (row[row > 0] & ((1 << 32) - 1)), (row[row > 0] >> 32) * 1e-9) for row in best]
 
 
+def vote_of(labels: np.ndarray, cosines: np.ndarray, share: float) -> float:
+    """Share of label 1 among neighbours, weighed by cosine and drawn to ``share``."""
+    return float((cosines @ labels + SMOOTHING * share) / (cosines.sum() + SMOOTHING))
+
+
+def vote_bins(taught: DataFrame, shared: Broadcast, k: int, share: float) -> DataFrame:
+    """x, n, n1: mean log-odds of the votes of a bin, documents and those of label 1. taught: doc_id, terms, counts, label.
+
+    Each document's neighbours are the k nearest examples with another id.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keys = [(tuple(t), tuple(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                rows.setdefault(key, []).append(i)
+            ids, distinct, odds = batch.column("doc_id").to_pylist(), list(rows), np.zeros(len(keys))
+            for i in range(0, len(distinct), QUERIES):
+                part = distinct[i : i + QUERIES]
+                for key, (at, cosines) in zip(part, index.nearest([(list(t), list(c)) for t, c in part], k + index.most_rows), strict=True):
+                    for row in rows[key]:
+                        others = np.flatnonzero(index.ids[at] != ids[row])[:k]
+                        v = vote_of(index.labels[at[others]], cosines[others], share)
+                        odds[row] = math.log(v / (1 - v))
+            yield pa.RecordBatch.from_arrays([pa.array(odds), batch.column("label")], ["x", "label"])
+
+    votes = taught.select("doc_id", "terms", "counts", "label").mapInArrow(judge, "x double, label int")
+    bins = votes.groupBy(F.floor(VOTE_BINS / (1 + F.exp(-F.col("x")))).alias("bin"))
+    return bins.agg(F.avg("x").alias("x"), F.count("*").alias("n"), F.sum("label").alias("n1"))
+
+
+def calibration(x: np.ndarray, n: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
+    """a, b >= 0 so that 1 / (1 + exp(-(a + b x))) is the share of label 1 at log-odds x; without documents, 0 and 1.
+
+    Logistic regression with Platt's targets and a slight pull to a = 0, b = 1, so that a single class has an answer.
+    """
+    if not n.sum():
+        return 0.0, 1.0
+    high, low = (n1.sum() + 1) / (n1.sum() + 2), 1 / ((n - n1).sum() + 2)
+    hits, both, start = n1 * high + (n - n1) * low, np.stack([np.ones(len(x)), x]), np.array([0.0, 1.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = w @ both
+        return float((n * np.logaddexp(0, z) - hits * z).sum() + PRIOR / 2 * ((w - start) ** 2).sum())
+
+    w = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(w @ both)))
+        step = np.linalg.solve((both * (n * p * (1 - p))) @ both.T + PRIOR * np.eye(2), both @ (n * p - hits) + PRIOR * (w - start))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if abs(size * step).max() < 1e-9:
+            break
+    if w[1] < 0:
+        return float(np.log(hits.sum() / (n.sum() - hits.sum()))), 0.0
+    return float(w[0]), float(w[1])
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, *, k: int = NEIGHBOURS, examples: int = EXAMPLES, terms: int = TERMS,
     folds: int = FOLDS, held_out: int = HELD_OUT,
@@ -166,8 +234,9 @@ def toxicity_scores(
     Learns ``labels.toxic`` from rows whose crc32(doc_id) mod ``folds`` is not ``held_out``. Bounds: the ``examples``
     labelled training rows that come first by a hash of their id are the index, and the ``terms`` most telling
     words the vocabulary; the choice of words counts all labelled training documents. A document without a
-    telling word has the examples without one as neighbours, all alike; so have null and empty texts. With no
-    labelled training rows all scores are 0.5. Null labels are left out; a document labelled twice counts twice; a null
+    telling word has the examples without one as neighbours, all alike; so have null and empty texts. The map from
+    vote to score is fitted on all labelled training rows that have a telling word. With no labelled training
+    rows all scores are 0.5. Null labels are left out; a document labelled twice counts twice; a null
     doc_id is scored, held_out false. Repeated rows are scored each. Runs jobs when called.
     """
     spark = docs.sparkSession
@@ -188,6 +257,9 @@ def toxicity_scores(
     share = (n1 + 1) / (n0 + n1 + 2)
     plain = ((blank["n1"] or 0) + SMOOTHING * share) / (blank["n"] + SMOOTHING)
     shared = spark.sparkContext.broadcast(index)
+    taught = counted.where(F.size("terms") > 0).join(F.broadcast(known) if few else known, "doc_id")
+    bins = vote_bins(taught, shared, k, share).collect() if vocabulary else []
+    a, b = calibration(*[np.array([r[c] for r in bins], float) for c in ("x", "n", "n1")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -198,8 +270,9 @@ def toxicity_scores(
             for i in range(0, len(distinct), QUERIES):
                 part = distinct[i : i + QUERIES]
                 for key, (at, cosines) in zip(part, index.nearest([(list(t), list(c)) for t, c in part], k), strict=True):
-                    vote = (cosines @ index.labels[at] + SMOOTHING * share) / (cosines.sum() + SMOOTHING)
-                    done[key] = float(vote), index.ids[at].tolist(), cosines.tolist()
+                    vote = vote_of(index.labels[at], cosines, share)
+                    calibrated = 1 / (1 + math.exp(-(a + b * math.log(vote / (1 - vote)))))
+                    done[key] = calibrated, index.ids[at].tolist(), cosines.tolist()
             out = [done[key] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.float64()),

@@ -86,6 +86,36 @@ def test_toxicity_finds_held_out_documents(spark, corpus):
         assert all(fold(i, 3) != 1 for i in r["evidence"]) and r["predicted"] == (r["score"] >= 0.7)
 
 
+def test_toxicity_scores_are_shares_of_toxic_documents(spark):
+    """One neighbour's vote is 0.6 at most, though each document with the word is toxic."""
+    rows = [(i, f"plain text {i % 7}" + " nasty" * (i % 4 == 1)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i, _ in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity_scores(docs, labels, k=1).collect() if r["held_out"]]
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 1) for r in got)
+    assert all(r["score"] > 0.9 for r in got if r["doc_id"] % 4 == 1)
+
+
+def test_calibration_leaves_the_own_row_out(spark):
+    rows = [(i, [0], [1], i % 2) for i in (0, 1)] + [(0, [0], [1], 0)]
+    index = toxicity.BlockMaxIndex(rows, np.ones(1))
+    taught = spark.createDataFrame(rows + [(9, [0], [1], 1)], "doc_id long, terms array<int>, counts array<int>, label int")
+    bins = toxicity.vote_bins(taught, spark.sparkContext.broadcast(index), 3, 0.5).collect()
+    # Of ids 0, 0 and 1: 0 sees 1 alone, 1 sees 0 twice, 9 sees all three.
+    votes = {round(1 / (1 + math.exp(-r["x"])), 6): (r["n"], r["n1"]) for r in bins}
+    assert votes == {0.75: (2, 0), round(0.5 / 3, 6): (1, 1), 0.375: (1, 1)}
+
+
+def test_calibration_is_monotone():
+    x = np.array([-2.0, 0.0, 2.0])
+    a, b = toxicity.calibration(x, np.full(3, 1000.0), np.array([100.0, 600.0, 950.0]))
+    np.testing.assert_allclose(1 / (1 + np.exp(-(a + b * x))), [0.1, 0.6, 0.95], atol=0.03)
+    falling = toxicity.calibration(x, np.full(3, 100.0), np.array([90.0, 50.0, 10.0]))
+    assert falling[1] == 0.0 and abs(falling[0]) < 0.01
+    assert toxicity.calibration(np.zeros(0), np.zeros(0), np.zeros(0)) == (0.0, 1.0)
+    assert toxicity.calibration(np.array([9.0]), np.array([5.0]), np.array([5.0]))[1] >= 0
+
+
 def test_block_max_equals_brute_force():
     rng = np.random.default_rng(4)
     idf = rng.uniform(1, 5, 30)
