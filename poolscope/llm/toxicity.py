@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Words that tell the classes apart are chosen by a likelihood-ratio test over all labelled documents of
-the training folds, counted by Spark. Each document is the TF-IDF vector of those words. A bounded
+the training folds, counted by Spark; bars are low, so that a small language has words of its own, and each
+word weighs by its evidence. Each document is the TF-IDF vector of those words. A bounded
 sample of labelled documents is the index: postings in blocks of examples with each word's largest
 weight per block, so that a block whose bound is below the k-th best cosine is skipped, with exact
 results. The votes of the neighbours, weighed by cosine, are mapped to the share of toxic documents that
@@ -29,9 +30,9 @@ BATCH_BYTES = 8_000_000
 FOLDS, HELD_OUT = 3, 1
 NEIGHBOURS = 15
 EXAMPLES = 20_000
-TERMS = 1_000
-LEAST_RATIO = 25.0
-LEAST_DOCS = 5
+TERMS = 8_192
+LEAST_RATIO = 15.0
+LEAST_DOCS = 3
 LEAST_LIFT = 3.0
 QUERIES = 512
 SMOOTHING = 1.0
@@ -76,7 +77,10 @@ def term_table(rows: DataFrame) -> DataFrame:
 
 def telling_terms(table: DataFrame, n0: int, n1: int, *, terms: int = TERMS, least: float = LEAST_RATIO,
                   least_docs: int = LEAST_DOCS, lift: float = LEAST_LIFT) -> list[tuple[str, float]]:
-    """At most ``terms`` terms that label 1 has ``lift`` times as often, by likelihood ratio, with their inverse document frequency."""
+    """At most ``terms`` terms that label 1 has ``lift`` times as often, by likelihood ratio, with their weight.
+
+    The weight is the inverse document frequency times the root of the ratio: a weakly proven term counts for less.
+    """
     n = n0 + n1
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d = n1 - a, n0 - b
@@ -87,7 +91,7 @@ def telling_terms(table: DataFrame, n0: int, n1: int, *, terms: int = TERMS, lea
     ratio = 2 * (part(a, n1 * (a + b) / n) + part(b, n0 * (a + b) / n) + part(c, n1 * (c + d) / n) + part(d, n0 * (c + d) / n))
     told = table.where((a + b >= least_docs) & (a * n0 >= lift * b * n1)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
     best = told.orderBy(F.desc("ratio"), "term").limit(terms).collect()
-    return [(r["term"], math.log((n + 1) / (r["n0"] + r["n1"] + 1)) + 1) for r in best]
+    return [(r["term"], (math.log((n + 1) / (r["n0"] + r["n1"] + 1)) + 1) * math.sqrt(r["ratio"])) for r in best]
 
 
 def term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -140,13 +144,15 @@ class BlockMaxIndex:
         A document passes over all blocks whose bound is below its k-th best cosine so far, its best block first.
         """
         own = self.vectors(documents)
-        bounds = own @ self.most.T
+        bounds = np.zeros((len(own), len(self.most)))
+        for i, (terms, _) in enumerate(documents):
+            bounds[i] = self.most[:, terms] @ own[i, terms]
         # A cosine to nine places and an example number in one key, so that sorting keys sorts by both.
         best = np.zeros((len(own), k), np.int64)
 
         def visit(b: int, rows: np.ndarray) -> None:
             terms, weights = self.postings[b]
-            cosines = np.rint((own[rows][:, terms] @ weights) * 1e9).astype(np.int64)
+            cosines = np.rint((own[np.ix_(rows, terms)] @ weights) * 1e9).astype(np.int64)
             numbers = (1 << 32) - 1 - (b * self.block + np.arange(weights.shape[1]))
             keys = np.where(cosines > 0, (cosines << 32) + numbers, 0)
             best[rows] = -np.sort(-np.concatenate([best[rows], keys], 1), 1)[:, :k]

@@ -96,6 +96,16 @@ def test_toxicity_scores_are_shares_of_toxic_documents(spark):
     assert all(r["score"] > 0.9 for r in got if r["doc_id"] % 4 == 1)
 
 
+def test_toxic_words_of_a_small_language_are_found(spark):
+    """Four toxic training documents hold its word, beside a hundred with that of a large language."""
+    taught, held = ([i for i in range(1500) if (fold(i, 3) == 1) == h] for h in (False, True))
+    own = dict.fromkeys(taught[:100] + held[:50], " nasty") | dict.fromkeys(taught[100:104] + held[50:52], " malvado")
+    docs = spark.createDataFrame([(i, f"plain text {i % 7}" + own.get(i, "")) for i in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in own)) for i in range(1500)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, labels).where("held_out").collect()
+    assert {r["doc_id"] for r in got if r["predicted"]} == {i for i in held if i in own}
+
+
 def test_calibration_leaves_the_own_row_out(spark):
     rows = [(i, [0], [1], i % 2) for i in (0, 1)] + [(0, [0], [1], 0)]
     index = toxicity.BlockMaxIndex(rows, np.ones(1))
