@@ -31,6 +31,7 @@ SHARD_DOCS = 8192
 SHARD_POSTINGS = 3_000_000
 BLOCK = 128
 HEAD_TERMS = 384
+MARGIN = 1.001e-6  # scores that round to the same 6 places differ by less
 SIDE = 256
 QUERY_POSTINGS = 1_500_000
 EXPANDED = 1_000_000
@@ -232,15 +233,15 @@ def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float,
     first = np.zeros((nq, blocks), bool)
     best = np.argsort(-bounds, axis=1)[:, : max(1, -(-2 * k // BLOCK))]
     np.put_along_axis(first, best, True, 1)
-    finish(first & (bounds >= floor[:, None]))
+    finish(first & (bounds >= floor[:, None] - MARGIN))
     # Documents of finished blocks have their exact score; any k of them bound the k-th best from below.
     least = np.maximum(floor, [_kth(cubes[i, done[i]], k) for i in range(nq)])
-    finish(~done & (bounds >= least[:, None] - 1e-9))
+    finish(~done & (bounds >= least[:, None] - MARGIN))
     out = []
     for i in range(nq):
         blocks = np.flatnonzero(done[i])
         own = cubes[i, blocks]
-        at = np.flatnonzero((own >= max(least[i], _kth(own, k)) - 1e-9) & (own > 0))
+        at = np.flatnonzero((own >= max(least[i], _kth(own, k)) - MARGIN) & (own > 0))
         out.append((shard.ids[blocks[at // BLOCK] * BLOCK + at % BLOCK], own.ravel()[at]))
     return out
 

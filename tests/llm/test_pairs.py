@@ -120,6 +120,22 @@ def plain_search(rows, queries, k):
     return out
 
 
+@pytest.mark.parametrize("floor", [False, True])
+def test_scores_that_round_alike_go_to_the_smaller_id(floor):
+    """Id 5 has the lower score by 1e-8, and the same to 6 places."""
+    head = np.array([1], np.uint64)
+    side = search.Side.build([0], [np.array([1])], [np.array([1.0])], head)
+    find = lambda ids, own, least: search.search_shard(side, search.Shard.build(ids, own), head, 1e8, 1, np.array([least]))[0]
+    high, low = Counter({1: 1}), Counter({1: 1, 2: 1})
+    if floor:
+        first = find([10], [high], -1.0)
+        rest = find([5], [low], first[1].min())
+        ids, scores = np.r_[first[0], rest[0]], np.r_[first[1], rest[1]]
+    else:
+        ids, scores = find([10, 5], [high, low], -1.0)
+    assert search._best(ids, scores, 1)[0].tolist() == [5]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_search_equals_brute_force(spark, monkeypatch, small):
     rng = random.Random(4)
