@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.llm.common import by_bytes, documents, words_on_workers
@@ -261,6 +261,13 @@ def near_copies(
     Repeated rows are copies of each other. A null doc_id takes part; class_id is null where a component has
     no other id. An empty table gives an empty result. Runs jobs when called.
     """
+    return text_classes(docs, size=size, least=least, recall=recall, chunk=chunk).drop("text_hash")
+
+
+def text_classes(
+    docs: DataFrame, *, size: int = SHINGLE, least: float = LEAST, recall: float = RECALL, chunk: int = CHUNK,
+) -> DataFrame:
+    """``near_copies`` with text_hash, which tells apart texts that share an id."""
     depth = depth_for(docs.count())
     runs = runs_for(recall, depth)
     rows = settled(signatures(docs, size, runs, depth, least))
@@ -310,21 +317,28 @@ def near_copies(
     names = placed.groupBy("label").agg(F.min("id").alias("class_id"))
     named = placed.join(names, "label").select(*same, "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"), F.lit(True).alias("_has"))
     return rows.join(named, same, "left").select(
-        "doc_id", F.when(F.col("_has"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        "doc_id", "text_hash", F.when(F.col("_has"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of documents, all columns, without those whose class has a smaller doc_id; repeated rows once.
 
-    Rows with a null doc_id can't be named and stay. Cases as in ``near_copies``.
+    Of an id that names several texts, only those go that are copies of a smaller id; if several are left, the one with the
+    least hash stays. Rows with a null doc_id can't be named and stay. Cases as in ``near_copies``.
     """
-    found = settled(near_copies(docs, **how))
-    # An id names several rows only in a table with repeated ids; then the row of the least class stays, once.
-    out = found.where(F.col("class_id") < F.col("doc_id")).select("doc_id").distinct()
-    stays = found.where(F.col("class_id") == F.col("doc_id")).groupBy("doc_id").count()
-    again = stays.where("count > 1").select("doc_id")
-    few = settled(out.unionByName(again).distinct())
-    rest = docs.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "doc_id", "left_anti").select(*docs.columns)
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = settled(text_classes(docs, **how))
+    out = found.where(F.col("class_id") < F.col("doc_id")).select("doc_id", "text_hash").distinct()
+    stays = found.where(F.col("class_id") == F.col("doc_id"))
+    again = settled(stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("least")).where("n > 1"))
+    few = settled(out.unionByName(stays.join(again, "doc_id", "left_semi").select("doc_id", "text_hash").distinct()))
+
+    def same(hashes: Column) -> Column:
+        return F.xxhash64(docs["text"].cast("string")) == hashes
+
+    named = few.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    named = F.broadcast(named) if few.count() <= BROADCAST_ROWS else named
+    rest = docs.join(named, (docs["doc_id"] == F.col("_id")) & same(F.col("_hash")), "left_anti")
+    kept = again.select(F.col("doc_id").alias("_id"), F.col("least").alias("_hash"))
+    once = docs.join(kept, (docs["doc_id"] == F.col("_id")) & same(F.col("_hash")), "left_semi").dropDuplicates(["doc_id"])
     return rest.unionByName(once)

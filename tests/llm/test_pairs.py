@@ -98,6 +98,14 @@ def test_one_of_each_class_stays(spark, copies):
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_a_unique_text_stays_though_its_id_also_names_a_copy(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(2, text("a")), (9, text("a")), (9, text("b")), (9, text("b")), (4, text("c")), (None, text("a"))]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, text_hash int")
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     got = ngram_join.components(spark.createDataFrame(edges, "u long, v long")).collect()
