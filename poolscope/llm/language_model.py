@@ -252,7 +252,10 @@ def log_likelihoods(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD
     vocab = spark.sparkContext.broadcast(found)
     first = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     start = spark.sparkContext.broadcast(R.initial(found.shape, by_number))
-    warm = train(training.join(F.broadcast(first), "doc_id", "left_semi").coalesce(1), vocab, start, R.RATE)
+    # Found by many tasks; only the small table goes through one, in an order that files don't decide.
+    few = settled(training.join(F.broadcast(first), "doc_id", "left_semi"))
+    few = few.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    warm = train(few, vocab, start, R.RATE)
     model = spark.sparkContext.broadcast(train(training, vocab, spark.sparkContext.broadcast(warm), PASS_RATE))
 
     scored = settled(score_texts(own, vocab, model).withColumn("_row", F.monotonically_increasing_id()))

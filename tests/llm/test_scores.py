@@ -243,3 +243,14 @@ def test_language_model_scores(spark, corpus, monkeypatch):
     assert language_model.log_likelihoods(docs.limit(0)).count() == 0
     untaught = language_model.log_likelihoods(docs.where("doc_id is null")).first()
     assert (untaught["n_known"], untaught["train_tokens"], untaught["base_score"]) == (0, 0, 0.0)
+
+
+def test_start_is_fitted_from_a_small_settled_table(spark, corpus, monkeypatch, tmp_path):
+    docs, plain = corpus[0].select("doc_id", "text"), language_model.train
+    docs.repartition(5).write.parquet(str(tmp_path / "documents"))
+    seen = []
+    monkeypatch.setattr(language_model, "train", lambda d, *more: seen.append(d) or plain(d, *more))
+    language_model.log_likelihoods(spark.read.parquet(str(tmp_path / "documents")), sample=20)
+    first, second = seen
+    assert first.count() >= 20 and first.rdd.getNumPartitions() == 1
+    assert not any(str(tmp_path) in f for f in first.inputFiles()) and any(str(tmp_path) in f for f in second.inputFiles())
