@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table with production parameters."""
+"""Registered queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.llm import line_dedup, mixing
+from poolscope.llm import exact_dedup, line_dedup, mixing, spelling
+from poolscope.llm.alignment import align_tokens
 from poolscope.llm.language_model import log_likelihoods
 from poolscope.llm.ngram_join import near_copies
 from poolscope.llm.packing import pack
@@ -72,10 +73,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_documents(spark, sf_dir))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(_documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_mix, op3_pack, op4_search, op5_language_model, op6_quality, op7_token_counts, op8_ngram_join, op9_rules, op10_toxicity]
+    named = [
+        op1_line_dedup, op2_mix, op3_pack, op4_search, op5_language_model, op6_quality, op7_token_counts, op8_ngram_join, op9_rules,
+        op10_toxicity, op11_spelling, op12_exact_dedup, op13_alignment,
+    ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_mix": mixing.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE, "op2_mix": mixing.ORACLE,
+        "op11_spelling": spelling.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE,
+    }
