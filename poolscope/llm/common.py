@@ -56,6 +56,13 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
             yield batch.slice(start)
 
 
+def release(*caches: dict) -> None:
+    """For the end of a task: empties what a reused worker would carry into other stages."""
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def documents(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
     """Only the wanted columns, text as string; with ``whole`` all of them as the struct _whole too.
 

@@ -11,7 +11,9 @@ source, are aggregated across shards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ SHARDS = 16
 MOST_PASSES = 3
 BROADCAST_BLOCKS = 100_000
 SEED = 7
+PIECE_WORDS = 4_000_000
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -179,17 +182,33 @@ def taken(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFra
     return rows.join(targets, "_key", "left").select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def slots(spark: SparkSession, n: int) -> Column:
+    """An array of ``n`` numbers, one that ``repartition(n, number)`` sends to each of its partitions."""
+    tried = n * (math.ceil(math.log(n + 1)) + 8)
+    while True:
+        found = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("number")).collect()
+        if len(found) == n:
+            return F.lit([number for _, number in sorted(found)]).cast("array<bigint>")
+        tried *= 2
+
+
+def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, piece_words: int = PIECE_WORDS) -> DataFrame:
     """The mixed rows of documents, all columns, one row for each time a document is drawn.
 
     Texts stay whole: where a source's quota ends inside a document, it is drawn if at least half of it
-    is wanted. Each shard's rows lie together in the order of their hashes. Cases as in ``taken``; extra columns
-    of any name are kept.
+    is wanted. A shard is cut by ranges of its rows' hashes into pieces of some ``piece_words`` words; each is one
+    partition, in the order of the hashes. Very long texts are drawn whole. Cases as in ``taken``; extra columns
+    of any name are kept. An empty table gives an empty result.
     """
     own = documents(docs, "doc_id", "text", "source", whole=True)
-    _, blocks = plan(own, shards=shards, seed=seed)
+    targets, blocks = plan(own, shards=shards, seed=seed)
+    words = targets.agg(F.sum(F.col("_passes") * F.col("source_size") + F.col("_rest"))).first()[0] or 0
+    pieces = max(1, math.ceil(words / shards / piece_words))
     rows = draw(own, blocks, seed=seed).where(2 * F.col("words") >= F.col("_size"))
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "order_key").select("_whole.*")
+    piece = F.least(F.lit(pieces - 1), F.floor((F.col("order_key") / F.lit(2.0**64) + 0.5) * pieces).cast("int"))
+    place = slots(docs.sparkSession, shards * pieces)[F.col("shard") * pieces + piece]
+    placed = rows.withColumn("_place", place).repartition(shards * pieces, "_place")
+    return placed.sortWithinPartitions("shard", "order_key").select("_whole.*")
 
 
 #: The same figures from windows over all documents.

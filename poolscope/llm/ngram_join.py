@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import by_bytes, documents, words_on_workers
+from poolscope.llm.common import by_bytes, documents, release, words_on_workers
 from poolscope.session import settled
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, size: int, runs: int, depth: int, least: float)
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()),
                  pa.array(s2, pa.int64()), pa.array(paths, pa.list_(pa.int64()))],
                 ["doc_id", "text_hash", "n_shingles", "s1", "s2", "paths"])
+        release(_held)
 
     own = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     return own.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, paths array<long>")
@@ -249,6 +250,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
+def _name() -> Column:
+    """What tells a row's text from others: ids before no id, then the text's hash, as texts can share an id."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
 def near_copies(
     docs: DataFrame, *, size: int = SHINGLE, least: float = LEAST, recall: float = RECALL, chunk: int = CHUNK,
 ) -> DataFrame:
@@ -261,19 +267,22 @@ def near_copies(
     Repeated rows are copies of each other. A null doc_id takes part; class_id is null where a component has
     no other id. An empty table gives an empty result. Runs jobs when called.
     """
-    return text_classes(docs, size=size, least=least, recall=recall, chunk=chunk).drop("text_hash")
+    return text_classes(docs, size=size, least=least, recall=recall, chunk=chunk).drop("text_hash", "stays")
 
 
 def text_classes(
     docs: DataFrame, *, size: int = SHINGLE, least: float = LEAST, recall: float = RECALL, chunk: int = CHUNK,
 ) -> DataFrame:
-    """``near_copies`` with text_hash, which tells apart texts that share an id."""
+    """``near_copies`` with text_hash, which tells apart texts that share an id, and stays: true for one text of a class.
+
+    That is the one with the least doc_id (null last), then the least hash.
+    """
     depth = depth_for(docs.count())
     runs = runs_for(recall, depth)
     rows = settled(signatures(docs, size, runs, depth, least))
     same = ["n_shingles", "s1", "s2"]
     grouped = rows.where("n_shingles > 0").groupBy(*same).agg(
-        F.count("*").alias("size"), F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("paths").alias("paths"))
+        F.count("*").alias("size"), F.min("doc_id").alias("id"), F.min(_name()).alias("rep"), F.first("paths").alias("paths"))
     classes = settled(grouped.withColumn("c", F.monotonically_increasing_id()))
     members = settled(shared_paths(classes))
 
@@ -298,6 +307,7 @@ def text_classes(
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             tokens = [shingles(t, size).astype(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("size"), pa.array(tokens, pa.list_(pa.int64()))], ["c", "size", "tokens"])
+        release(_held)
 
     tokens = texts.select("c", "size", "text").mapInArrow(sets, "c long, size long, tokens array<long>").dropDuplicates(["c"])
     lists = small.groupBy("c").agg(F.collect_list("bucket").alias("buckets"))
@@ -312,33 +322,28 @@ def text_classes(
 
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     labels = components(found.where("c <> root").select(F.col("c").alias("u"), F.col("root").alias("v")))
-    placed = classes.join(labels, classes["c"] == labels["v"], "left").select("c", "id", "size", *same, F.coalesce("label", "c").alias("label"))
-    placed = settled(placed.join(links, "c", "left").select("id", "size", "label", *same, F.coalesce("links", F.lit(0)).alias("links")))
-    names = placed.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = placed.join(names, "label").select(*same, "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"), F.lit(True).alias("_has"))
+    placed = classes.join(labels, classes["c"] == labels["v"], "left").select("c", "id", "rep", "size", *same, F.coalesce("label", "c").alias("label"))
+    placed = settled(placed.join(links, "c", "left").select("id", "rep", "size", "label", *same, F.coalesce("links", F.lit(0)).alias("links")))
+    names = placed.groupBy("label").agg(F.min("id").alias("class_id"), F.min("rep").alias("first"))
+    named = placed.join(names, "label").select(*same, "class_id", "first", (F.col("links") + F.col("size") - 1).alias("n_links"), F.lit(True).alias("_has"))
     return rows.join(named, same, "left").select(
         "doc_id", "text_hash", F.when(F.col("_has"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        (F.col("first").isNull() | F.col("first").eqNullSafe(_name())).alias("stays"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of documents, all columns, without those whose class has a smaller doc_id; repeated rows once.
+    """The rows of documents, all columns, with one text of each class, once.
 
-    Of an id that names several texts, only those go that are copies of a smaller id; if several are left, the one with the
-    least hash stays. Rows with a null doc_id can't be named and stay. Cases as in ``near_copies``.
+    The text with the least doc_id stays (null last), then the least hash. A text that is no copy of another stays
+    whatever its id is and whatever else has that id; of rows with the same doc_id and text one stays, so a text without words
+    stays once for each id that has it. Very long texts are compared whole; other cases as in ``near_copies``.
     """
-    found = settled(text_classes(docs, **how))
-    out = found.where(F.col("class_id") < F.col("doc_id")).select("doc_id", "text_hash").distinct()
-    stays = found.where(F.col("class_id") == F.col("doc_id"))
-    again = settled(stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("least")).where("n > 1"))
-    few = settled(out.unionByName(stays.join(again, "doc_id", "left_semi").select("doc_id", "text_hash").distinct()))
-
-    def same(hashes: Column) -> Column:
-        return F.xxhash64(docs["text"].cast("string")) == hashes
-
-    named = few.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    named = F.broadcast(named) if few.count() <= BROADCAST_ROWS else named
-    rest = docs.join(named, (docs["doc_id"] == F.col("_id")) & same(F.col("_hash")), "left_anti")
-    kept = again.select(F.col("doc_id").alias("_id"), F.col("least").alias("_hash"))
-    once = docs.join(kept, (docs["doc_id"] == F.col("_id")) & same(F.col("_hash")), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(once)
+    found = settled(text_classes(docs, **how).groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")))
+    few = settled(found.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"))
+    marks = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    own = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    alone = own.join(marks, same, "left_anti").select("_row.*")
+    once = own.join(marks.where("stays"), same, "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
+    return alone.unionByName(once)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from poolscope.llm.common import by_bytes, documents, words_on_workers
+from poolscope.llm.common import by_bytes, documents, release, words_on_workers
 
 CAPACITY = 2048
 LEAST_TAIL = 64
@@ -170,5 +170,6 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = CA
                 yield table(done)
         if done := bins.close():
             yield table(done)
+        release(*[known for *_, known in _models.values()])
 
     return documents(docs, "doc_id", "text").mapInArrow(fill, PIECES)

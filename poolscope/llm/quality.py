@@ -71,17 +71,24 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array of doubles) of each row, null text as empty. Reads each text once."""
+def document_statistics(docs: DataFrame, *, whole: bool = False) -> DataFrame:
+    """doc_id and stats (array of doubles) of each row, null text as empty. Reads each text once.
+
+    With ``whole`` the text too, and all other columns as the struct _rest.
+    """
     words_on_workers(docs.sparkSession)
+    own = documents(docs, "doc_id", "text")
+    if whole:
+        own = docs.select("doc_id", docs["text"].cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+    kept = ["doc_id", "text", "_rest"] if whole else ["doc_id"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             rows = [statistics(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "stats"])
+                [*(batch.column(c) for c in kept), pa.array(rows, pa.list_(pa.float64()))], [*kept, "stats"])
 
-    return documents(docs, "doc_id", "text").mapInArrow(measure, "doc_id long, stats array<double>")
+    return own.mapInArrow(measure, own.select(*kept).withColumn("stats", F.array().cast("array<double>")).schema)
 
 
 def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -158,24 +165,39 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, he
     scores are the smoothed share of label 1. Runs jobs when called; reads each text once.
     """
     stats = settled(document_statistics(docs))
-    known = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
-    model = Discriminant.fit(class_sums(stats.join(known, "doc_id").select("stats", "label")))
+    model = _fitted(stats, labels, folds, held_out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("stats").to_pylist(), float).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch))], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(score, "doc_id long, score double")
+    scored = stats.select("doc_id", "stats").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
                          "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """The rows of documents, all columns, that score at least ``least``.
+def _fitted(stats: DataFrame, labels: DataFrame, folds: int, held_out: int) -> Discriminant:
+    known = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].cast("int").alias("label"))
+    known = known.where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
+    return Discriminant.fit(class_sums(stats.select("doc_id", "stats").join(known, "doc_id").select("stats", "label")))
+
 
-    Rows that share a doc_id stay if their id's best score does; null ids are kept (they can't be matched).
+def _scores(model: Discriminant, batch: pa.RecordBatch) -> np.ndarray:
+    return model.score(np.array(batch.column("stats").to_pylist(), float).reshape(batch.num_rows, -1))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """The rows of documents, all columns, whose own text scores at least ``least``.
+
+    Each row is judged by itself, whatever its doc_id is: null ids and rows that share an id too. Texts of any length
+    are measured whole; null and empty texts have a score; other cases as in ``quality_scores``. Runs jobs when called.
     """
-    good = quality_scores(docs, labels).groupBy("doc_id").agg(F.max("score").alias("_best")).where(F.col("_best") < least)
-    return docs.join(good.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    stats = settled(document_statistics(docs, whole=True))
+    model = _fitted(stats, labels, folds, held_out)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["text", "_rest"]).filter(pa.array(_scores(model, batch) >= least))
+
+    good = stats.mapInArrow(judge, stats.select("text", "_rest").schema)
+    return good.select(*[F.col("text").cast(docs.schema[c].dataType) if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import by_bytes, documents, words_on_workers
+from poolscope.llm.common import by_bytes, documents, release, words_on_workers
 
 BATCH_BYTES = 4_000_000
 SEGMENT_CHARS = 1_000_000
@@ -102,6 +102,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048) -> DataF
                 [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
+        release(_lengths)
 
     counted = documents(docs, "doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -154,6 +154,15 @@ def test_mix_draws_whole_rows(spark):
     assert all(abs(times.get(i, 0) * n - t) <= n / 2 for i, (t, n) in taken.items())
 
 
+def test_pieces_of_shards_are_even(spark):
+    rows = [(i, "w " * 10, f"s{i % 5}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, shards=4, piece_words=3000)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == out.rdd.getNumPartitions() >= 12 and max(sizes) < 1.5 * min(sizes)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(docs, shards=4).collect()))
+
+
 def test_mix_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.taken(empty).count() == 0 and mixing.mix(empty).count() == 0

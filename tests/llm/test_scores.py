@@ -47,8 +47,21 @@ def test_quality_tells_held_out_documents(spark, corpus):
     held = [r for r in got if r["held_out"] and truth.get(r["doc_id"]) is not None]
     assert {r["doc_id"] for r in got if r["held_out"]} == {i for i, *_ in rows if i is not None and fold(i, 3) == 1}
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)
-    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
-    assert kept - {None} == {r["doc_id"] for r in got if r["doc_id"] is not None and r["predicted"]}
+    good = quality.keep_good(docs, labels)
+    assert good.columns == docs.columns
+    kept = [r["doc_id"] for r in good.collect()]
+    assert sorted(kept, key=str) == sorted((r["doc_id"] for r in got if r["predicted"]), key=str)
+
+
+def test_each_row_is_judged_by_its_own_text(spark, corpus):
+    docs, labels, rows, _ = corpus
+    bad, fine = rows[0][1], rows[1][1]
+    more = spark.createDataFrame([(None, bad, "en", "s"), (None, fine, "en", "s"), (2, bad, "en", "s"), (5000, bad, "en", "s")], docs.select("doc_id", "text", "lang", "source").schema)
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(more)
+    kept = quality.keep_good(both, labels).where("text IS NOT NULL").collect()
+    assert all(r["text"] != bad for r in kept) and sum(r["doc_id"] is None and r["text"] == fine for r in kept) == 1
+    assert any(r["doc_id"] == 2 for r in kept)
+    assert quality.keep_good(both.limit(0), labels).count() == 0
 
 
 def test_discriminant_equals_plain_densities():
