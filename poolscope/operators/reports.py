@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolscope.operators.ordered import CELL, Running, ledger_levels, running
 from poolscope.operators.quantiles import describe
 from poolscope.session import settled
 
@@ -66,6 +67,16 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.orderBy("market_id", "block_number", "log_index")
 
 
+def output_positions(df: DataFrame) -> DataFrame:
+    """The rows with their position, from 1, in the output order (block, log, market) of the whole table.
+
+    Found by prefix counts over cells and spans of blocks, so the order is never one task's.
+    """
+    levels = ledger_levels()
+    row = Running("sum", F.lit(1).cast("bigint"), upto="position")
+    return running(df.drop(CELL), [row], part=[], order=["log_index", "market_id"], levels=levels)
+
+
 def time_series(ledger: DataFrame, rows: int = 100) -> DataFrame:
     """The first rows in ledger order, with the time as a timestamp."""
     return (

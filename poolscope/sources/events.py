@@ -109,3 +109,14 @@ def write_features(df: DataFrame, path: str, *, mode: str = "errorifexists", by_
     if by_market:
         writer = writer.partitionBy("market_id")
     writer.parquet(path)
+
+
+def write_ordered(df: DataFrame, path: str, *, files: int, mode: str = "errorifexists") -> None:
+    """Write a ledger in its order (market, block, log) as snappy Parquet: each file is sorted, and files follow each other.
+
+    The bounds between ``files`` are sampled over the whole order, so a market with most of the rows is spread over most
+    of the files.
+    """
+    order = ["market_id", "block_number", "log_index"]
+    placed = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    write_features(placed, path, mode=mode)

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.functions import base_units
 from poolscope.operators import attribution as A
-from poolscope.operators import checks, indicators, reports, ticks
+from poolscope.operators import checks, contracts, indicators, reports, ticks
 from poolscope.operators.rolling import Measures, rolling
 from poolscope.operators.standardize import raw_ledger, raw_ledger_together
 from poolscope.operators.state import with_running_state
@@ -454,5 +455,87 @@ _add("latest_all_time",
      [*_ROW, "age"], _rolled(list(O.ALL_TIME), _EXPANDING))
 
 
+_add("ordered_output", lambda s: reports.output_positions(P.enriched_ledger_dataset(s)), O.LEDGER,
+     "(SELECT *, row_number() OVER (ORDER BY block_number, log_index, market_id) AS position FROM led)",
+     [*_ROW, "position", "event_type", "total_supplied_assets"], ["utilization_rate"])
+
+_ALL = {**_SHORT, "6h": 21_600, **_SHARE_WINDOWS}
+_EVERY = O.LEVELS | O.INTENSITIES | O.CONTRIBUTIONS | O.VOLATILITY | O.SHARES
+_add("attribution_dataset_full", lambda s: P.attribution_dataset(s)[0],
+     O.attribution_windows(_ALL, _EVERY) + O._windowed("whole", "win", _EXPANDING, O.ALL_TIME), "whole",
+     _names(ATTRIBUTION_CORE, "exact"),
+     [*_names(ATTRIBUTION_CORE, "double"), *_rolled(list(_EVERY), _ALL), *_rolled(list(O.ALL_TIME), _EXPANDING)])
+
+# Contracts: the same table as it is, and with some rows and columns spoilt on both sides.
+
+_SPOILT = {"market_id": "log_index % 101 = 0", "total_supplied_assets": "log_index % 97 = 0"}
+_BEYOND = "log_index % 89 = 0"
+
+
+def _spoil(df: DataFrame, drop: str | None) -> DataFrame:
+    out = df.withColumns({c: F.expr(f"CASE WHEN NOT ({rule}) THEN {c} END") for c, rule in _SPOILT.items() if c in df.columns})
+    if "utilization_rate" in df.columns:
+        out = out.withColumn("utilization_rate", F.expr(f"utilization_rate + CASE WHEN {_BEYOND} THEN 2 ELSE 0 END"))
+    return (out.drop(drop) if drop else out).withColumn("note", F.lit("extra"))
+
+
+def _contracted(table: Callable[[EventStore], DataFrame], rules: Callable[[DataFrame], list], drop: str):
+    def report(store: EventStore) -> DataFrame:
+        good, spoilt = table(store), _spoil(table(store), drop)
+        lines = [contracts.contract_report(df, rules(df)).withColumn("side", F.lit(side)) for side, df in (("good", good), ("spoilt", spoilt))]
+        return lines[0].unionByName(lines[1])
+    return report
+
+
+def _contract_sql(source: str, schema, drop: str, nullable: tuple[str, ...], *, extra: int, bounds: bool) -> str:
+    """The same lines from plain counts over ``source``."""
+    filled = [f.name for f in schema.fields if not f.nullable and f.name not in nullable]
+    lines = []
+    for side in ("good", "spoilt"):
+        gone = side == "spoilt"
+        counts = {"no_rows": "CAST(count(*) = 0 AS BIGINT)", "missing_columns": f"{int(gone)}", "extra_columns": f"{extra * gone}",
+                  "misplaced_columns": "0", "not_whole_columns": "0"}
+        for c in filled:
+            if not (gone and c == drop):
+                broken = _SPOILT.get(c) if gone else None
+                counts[f"null_{c}"] = f"count(*) FILTER (WHERE {c} IS NULL{f' OR {broken}' if broken else ''})"
+        if bounds:
+            shifted = f"utilization_rate + CASE WHEN {_BEYOND} THEN 2 ELSE 0 END" if gone else "utilization_rate"
+            counts["bounds_utilization_rate"] = f"count(*) FILTER (WHERE NOT coalesce({shifted} BETWEEN -1e-12 AND 1 + 1e-12, FALSE))"
+        lines += [f"SELECT '{side}' AS side, '{rule}' AS rule, count(*) AS rows, CAST({n} AS BIGINT) AS violations FROM {source}" for rule, n in counts.items()]
+    return f"(SELECT *, violations = 0 AS passed FROM ({' UNION ALL '.join(lines)}))"
+
+
+_LINES = ["side", "rule", "rows", "violations", "passed"]
+_add("contract_raw_ledger", _contracted(lambda s: raw_ledger(s.read_all()), contracts.raw_ledger_contract, "tx_hash"), O.EVENTS,
+     _contract_sql("raw", RAW_LEDGER, "tx_hash", (), extra=1, bounds=False), _LINES)
+_add("contract_ledger", _contracted(P.enriched_ledger_dataset, contracts.ledger_contract, "tx_hash"), O.LEDGER,
+     _contract_sql("led", LEDGER, "tx_hash", contracts._RATES, extra=0, bounds=True), _LINES)
+_add("contract_attribution", _contracted(_core, contracts.attribution_contract, "buffer"), O.CORE,
+     _contract_sql("attr", ATTRIBUTION_CORE, "buffer", (*contracts._RATES, "borrow_apr", "delta_borrow_apr"), extra=0, bounds=True), _LINES)
+_FLAGS = tuple(c for c in indicator_schema().names if c.startswith(("borrow_apr", "delta_borrow_apr", "elasticity")))
+_add("contract_indicators", _contracted(P.indicator_dataset, contracts.indicator_contract, "tx_hash"),
+     O.indicator_windows({"5min": 300, "1h": 3_600, "6h": 21_600}),
+     _contract_sql("win", indicator_schema(), "tx_hash", (*contracts._RATES, *_FLAGS), extra=1, bounds=True), _LINES)
+
+
+def _event_contracts(store: EventStore) -> DataFrame:
+    """Each raw table, and each without its transaction hashes and with some markets unset."""
+    lines = []
+    for event, df in store.read_all().items():
+        for side, table in (("good", df), ("spoilt", df.drop("tx_hash").withColumn("id", F.expr("CASE WHEN log_index % 101 > 0 THEN id END")))):
+            report = contracts.contract_report(table, contracts.event_contract(table, event))
+            lines.append(report.withColumns({"side": F.lit(side), "event_type": F.lit(event)}))
+    return reduce(DataFrame.unionByName, lines).where("rule IN ('no_rows', 'missing_columns', 'null_id', 'null_block_number')")
+
+
+_add("contract_raw_events", _event_contracts, O.EVENTS,
+     "(SELECT event_type, side, rule, rows, violations, violations = 0 AS passed FROM (SELECT event_type, side, rule, count(*) AS rows,"
+     " CAST(CASE WHEN side = 'good' THEN 0 WHEN rule = 'missing_columns' THEN 1 WHEN rule = 'null_id' THEN count(*) FILTER (WHERE log_index % 101 = 0)"
+     " ELSE 0 END AS BIGINT) AS violations FROM raw, (VALUES ('good'), ('spoilt')) s(side),"
+     " (VALUES ('no_rows'), ('missing_columns'), ('null_id'), ('null_block_number')) r(rule) GROUP BY event_type, side, rule))",
+     ["event_type", *_LINES])
+
+
 def registered() -> dict[str, Query]:
     return dict(_QUERIES)
