@@ -12,7 +12,9 @@ A cell is (market, block, log_index div 65536), so a cell is bounded and the row
 many windows are asked for. Head and tail run over cells, not rows: cells are copied once as query and
 once as carried one width ahead, so both meet in one group, and the two frames start unbounded. A time
 block is at most a day wide; a longer window is a whole number of blocks, whose totals go through the
-same two-block step. No group holds a whole market at row level.
+same two-block step. No group holds a whole market at row level. Cells travel by (market, day), once for all
+windows up to a day and once for each longer one, and are copied where they then lie; only windows whose
+blocks don't divide the day are copied before they travel.
 
 Two kinds of column need a variance. Levels (utilization, APR) sit far from zero, so they travel as
 (count, mean, second moment), merge by the pairwise formula, and runs of cells are centred on a member
@@ -25,13 +27,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.operators.ordered import CELL, LOGS_PER_CELL, cell_of
 
-WIDEST_BLOCK = 86_400
+DAY = WIDEST_BLOCK = 86_400
 EXPANDING = "expanding"
 
 Output = tuple[str, str]  # column name, SQL expression
@@ -214,25 +217,30 @@ def _two_block(
     key: str,
     ties: Sequence[str],
     sizes: dict[int, tuple[int | None, int]],
+    by_day: bool = False,
 ) -> DataFrame:
     """Head (``h_``) and tail (``t_``) of every cell for every window in ``sizes``: id -> (width, block).
 
-    A window without width has a head only. If the cells carry a window id, a cell serves that one.
+    A window without width has a head only. If the cells carry a window id, a cell serves that one. With
+    ``by_day`` the cells come as :func:`_sent_by_day` leaves them, and all copies are made where they lie.
     """
     roles = []
     for wid, (width, block) in sizes.items():
-        roles.append(f"named_struct('wid', {wid}, 'q', {key} div {block}, 'k', {key}, 'asks', true)")
+        here = "_tag = 0" if by_day else "true"
+        roles.append(f"named_struct('wid', {wid}, 'q', {key} div {block}, 'k', {key}, 'asks', true, 'here', {here})")
         if width is not None:
             ahead = f"({key} + {width})"
-            roles.append(f"named_struct('wid', {wid}, 'q', {ahead} div {block}, 'k', {ahead}, 'asks', false)")
-    array = f"array({', '.join(roles)})"
-    kept = [c for c in cells.columns if c != "wid"]
+            if by_day:
+                here = f"_tag = {wid + 2}" if width > DAY else f"_tag < 2 AND {ahead} div {DAY} = _day"
+            roles.append(f"named_struct('wid', {wid}, 'q', {ahead} div {block}, 'k', {ahead}, 'asks', false, 'here', {here})")
+    kept = [c for c in cells.columns if c not in ("wid", "_tag")]
+    array = f"filter(array({', '.join(roles)}), r -> r.here)"
     if "wid" in cells.columns:
         cells = cells.selectExpr(*kept, "wid AS _own")
-        array = f"filter({array}, r -> r.wid = _own)"
-    copies = cells.selectExpr(*kept, f"inline({array})")
+        array = f"filter(array({', '.join(roles)}), r -> r.wid = _own)"
+    copies = cells.selectExpr(*kept, f"inline({array})").drop("here")
 
-    group = f"PARTITION BY wid, {', '.join(part)}, q"
+    group = f"PARTITION BY {', '.join(part)}, {'_day, ' if by_day else ''}wid, q"
     so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     up = f"ORDER BY {', '.join(['k', *ties])}"
     down = f"ORDER BY {', '.join(f'{c} DESC' for c in ['k', *ties])}"
@@ -297,6 +305,65 @@ def _carries(
     return joined.selectExpr("wid", *ids, *measures.merged("b_", "g_", "e_"))
 
 
+def _sent_by_day(cells: DataFrame, part: Sequence[str], windows: dict[int, int | None]) -> DataFrame:
+    """The cells dealt out by day: to their own (_tag 0), the next (1), and where each window above a day ends (id + 2).
+
+    All that a day's cells need lies in the day's group then, so a cell travels once for all windows up to a day.
+    """
+    sent = [f"named_struct('_day', _time div {DAY}, '_tag', 0)", f"named_struct('_day', _time div {DAY} + 1, '_tag', 1)"]
+    sent += [
+        f"named_struct('_day', (_time + {width}) div {DAY}, '_tag', {wid + 2})"
+        for wid, width in windows.items()
+        if width is not None and width > DAY
+    ]
+    return cells.selectExpr("*", f"inline(array({', '.join(sent)}))").repartition(*part, "_day")
+
+
+def _by_day(cells: DataFrame, measures: Measures, part: Sequence[str], ties: Sequence[str], windows: dict[int, int | None]) -> DataFrame:
+    """Per cell, the partial aggregates of each window's rows before it, as a struct ``_e<id>`` a window.
+
+    For windows whose blocks divide the day. One shuffle of the cells by day serves all of them: copies, windows and the
+    table of one row a cell are made inside the day's group. Whole days in between come from one table of day totals
+    for all windows, a small one.
+    """
+    sizes = {w: (width, DAY if width is None else block_width(width)) for w, width in windows.items()}
+    parts = measures.parts()
+    blocks = _two_block(_sent_by_day(cells, part, windows), measures, part, "_time", ties, sizes, by_day=True)
+    before = measures.merged("t_", "h_", "b_") if any(w is not None for w in windows.values()) else [f"h_{p} AS b_{p}" for p in parts]
+    named = lambda prefix: ", ".join(f"'{p}', {prefix}{p}" for p in parts)
+    picked = [F.expr(f"any_value(named_struct({named('b_')})) FILTER (WHERE wid = {w})").alias(f"_b{w}") for w in windows]
+    several = {w: width // block if width else None for w, (width, block) in sizes.items() if width != block}
+    key = [*part, "_day", "_time", *ties]
+    if several:
+        # Windows of whole days share their head: one of them gives the totals of days.
+        first = next(iter(several))
+        blocks = blocks.selectExpr("wid", *key, *before, f"CASE WHEN wid = {first} THEN named_struct({named('h_')}) END AS _h", f"named_struct({named('')}) AS _own")
+        picked += [F.expr("any_value(_h) FILTER (WHERE _h IS NOT NULL)").alias("_h"), F.expr("any_value(_own)").alias("_own")]
+    else:
+        blocks = blocks.selectExpr("wid", *key, *before)
+    wide = blocks.groupBy(*key).agg(*picked)
+    if not several:
+        return wide.selectExpr(*part, "_time", *ties, *[f"_b{w} AS _e{w}" for w in windows])
+
+    whole = wide.selectExpr(*part, "_day", "_time", *ties, *measures.merged("_h.", "_own.", "w_"))
+    last = f"max_by(named_struct({named('w_')}), struct({', '.join(['_time', *ties])}))"
+    days = whole.groupBy(*part, "_day").agg(F.expr(last).alias("_w")).selectExpr(*part, "_day AS _b", "_w.*")
+    steps = {w: (n, n or 1 << 40) for w, n in several.items()}
+    between = _two_block(days, measures, part, "_b", [], steps)
+    if any(several.values()):
+        between = between.selectExpr("*", *measures.merged("t_", "h_", "g_"))
+    else:
+        between = between.selectExpr("*", *[f"h_{p} AS g_{p}" for p in parts])
+    between = between.groupBy(*part, F.col("_b").alias("_day")).agg(
+        *[F.expr(f"any_value(named_struct({named('g_')})) FILTER (WHERE wid = {w})").alias(f"_g{w}") for w in several]
+    )
+    joined = wide.join(between, [*part, "_day"], "left")
+    for_window = lambda w: ", ".join(f"'{x.rsplit(' AS ', 1)[1]}', {x.rsplit(' AS ', 1)[0]}" for x in measures.merged(f"_b{w}.", f"_g{w}."))
+    return joined.selectExpr(
+        *part, "_time", *ties, *[f"named_struct({for_window(w)}) AS _e{w}" if w in several else f"_b{w} AS _e{w}" for w in windows]
+    )
+
+
 def rolling(
     df: DataFrame,
     measures: Measures,
@@ -330,14 +397,18 @@ def rolling(
     cells = cut.groupBy(*cell).agg(*time, *totals)
     if repeats:
         cells = cells.withColumnRenamed("block_timestamp", "_time")
-    carries = _carries(cells, measures, part, ties, {w: windows[l] for w, l in ids.items()}, widest_block)
-    if repeats:
-        carries = carries.withColumnRenamed("_time", "block_timestamp")
-
-    named = ", ".join(f"'{p}', e_{p}" for p in measures.parts())
-    wide = carries.groupBy(*cell).agg(
-        *[F.expr(f"any_value(named_struct({named})) FILTER (WHERE wid = {w})").alias(f"_e{w}") for w in ids]
-    )
+    widths = {w: windows[label] for w, label in ids.items()}
+    daily = {w: width for w, width in widths.items() if widest_block == DAY and (width is None or DAY % block_width(width) == 0)}
+    others = {w: width for w, width in widths.items() if w not in daily}
+    tables = [_by_day(cells, measures, part, ties, daily)] if daily else []
+    if others:
+        carries = _carries(cells, measures, part, ties, others, widest_block)
+        named = ", ".join(f"'{p}', e_{p}" for p in measures.parts())
+        tables.append(carries.groupBy(*part, "_time", *ties).agg(
+            *[F.expr(f"any_value(named_struct({named})) FILTER (WHERE wid = {w})").alias(f"_e{w}") for w in others]
+        ))
+    wide = reduce(lambda a, b: a.join(b, [*part, "_time", *ties]), tables)
+    wide = wide.withColumnRenamed("_time", "block_timestamp") if repeats else wide.drop("_time")
 
     over = f" OVER (PARTITION BY {', '.join(cell)} ORDER BY log_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     rows = cut.selectExpr("*", *measures.from_rows(over, "p_"))
