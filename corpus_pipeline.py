@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return
 the columns of documents. ``run`` writes each stage's rows to the shared folder and reads them again, so a
 lost executor costs one stage at most.
+
+Rows keep the five columns of documents; a table's further columns, whatever their names, end at the first stage. Null ids and ids that
+several texts share are rows like others, null texts count as empty, texts of any length are worked on whole, repeated rows count each
+until near copies go, and an empty table gives an empty result of every stage.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
+    """One text of each group of near copies, the one with the least id (null last), once; other texts of that id stay."""
     return keep_one(docs).select(*COLUMNS)
 
 
