@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolscope.operators.joins import join_spread
@@ -13,6 +15,7 @@ from poolscope.session import settled
 
 _MANTISSA = 2**36
 _GROUP = 65_536
+_BUCKET = 2**30
 
 
 def sort_key(value: Column) -> Column:
@@ -31,55 +34,52 @@ def sort_key(value: Column) -> Column:
     return F.when(size < 1e-300, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * key)
 
 
-def _cut(column: str, by: int) -> Column:
-    return F.floor(F.col(column) / F.lit(float(by))).cast("bigint")
+def _cut(key: Column, by: int) -> Column:
+    return F.floor(key / F.lit(float(by))).cast("bigint")
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: Sequence[float],
-    *,
-    part: Sequence[str],
-    totals: DataFrame | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], *, part: Sequence[str]) -> DataFrame:
     """Exact quantiles per ``part`` with linear interpolation, as columns ``p<percent>``.
 
-    Equal values are counted first, the counts are summed along the value order by the bounded prefix
-    sums of :mod:`poolscope.operators.ordered`, and each quantile reads the one or two values whose
-    ranks enclose it. Nulls are left out. ``totals`` may pass the counts per part (``_total``) if known.
+    Selection by radix: a first pass counts values by coarse sort key (exponent and 6 bits of mantissa, so a part
+    has a bounded number of them, and partial counts leave few records to shuffle). The buckets that hold the wanted
+    ranks are settled, a small table; a second pass keeps only the values inside them, counts equal ones before the
+    shuffle and ranks the rest by the bounded prefix sums of :mod:`poolscope.operators.ordered`. Nulls are left
+    out. Reads ``df`` twice and runs a job when called, for the buckets.
     """
     part = list(part)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*part, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_key", sort_key(F.col("_value")))
+    ranks = [F.lit(float(p)) * (F.col("_total") - 1) for p in probabilities]
+    ends = [end(rank) for rank in ranks for end in (F.floor, F.ceil)]
+    rows = df.where(F.col(value).isNotNull()).select(*part, F.col(value).alias("_value"))
+    rows = rows.withColumn("_bucket", _cut(sort_key(F.col("_value")), _BUCKET))
+
+    whole = Window.partitionBy(*part)
+    buckets = rows.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    buckets = buckets.select(
+        "*",
+        F.sum("_n").over(whole).alias("_total"),
+        (F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n")).alias("_before"),
     )
+    holds = [(F.col("_before") <= end) & (end < F.col("_before") + F.col("_n")) for end in ends]
+    wanted = settled(buckets.where(reduce(or_, holds)).drop("_n"))
+
+    # The partition's number spreads rows of one value too, should the buckets be too many for Spark to send to all tasks.
+    inside = join_spread(rows, wanted, [*part, "_bucket"], spread=[F.spark_partition_id(), F.col("_value")], how="inner")
+    counts = inside.groupBy(*part, "_bucket", "_before", "_total", "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(
-        counts,
-        [Running("sum", F.col("_n"), upto="_upto")],
-        part=part,
+        counts.withColumn("_key", sort_key(F.col("_value"))),
+        [Running("sum", F.col("_n"), upto="_inside")],
+        part=[*part, "_bucket"],
         order=["_value"],
-        levels=[
-            [("_key", F.col("_key"))],
-            [("_high", _cut("_key", _GROUP))],
-            [("_top", _cut("_high", _GROUP))],
-        ],
-    )
-    if totals is None:
-        totals = counts.groupBy(*part).agg(F.sum("_n").alias("_total"))
-    placed = join_spread(ranked, totals, part, spread=[F.col("_value")])
-    wanted = []
-    for p in probabilities:
-        place = F.lit(float(p)) * (F.col("_total") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
-        below = F.max(F.when(holds(low), F.col("_value")))
-        above = F.max(F.when(holds(high), F.col("_value")))
-        weight = F.max(place - low)
-        wanted.append((below + (above - below) * weight).alias(f"p{100 * p:g}"))
-    return placed.groupBy(*part).agg(*wanted)
+        levels=[[("_key", F.col("_key"))], [("_high", _cut(F.col("_key"), _GROUP))]],
+    ).withColumn("_upto", F.col("_before") + F.col("_inside"))
+    found = []
+    for p, rank in zip(probabilities, ranks, strict=True):
+        low, high = F.floor(rank), F.ceil(rank)
+        at = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)
+        below, above = (F.max(F.when(at(place), F.col("_value"))) for place in (low, high))
+        found.append((below + (above - below) * F.max(rank - low)).alias(f"p{100 * p:g}"))
+    return ranked.groupBy(*part).agg(*found)
 
 
 def describe(
@@ -93,7 +93,7 @@ def describe(
     """Count, mean, sample deviation, extremes and exact quantiles of several columns per ``part``.
 
     The columns are settled first (see :func:`poolscope.session.settled`), as they are read for the
-    counts and for every level of the ranks; with ``ready`` the caller has done so. Runs a job else.
+    counts and twice for the ranks; with ``ready`` the caller has done so. Runs jobs when called.
     """
     part = list(part)
     df = df.select(*part, *columns)
@@ -110,5 +110,4 @@ def describe(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    totals = basic.select(*keys, F.col("count").alias("_total"))
-    return basic.join(quantiles(long, "value", probabilities, part=keys, totals=totals), keys)
+    return basic.join(quantiles(long, "value", probabilities, part=keys), keys)

@@ -18,8 +18,9 @@ blocks don't divide the day are copied before they travel.
 
 Two kinds of column need a variance. Levels (utilization, APR) sit far from zero, so they travel as
 (count, mean, second moment), merge by the pairwise formula, and runs of cells are centred on a member
-of the run: constant series give exactly zero and long ones do not cancel. Changes (steps, shares)
-scatter around zero, so their plain sums of powers and products are enough and merge by adding.
+of the run: constant series give exactly zero and long ones do not cancel. A pair of levels carries its joint
+deviation, the sum of products of both distances from the means, which merges in the same way. Changes (steps,
+shares) scatter around zero, so their plain sums of powers and products are enough and merge by adding.
 Nulls are skipped, as is the usual rule for rolling statistics.
 """
 
@@ -44,9 +45,9 @@ Output = tuple[str, str]  # column name, SQL expression
 class Measures:
     """Columns to aggregate.
 
-    ``levels`` get mean and variance, ``changes`` sum, mean and variance, ``pairs`` of changes a
-    covariance, ``sums`` a sum and mean, ``highs`` and ``lows`` the extremes. Columns not listed in
-    ``nullable`` must be free of nulls, and so must all changes.
+    ``levels`` get mean and variance, ``changes`` sum, mean and variance, ``pairs`` of two levels or two changes
+    a covariance, ``sums`` a sum and mean, ``highs`` and ``lows`` the extremes. Columns not listed in
+    ``nullable`` must be free of nulls, and so must all changes and pairs.
     """
 
     levels: tuple[str, ...] = ()
@@ -61,6 +62,13 @@ class Measures:
         paired = {c for pair in self.pairs for c in pair}
         if bad := self.nullable & {*self.changes, *paired}:
             raise ValueError(f"variance of changes needs columns without nulls, not {sorted(bad)}")
+        if mixed := [pair for pair in self.pairs if len({c in self.levels for c in pair}) > 1]:
+            raise ValueError(f"a pair needs two levels or two changes, not {mixed}")
+
+    @property
+    def joint(self) -> list[tuple[str, str]]:
+        """Pairs of levels: they carry a joint deviation, the others a sum of products."""
+        return [pair for pair in self.pairs if pair[0] in self.levels]
 
     @property
     def counted(self) -> list[str]:
@@ -68,7 +76,8 @@ class Measures:
 
     @property
     def summed(self) -> list[str]:
-        return list(dict.fromkeys([*self.sums, *self.changes, *[c for pair in self.pairs for c in pair]]))
+        plain = [c for pair in self.pairs if pair not in self.joint for c in pair]
+        return list(dict.fromkeys([*self.sums, *self.changes, *plain]))
 
     def count(self, column: str) -> str:
         return f"n_{column}" if column in self.counted else "n"
@@ -83,7 +92,7 @@ class Measures:
         return {
             **{f"s_{c}": c for c in self.summed},
             **{f"q_{c}": f"{c} * {c}" for c in self.changes},
-            **{f"x_{x}_{y}": f"{x} * {y}" for x, y in self.pairs},
+            **{f"x_{x}_{y}": f"{x} * {y}" for x, y in self.pairs if (x, y) not in self.joint},
         }
 
     @property
@@ -96,7 +105,7 @@ class Measures:
     def parts(self) -> list[str]:
         """Names of the partial aggregates, in a fixed order."""
         moments = [f"{k}_{c}" for c in self.levels for k in ("m", "v")]
-        return [*self.counts, *self.added, *self.extremes, *moments]
+        return [*self.counts, *self.added, *self.extremes, *moments, *[f"c_{x}_{y}" for x, y in self.joint]]
 
     def from_rows(self, over: str = "", prefix: str = "") -> list[str]:
         """Partial aggregates of plain rows, as aggregates or (with ``over``) as window functions."""
@@ -108,6 +117,7 @@ class Measures:
             counted = c if c in self.counted else 1
             out[f"m_{c}"] = f"avg({c}){over}"
             out[f"v_{c}"] = f"var_pop({c}){over} * count({counted}){over}"
+        out |= {f"c_{x}_{y}": f"covar_pop({x}, {y}){over} * count(1){over}" for x, y in self.joint}
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
     def merged(self, a: str, b: str, prefix: str = "") -> list[str]:
@@ -129,6 +139,11 @@ class Measures:
             out[f"v_{c}"] = (
                 f"coalesce({a}v_{c} + {b}v_{c} + {gap} * {gap} * ({a}{k} * {weight}), {a}v_{c}, {b}v_{c})"
             )
+        for x, y in self.joint:
+            c = f"c_{x}_{y}"
+            gaps = f"({b}m_{x} - {a}m_{x}) * ({b}m_{y} - {a}m_{y})"
+            weight = f"({a}n * ({b}n / nullif({a}n + {b}n, 0)))"
+            out[c] = f"coalesce({a}{c} + {b}{c} + {gaps} * {weight}, {a}{c}, {b}{c})"
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
     def centres(self, mask: str, over: str, prefix: str) -> list[str]:
@@ -147,6 +162,9 @@ class Measures:
             n, dev = self.count(c), f"(m_{c} - {centre}{c})"
             out[f"m_{c}"] = f"sum({pick(f'{n} * {dev}')}) {over}"
             out[f"v_{c}"] = f"sum({pick(f'v_{c} + {n} * {dev} * {dev}')}) {over}"
+        for x, y in self.joint:
+            devs = f"(m_{x} - {centre}{x}) * (m_{y} - {centre}{y})"
+            out[f"c_{x}_{y}"] = f"sum({pick(f'c_{x}_{y} + n * {devs}')}) {over}"
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
     def settled(self, run: str, centre: str, prefix: str) -> list[str]:
@@ -155,6 +173,9 @@ class Measures:
             n = f"nullif({run}{self.count(c)}, 0)"
             out[f"m_{c}"] = f"{centre}{c} + {run}m_{c} / {n}"
             out[f"v_{c}"] = f"CASE WHEN {n} > 0 THEN greatest({run}v_{c} - {run}m_{c} * ({run}m_{c} / {n}), 0D) END"
+        for x, y in self.joint:
+            n = f"nullif({run}n, 0)"
+            out[f"c_{x}_{y}"] = f"CASE WHEN {n} > 0 THEN {run}c_{x}_{y} - {run}m_{x} * ({run}m_{y} / {n}) END"
         return [f"{expr} AS {prefix}{name}" for name, expr in out.items()]
 
 
@@ -199,6 +220,8 @@ class Window:
     def cov(self, x: str, y: str) -> str:
         """Sample covariance, 0 for fewer than two rows."""
         n = f"{self.prefix}n"
+        if (x, y) in self.measures.joint:
+            return f"CASE WHEN {n} > 1 THEN {self.prefix}c_{x}_{y} / ({n} - 1) ELSE 0D END"
         joint = f"{self.prefix}x_{x}_{y} - {self.sum(x)} * ({self.sum(y)} / {n})"
         return f"CASE WHEN {n} > 1 THEN ({joint}) / ({n} - 1) ELSE 0D END"
 

@@ -87,6 +87,28 @@ def test_quantiles_are_exact(spark):
         assert both.loc[("a", "v"), ours] == pytest.approx(expected[theirs], rel=1e-12)
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_quantiles_of_hot_values_and_narrow_ranges(spark, broadcast):
+    """A third of all rows hold one value; another part's values differ in the last bits only; ranks fall between buckets."""
+    rng = np.random.default_rng(1)
+    parts = {"hot": np.concatenate([np.full(300, 2.5), rng.normal(size=600)]), "bits": 1 + np.arange(400) * 2.0**-52,
+             "gap": np.array([-1e300, 1e-301, 3.0, 1e12]), "one": np.array([-7.0]), "two": np.array([np.nan, 4.0])}
+    frame = pd.DataFrame([(g, float(v)) for g, values in parts.items() for v in values], columns=["g", "v"])
+    df = spark.createDataFrame(frame).withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).repartition(3)
+    probabilities = [0.01, 0.25, 0.5, 0.9]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = quantiles(df, "v", probabilities, part=["g"]).toPandas().set_index("g")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(got.index) == set(parts)
+    for g, group in frame.groupby("g"):
+        for p in probabilities:
+            assert got.loc[g, f"p{100 * p:g}"] == pytest.approx(group.v.quantile(p), rel=1e-15, abs=0)
+    assert quantiles(df.limit(0), "v", [0.5], part=["g"]).count() == 0
+
+
 def test_reports(spark):
     frame = ledgers.raw()
     state = state_frame(ledgers.to_spark(spark, frame))

@@ -81,3 +81,30 @@ def test_block_widths():
 def test_measures_refuse_nullable_changes():
     with pytest.raises(ValueError):
         Measures(changes=("a",), nullable=frozenset({"a"}))
+
+
+@pytest.mark.parametrize("options", [{"repeats": True}, {"repeats": False, "logs_per_cell": 2, "widest_block": 3_600}])
+def test_pairs_of_levels_do_not_cancel(spark, options):
+    frame = sample(rows=300)
+    rng = np.random.default_rng(6)
+    frame["x"], far = rng.normal(size=len(frame)).cumsum() + 1e9, rng.normal(size=len(frame))
+    frame["u"] = 0.5 * (frame.x - 1e9) + far - 1e9
+    near = frame.assign(x=frame.x - 1e9, u=frame.u + 1e9)
+    widths = {"1h": 3600, "100001s": 100_001, "7d": 604_800, "expanding": None}
+    measures = Measures(levels=("x", "u"), pairs=(("x", "u"),))
+    outputs = lambda w: [(f"cov_{w.label}", w.cov("x", "u")), (f"var_{w.label}", w.var("x"))]
+    got = ledgers.collected(rolling(ledgers.to_spark(spark, frame), measures, widths, outputs, **options))
+    want = ledgers.collected(rolling(ledgers.to_spark(spark, near), measures, widths, outputs, **options))
+    keys = ["market_id", "block_number", "log_index"]
+    got, want = got.sort_values(keys), want.sort_values(keys)
+    for name in [c for c in got if c.startswith(("cov_", "var_"))]:
+        assert np.allclose(got[name], want[name], rtol=1e-6, atol=1e-6)
+    plain = [g.x.expanding(2).cov(g.u).fillna(0) for _, g in near.sort_values(keys).groupby("market_id")]
+    assert np.allclose(want.cov_expanding, np.concatenate(plain), rtol=1e-9, atol=1e-9)
+
+
+def test_a_pair_is_of_one_kind():
+    with pytest.raises(ValueError, match="two levels or two changes"):
+        Measures(levels=("x",), changes=("y",), pairs=(("x", "y"),))
+    with pytest.raises(ValueError, match="without nulls"):
+        Measures(levels=("x", "y"), pairs=(("x", "y"),), nullable=frozenset({"x"}))
