@@ -10,6 +10,7 @@ their pieces packed first-fit, longest first.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,9 +30,19 @@ CACHED_CHARS = 64
 
 # White space as Unicode has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A byte-level pre-tokenizer never joins what this separates: the last blank of a run goes with the
+#: A byte-level pre-tokenizer never joins what these separate: the last blank of a run goes with the
 #: word after it, the rest of the run is a part, and so is a run at the end.
-_parts = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}](?=[^{_WS}])|[{_WS}]+").findall
+_blanks = f"[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}](?=[^{_WS}])|[{_WS}]+"
+_parts = re.compile(f" ?[^{_WS}]+|{_blanks}").findall
+#: GPT-2's pattern, fixed in its library, also parts letters, digits and other signs. A word is cut between such runs while they
+#: are of ASCII and Latin-1 letters; an apostrophe keeps the letters after it, and what holds any other character stays whole.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_SIGNS = "!-/:-@\\[-`{-~"
+_known_next = f"(?![^ -~{_LETTERS}{_WS}])"
+_runs = re.compile(
+    f" ?[{_LETTERS}]++{_known_next}| ?[0-9]++{_known_next}"
+    f"| ?[{_SIGNS}]++(?:(?<=')[{_LETTERS}]++)?+{_known_next}| ?[^{_WS}]+|{_blanks}"
+).findall
 _ends = re.compile(f"[^{_WS}](?= [^{_WS}])")
 
 _models: dict[str, tuple] = {}
@@ -39,14 +50,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _model(path: str) -> tuple:
-    """Tokenizer, pattern of special strings or None, and the ids of known parts as bytes."""
+    """Tokenizer, pattern of special strings or None, what cuts a text into parts, and the ids of known parts as bytes."""
     if path not in _models:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         special = [t.content for t in model.get_added_tokens_decoder().values()]
         split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        _models[path] = model, split, {}
+        rule = json.loads(model.to_str())["pre_tokenizer"] or {}
+        gpt2 = rule.get("type") == "ByteLevel" and rule.get("use_regex")
+        _models[path] = model, split, _runs if gpt2 else _parts, {}
     return _models[path]
 
 
@@ -64,13 +77,16 @@ def _segments(text: str) -> Iterator[str]:
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, as the whole text's encoding has them."""
-    model, split, known = _model(path)
+    model, split, cut, known = _model(path)
     parts = []
     for text in texts:
         own: list[str] = []
-        for stretch in split.split(text) if split else [text]:
+        for i, stretch in enumerate(split.split(text) if split else [text]):
+            if i % 2:  # a special string
+                own.append(stretch)
+                continue
             for segment in _segments(stretch):
-                own += _parts(segment)
+                own += cut(segment)
         parts.append(own)
     missing = list(set().union(*parts).difference(known))
     for part, found in zip(missing, model.encode_batch_fast(missing, add_special_tokens=False), strict=True):

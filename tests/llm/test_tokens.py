@@ -47,6 +47,11 @@ def test_ids_equal_whole_texts(texts, monkeypatch):
     whole = Tokenizer.from_file(BYTES)
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(texts, BYTES)] == want
+    rng = random.Random(2)
+    signs = [*"abZ09'`.,! \n\t\r\x85\xa0\x1c\x00\x7fé×÷ßÿ²½Ⅷ一\u200bªºµ_-|#\u0301", "'s", "'ll", "'RE", " '", "🙂", "<|endoftext|>"]
+    mixed = ["".join(rng.choices(signs, k=rng.randrange(1, 25))) for _ in range(20_000)]
+    whole_ids = [e.ids for e in whole.encode_batch(mixed, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(mixed, BYTES)] == whole_ids
     monkeypatch.setattr(packing, "SEGMENT_CHARS", 9)
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(texts, BYTES)] == want
 
