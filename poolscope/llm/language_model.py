@@ -15,10 +15,10 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,7 @@ BATCH_BYTES = 8_000_000
 SEGMENT = 4_000_000
 HELD_WORDS = 300_000
 SLICES = 16
+PART_TOKENS, MOST_PARTS = 2_000_000, 16_384
 END = b""
 
 
@@ -54,6 +55,16 @@ def tokens_of(text: str | None) -> Iterator[list[bytes]]:
     yield data[start:].split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in a row, A-Z in lower case, and how many each text has; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # blanks at either end leave an empty string
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    bounds = bounds - bounds[0]
+    return flat.filter(full), upto[bounds[1:]] - upto[bounds[:-1]]
+
+
 #: By last byte: letter 0, full stop 1, comma 2, other 3.
 _ENDING = [1 if b == 46 else 2 if b == 44 else 0 if 97 <= b <= 122 or b >= 128 else 3 for b in range(256)]
 
@@ -97,26 +108,41 @@ class Vocabulary:
     """What a worker needs of the counts: the dictionary's words, and sums over all words."""
 
     shape: R.Shape
-    place: dict[bytes, int]  # heads first
+    words: pa.Array  # heads first
+    end: int  # the place of the end
     log_count: np.ndarray  # log10(c + 1) by place
     number: np.ndarray  # token number by place
     log_base: float  # log10(N + V + 1)
     log_rare: np.ndarray  # log10 of the smoothed total, by rare class
 
-    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Token numbers and places (-1: not in the dictionary) with the end, and the words not in it."""
-        numbers, places, others = [], [], []
-        find = self.place.get
-        for own in tokens_of(text):
-            at = np.fromiter(map(find, own, repeat(-1)), np.int64, len(own))
-            rest = [own[i] for i in np.flatnonzero(at < 0)]
-            n = self.number[at]
-            n[at < 0] = [self.shape.heads + rare_class(w) for w in rest]
-            numbers.append(n)
-            places.append(at)
-            others += rest
-        end = np.array([self.place[END]])
-        return np.concatenate([*numbers, self.number[end]]), np.concatenate([*places, end]), others
+    def numbers(self, texts: pa.Array) -> Numbers:
+        flat, lengths = split(texts)
+        at = pc.index_in(flat, value_set=self.words).fill_null(-1).to_numpy()
+        missing = np.flatnonzero(at < 0)
+        others = flat.take(pa.array(missing)).dictionary_encode()
+        rare = np.array([self.shape.heads + rare_class(w.encode()) for w in others.dictionary.to_pylist()], np.int64)
+        codes = others.indices.to_numpy()
+        number = self.number[at]
+        number[missing] = rare[codes]
+        ends = np.cumsum(lengths)
+        starts = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]])
+        pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[missing] * (len(rare) + 1) + codes, return_counts=True)
+        texts_of, words_of = np.divmod(pairs, len(rare) + 1)
+        return Numbers(np.insert(number, ends, self.number[self.end]), np.insert(at, ends, self.end), starts, lengths + 1,
+                       np.searchsorted(texts_of, np.arange(len(lengths) + 1)), others.dictionary.take(pa.array(words_of)), times)
+
+
+@dataclass
+class Numbers:
+    """Texts as numbers, one after the other, each with its end."""
+
+    number: np.ndarray  # token numbers
+    place: np.ndarray  # in the dictionary, -1: not there
+    starts: np.ndarray  # by text
+    lengths: np.ndarray  # by text
+    bounds: np.ndarray  # of each text in what follows
+    others: pa.Array  # distinct words that aren't in the dictionary
+    times: np.ndarray  # how often
 
 
 def vocabulary(counts: DataFrame, heads: int = HEADS, size: int = DICTIONARY) -> tuple[Vocabulary, np.ndarray, int, int]:
@@ -140,37 +166,43 @@ def vocabulary(counts: DataFrame, heads: int = HEADS, size: int = DICTIONARY) ->
     words = np.array([sums[k]["v"] if k in sums else 0 for k in range(rare)], float)
     shape = R.Shape(len(best), min(MEMBERS, len(best)), rare)
     numbers = np.array([i if i < len(best) else len(best) + rare_class(w) for i, w in enumerate(known)], np.int64)
-    found = Vocabulary(shape, {w: i for i, w in enumerate(known)}, np.log10(np.array(list(known.values()), float) + 1), numbers,
+    places = list(known)
+    found = Vocabulary(shape, pa.array([w.decode() for w in places], pa.string()), places.index(END), np.log10(np.array(list(known.values()), float) + 1), numbers,
                        math.log10(total["n"] + total["v"] + 1), np.log10(by_rare + words + 1))
     return found, np.concatenate([[float(n) for _, n in best], by_rare]), total["n"], least
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], numbers) -> Iterator[list[tuple]]:
-    """(row of the batch, what ``numbers`` makes of its text) of documents, in lists of some BUFFER tokens."""
-    held, size = [], 0
-    for batch in by_bytes(batches, "text", BATCH_BYTES):
-        own = batch.drop_columns(["text"]).to_pylist()
-        for row, text in zip(own, batch.column("text").to_pylist(), strict=True):
-            made = numbers(text)
-            held.append((row, made))
-            size += len(made[0])
-            if size >= BUFFER:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def training_parts(tokens: int) -> int:
+    """Tasks of the training pass: by what there is to learn, so the weights don't depend on how files are cut."""
+    return max(1, min(MOST_PARTS, -(-tokens // PART_TOKENS)))
 
 
-def train(docs: DataFrame, vocab, start, rate: float) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocab, start, rate: float, parts: int | None = None) -> dict[str, np.ndarray]:
     """Weights after one pass of each task over its documents from ``start``, averaged by tokens.
 
-    vocab, start: broadcast variables. Weights are averaged in slices, so no task holds them of all tasks.
+    vocab, start: broadcast variables. Documents travel as token numbers, dealt to ``parts`` tasks by a hash of id and text
+    and ordered by it; without ``parts`` they stay where they are. Weights are averaged in slices, so no task holds them of
+    all tasks.
     """
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            made = vocab.value.numbers(batch.column("text"))
+            flat = made.number.astype("<u2").tobytes()
+            ids = [flat[2 * s : 2 * (s + n)] for s, n in zip(made.starts.tolist(), made.lengths.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(ids, pa.binary())], ["hash", "ids"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = R.Trainer(start.value, vocab.value.shape, rate)
-        for held in _buffers(batches, vocab.value.numbers):
-            trainer.fit([made[0].astype(np.int32) for _, made in held])
+        trainer, held, size = R.Trainer(start.value, vocab.value.shape, rate), [], 0
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                held.append(np.frombuffer(ids, "<u2").astype(np.int32))
+                size += len(held[-1])
+                if size >= BUFFER:
+                    trainer.fit(held)
+                    held, size = [], 0
+        if held:
+            trainer.fit(held)
         if trainer.tokens:
             flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype(float) * trainer.tokens
             parts = np.array_split(flat, SLICES)
@@ -191,7 +223,10 @@ def train(docs: DataFrame, vocab, start, rate: float) -> dict[str, np.ndarray]:
 
     kind = "slice int, tokens long, weights array<double>"
     # Sorted, so that sums of floating-point numbers don't depend on the order of arrival.
-    dealt = docs.select("text").mapInArrow(fit, kind).repartition(SLICES, "slice").sortWithinPartitions("slice", "tokens", "weights")
+    numbered = docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(number, "hash long, ids binary")
+    if parts:
+        numbered = numbered.repartition(parts, "hash").sortWithinPartitions("hash", "ids")
+    dealt = numbered.mapInArrow(fit, kind).repartition(SLICES, "slice").sortWithinPartitions("slice", "tokens", "weights")
     rows = sorted(dealt.mapInArrow(add_up, kind).collect())
     if not rows:
         return start.value
@@ -206,29 +241,35 @@ def score_texts(docs: DataFrame, vocab, model) -> DataFrame:
     """doc_id, n_tokens, n_known, base, score so far, and the words that aren't in the dictionary, with how often."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
+        v, held, size = vocab.value, [], 0
         known_log, heads = np.append(v.log_count, 0.0), v.shape.heads
 
-        def summed(text: str | None) -> tuple:
-            numbers, places, others = v.numbers(text)
-            rare = numbers >= heads
-            sums = known_log[places]
-            return (numbers.astype(np.int32), int((sums > 0).sum()), float(sums.sum()) - len(numbers) * v.log_base,
-                    float(sums[rare].sum() - v.log_rare[numbers[rare] - heads].sum()), Counter(others))
-
-        for held in _buffers(batches, summed):
-            found = R.log_probabilities(model.value, v.shape, [made[0] for _, made in held]) / math.log(10)
-            for i in range(0, len(held), 2000):
-                part = held[i : i + 2000]
-                columns = [
-                    pa.array([row["doc_id"] for row, _ in part], pa.int64()),
-                    pa.array([len(m[0]) for _, m in part], pa.int64()), pa.array([m[1] for _, m in part], pa.int64()),
-                    pa.array([m[2] for _, m in part], pa.float64()),
-                    pa.array([m[3] + x for (_, m), x in zip(part, found[i : i + 2000], strict=True)], pa.float64()),
-                    pa.array([[w.decode() for w in m[4]] for _, m in part], pa.list_(pa.string())),
-                    pa.array([list(m[4].values()) for _, m in part], pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "others", "times"])
+        def scored() -> Iterator[pa.RecordBatch]:
+            texts = [made.number[s : s + n].astype(np.int32) for _, made, _ in held for s, n in zip(made.starts, made.lengths, strict=True)]
+            found, done = R.log_probabilities(model.value, v.shape, texts) / math.log(10), 0
+            for ids, made, (n_known, base, extra) in held:
+                score = extra + found[done : done + len(ids)]
+                done += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(made.lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score),
+                     pa.ListArray.from_arrays(pa.array(made.bounds, pa.int32()), made.others),
+                     pa.ListArray.from_arrays(pa.array(made.bounds, pa.int32()), pa.array(made.times, pa.int32()))],
+                    ["doc_id", "n_tokens", "n_known", "base", "score", "others", "times"])
+
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            made = v.numbers(batch.column("text"))
+            logs, rare = known_log[made.place], made.number >= heads
+            extra = np.zeros(len(logs))
+            extra[rare] = logs[rare] - v.log_rare[made.number[rare] - heads]
+            sums = [np.add.reduceat(x, made.starts) for x in ((logs > 0).astype(np.int64), logs - v.log_base, extra)]
+            made.place = None
+            held.append((batch.column("doc_id"), made, sums))
+            size += len(made.number)
+            if size >= BUFFER:
+                yield from scored()
+                held, size = [], 0
+        if held:
+            yield from scored()
 
     return documents(docs, "doc_id", "text").mapInArrow(
         score, "doc_id long, n_tokens long, n_known long, base double, score double, others array<string>, times array<int>")
@@ -256,7 +297,7 @@ def log_likelihoods(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD
     few = settled(training.join(F.broadcast(first), "doc_id", "left_semi"))
     few = few.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
     warm = train(few, vocab, start, R.RATE)
-    model = spark.sparkContext.broadcast(train(training, vocab, spark.sparkContext.broadcast(warm), PASS_RATE))
+    model = spark.sparkContext.broadcast(train(training, vocab, spark.sparkContext.broadcast(warm), PASS_RATE, training_parts(n_train)))
 
     scored = settled(score_texts(own, vocab, model).withColumn("_row", F.monotonically_increasing_id()))
     each = scored.select("_row", F.explode(F.arrays_zip("others", "times")).alias("_o")).select("_row", "_o.others", "_o.times")

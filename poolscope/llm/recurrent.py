@@ -17,7 +17,8 @@ import numpy as np
 HIDDEN = 16
 LANES = 256
 WINDOW = 16
-SCORE_WINDOW = 64
+SCORE_LANES = 1024
+SCORE_WINDOW = 16
 RATE = 0.006
 
 
@@ -89,128 +90,160 @@ def _inputs(tokens: np.ndarray, owner: np.ndarray, shape: Shape) -> tuple[np.nda
 
 
 def _run(p: dict, before: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool):
-    """States after each step from h on; with ``keep`` what backpropagation needs."""
-    n = h.shape[1]
-    states, kept = np.empty((len(before), *h.shape), np.float32), []
+    """States after each step from h on, by step, unit and lane; with ``keep`` what backpropagation needs.
+
+    Lanes come last everywhere, so a gate's units are whole runs of memory. h: by unit and lane.
+    """
+    n, (steps, lanes) = len(h), before.shape
     # A gate is (1 + tanh(x / 2)) / 2, so the gates' columns are halved once.
-    half = np.repeat(np.array([0.5, 1], np.float32), [2 * n, n])
-    inputs, u = ((p["wx"] + p["b"]) * half)[before], p["u"] * half
-    for t in range(len(before)):
-        if first[t].any():
-            h = np.where(first[t][:, None], np.float32(0), h)
-        both = h @ u
-        gates, inner = both[:, : 2 * n], both[:, 2 * n :]
-        gates += inputs[t, :, : 2 * n]
+    half = np.repeat(np.array([0.5, 1], p["u"].dtype), [2 * n, n])
+    u = np.ascontiguousarray((p["u"] * half).T)
+    inputs = np.ascontiguousarray(((p["wx"] + p["b"]) * half)[before].transpose(0, 2, 1))
+    states = np.empty((steps, n, lanes), inputs.dtype)
+    kept = [np.empty((steps, k * n, lanes), inputs.dtype) for k in (1, 2, 1, 1)] if keep else []
+    one_half, starts = inputs.dtype.type(0.5), first.any(1)
+    for t in range(steps):
+        if starts[t]:
+            h = np.where(first[t], inputs.dtype.type(0), h)
+        both = u @ h
+        gates, inner = both[: 2 * n], both[2 * n :]
+        gates += inputs[t, : 2 * n]
         np.tanh(gates, out=gates)
-        gates *= np.float32(0.5)
-        gates += np.float32(0.5)
-        z, r = gates[:, :n], gates[:, n:]
-        new = r * inner
-        new += inputs[t, :, 2 * n :]
+        gates *= one_half
+        gates += one_half
+        if keep:
+            for into, what in zip(kept, (h, gates, inner), strict=False):
+                into[t] = what
+        new = gates[n:] * inner
+        new += inputs[t, 2 * n :]
         np.tanh(new, out=new)
         if keep:
-            kept.append((h, z, r, new, inner))
-        h = new + z * (h - new)
-        states[t] = h
+            kept[3][t] = new
+        h = np.subtract(h, new, out=states[t])
+        h *= gates[:n]
+        h += new
     return states, kept
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    e /= e.sum(1, keepdims=True)
-    return e
+def _by_unit(x: np.ndarray) -> np.ndarray:
+    """From (step, unit, lane) to (unit, step and lane)."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+
+
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax down the columns, in place, and the logarithm of what each was divided by."""
+    top = logits.max(0)
+    logits -= top
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    logits /= total
+    return logits, np.log(total) + top
+
+
+def _log_total(logits: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each column; changes logits."""
+    top = logits.max(0)
+    logits -= top
+    return np.log(np.exp(logits, out=logits).sum(0)) + top
 
 
 def _classes(tokens: np.ndarray, shape: Shape) -> np.ndarray:
     return np.where(tokens < shape.heads, tokens // shape.members, tokens - shape.heads + shape.head_classes)
 
 
-def _groups(tokens: np.ndarray, classes: np.ndarray, shape: Shape) -> Iterator[tuple[int, np.ndarray]]:
-    """Head classes that occur, with the positions of their tokens."""
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(shape.head_classes + 1))
+def _groups(classes: np.ndarray, shape: Shape) -> Iterator[tuple[int, slice]]:
+    """Head classes that occur, with where their tokens lie; classes is sorted."""
+    edges = np.searchsorted(classes, np.arange(shape.head_classes + 1))
     for c in range(shape.head_classes):
         if edges[c + 1] > edges[c]:
-            yield c, order[edges[c] : edges[c + 1]]
+            yield c, slice(edges[c], edges[c + 1])
+
+
+def _by_class(states: np.ndarray, tokens: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """Positions of the tokens in order of their classes, and by that order states (by unit), tokens and classes."""
+    at = np.flatnonzero(tokens.ravel() >= 0)
+    y = tokens.ravel()[at]
+    classes = _classes(y, shape)
+    # Small numbers are sorted by radix.
+    order = np.argsort(classes.astype(np.int16) if shape.classes < 1 << 15 else classes, kind="stable")
+    return at[order], _by_unit(states).take(at[order], 1), y[order], classes[order]
 
 
 def log_probabilities(p: dict, shape: Shape, documents: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each whole document's token numbers; the state runs through all of it."""
-    tokens, owner = lanes(documents)
+    tokens, owner = lanes(documents, SCORE_LANES)
     before, first = _inputs(tokens, owner, shape)
     out = np.zeros(tokens.shape, np.float32)
-    h = np.zeros((tokens.shape[1], len(p["u"])), np.float32)
+    h = np.zeros((len(p["u"]), tokens.shape[1]), p["u"].dtype)
     for t in range(0, len(tokens), SCORE_WINDOW):
         states, _ = _run(p, before[t : t + SCORE_WINDOW], first[t : t + SCORE_WINDOW], h, False)
         h = states[-1]
-        own = tokens[t : t + SCORE_WINDOW]
-        there = own >= 0
-        x, y = states[there], own[there]
-        classes = _classes(y, shape)
-        logits = x @ p["wo"] + p["bo"]
-        top = logits.max(1, keepdims=True)
-        found = logits[np.arange(len(y)), classes] - top[:, 0]
-        logits -= top
-        found -= np.log(np.exp(logits, out=logits).sum(1))
-        for c, at in _groups(y, classes, shape):
-            inner = x[at] @ p["wi"][c] + p["bi"][c]
-            top = inner.max(1, keepdims=True)
-            found[at] += inner[np.arange(len(at)), y[at] - c * shape.members] - top[:, 0] - np.log(np.exp(inner - top).sum(1))
-        out[t : t + SCORE_WINDOW][there] = found
+        at, x, y, classes = _by_class(states, tokens[t : t + SCORE_WINDOW], shape)
+        logits = p["wo"].T @ x + p["bo"][:, None]
+        found = logits[classes, np.arange(len(y))]
+        found -= _log_total(logits)
+        for c, own in _groups(classes, shape):
+            inner = p["wi"][c].T @ x[:, own] + p["bi"][c][:, None]
+            own_logit = inner[y[own] - c * shape.members, np.arange(own.stop - own.start)]
+            found[own] += own_logit - _log_total(inner)
+        out[t : t + SCORE_WINDOW].ravel()[at] = found
     there = owner >= 0
     return np.bincount(owner[there], out[there].astype(float), minlength=len(documents))
 
 
 def gradients(p: dict, shape: Shape, tokens: np.ndarray, before: np.ndarray, first: np.ndarray, h: np.ndarray):
-    """Loss (nats), number of tokens, gradients of the mean loss, and the last state, over one window."""
+    """Loss (nats), number of tokens, gradients of the mean loss, and the last state, over one window. h: by lane and unit."""
     n = h.shape[1]
-    states, kept = _run(p, before, first, h, True)
-    there = tokens >= 0
-    x, y = states[there], tokens[there]
-    classes, size = _classes(y, shape), max(1, len(y))
+    states, kept = _run(p, before, first, np.ascontiguousarray(h.T), True)
+    at, x, y, classes = _by_class(states, tokens, shape)
+    size = max(1, len(y))
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    prob = _softmax(x @ p["wo"] + p["bo"])
     rows = np.arange(len(y))
-    loss = -np.log(prob[rows, classes] + 1e-30).sum()
-    prob[rows, classes] -= 1
-    prob /= size
-    g["wo"], g["bo"] = x.T @ prob, prob.sum(0)
-    dx = prob @ p["wo"].T
-    for c, at in _groups(y, classes, shape):
-        own = x[at]
-        inner = _softmax(own @ p["wi"][c] + p["bi"][c])
-        place = np.arange(len(at)), y[at] - c * shape.members
-        loss -= np.log(inner[place] + 1e-30).sum()
+    logits = p["wo"].T @ x + p["bo"][:, None]
+    own_logit = logits[classes, rows]
+    prob, log_total = _softmax(logits)
+    loss = float((log_total - own_logit).sum())
+    prob[classes, rows] -= 1
+    prob *= 1 / size
+    g["wo"], g["bo"] = x @ prob.T, prob.sum(1)
+    dx = p["wo"] @ prob
+    for c, part in _groups(classes, shape):
+        own, place = x[:, part], (y[part] - c * shape.members, np.arange(part.stop - part.start))
+        logits = p["wi"][c].T @ own + p["bi"][c][:, None]
+        own_logit = logits[place]
+        inner, log_total = _softmax(logits)
+        loss += float((log_total - own_logit).sum())
         inner[place] -= 1
-        inner /= size
-        g["wi"][c], g["bi"][c] = own.T @ inner, inner.sum(0)
-        dx[at] += inner @ p["wi"][c].T
-    dstates = np.zeros(states.shape, np.float32)
-    dstates[there] = dx
+        inner *= 1 / size
+        g["wi"][c], g["bi"][c] = own @ inner.T, inner.sum(1)
+        dx[:, part] += p["wi"][c] @ inner
+    in_order, dx = dx, np.zeros((n, tokens.size), dx.dtype)
+    dx[:, at] = in_order
+    dstates = dx.reshape(n, *tokens.shape).transpose(1, 0, 2)
     # What doesn't depend on the gradient of the state is worked out for all steps at once.
-    was, z, r, new, gh = (np.array(x) for x in zip(*kept, strict=True))
+    was, gates, gh, new = kept
+    z, r = gates[:, :n], gates[:, n:]
     to_new, to_z, to_r = (1 - z) * (1 - new * new), (was - new) * z * (1 - z), gh * r * (1 - r)
-    dgates, through = np.empty((*tokens.shape, 3 * n), np.float32), np.empty((*tokens.shape, 3 * n), np.float32)
-    dh, back = np.zeros_like(h), p["u"].T.copy()
+    dgates, through = (np.empty((len(tokens), 3 * n, tokens.shape[1]), states.dtype) for _ in range(2))
+    dh, starts = np.zeros_like(states[0]), first.any(1)
     for t in range(len(tokens) - 1, -1, -1):
-        dh = dh + dstates[t]
-        dnew = dh * to_new[t]
-        own = through[t]
-        np.multiply(dh, to_z[t], out=own[:, :n])
-        np.multiply(dnew, to_r[t], out=own[:, n : 2 * n])
-        np.multiply(dnew, r[t], out=own[:, 2 * n :])
-        dgates[t, :, 2 * n :] = dnew
-        dh = dh * z[t] + own @ back
-        if first[t].any():
-            dh = np.where(first[t][:, None], np.float32(0), dh)
-    dgates[:, :, : 2 * n] = through[:, :, : 2 * n]
-    g["u"] = was.reshape(-1, n).T @ through.reshape(-1, 3 * n)
-    flat, at = dgates.reshape(-1, 3 * n), before.ravel()
-    g["b"] = flat.sum(0)
-    order = np.argsort(at, kind="stable")
-    used, starts = np.unique(at[order], return_index=True)
-    g["wx"][used] = np.add.reduceat(flat[order], starts)
-    return float(loss), len(y), g, states[-1]
+        dh += dstates[t]
+        own, dnew = through[t], dgates[t, 2 * n :]
+        np.multiply(dh, to_new[t], out=dnew)
+        np.multiply(dh, to_z[t], out=own[:n])
+        np.multiply(dnew, to_r[t], out=own[n : 2 * n])
+        np.multiply(dnew, r[t], out=own[2 * n :])
+        dh *= z[t]
+        dh += p["u"] @ own
+        if starts[t]:
+            dh = np.where(first[t], states.dtype.type(0), dh)
+    dgates[:, : 2 * n] = through[:, : 2 * n]
+    g["u"] = _by_unit(was) @ _by_unit(through).T
+    by_unit, inputs = _by_unit(dgates), before.ravel()
+    g["b"] = by_unit.sum(1)
+    for k, own in enumerate(by_unit):
+        g["wx"][:, k] = np.bincount(inputs, own, minlength=len(g["wx"]))
+    return loss, len(y), g, states[-1].T
 
 
 class Trainer:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,32 @@ def test_language_model_scores(spark, corpus, monkeypatch):
     assert (untaught["n_known"], untaught["train_tokens"], untaught["base_score"]) == (0, 0, 0.0)
 
 
+def test_language_model_does_not_depend_on_how_rows_lie(spark, corpus, monkeypatch):
+    monkeypatch.setattr(language_model, "PART_TOKENS", 3_000)
+    docs, got = corpus[0].where("doc_id is not null").dropDuplicates(["doc_id"]), []
+    for parts in (4, 13):
+        scored = language_model.log_likelihoods(docs.repartition(parts), sample=50)
+        got.append({r["doc_id"]: (r["score"], r["n_tokens"], r["n_known"]) for r in scored.collect()})
+    assert got[0].keys() == got[1].keys()
+    assert all(got[1][k] == (pytest.approx(v[0], rel=1e-4), *v[1:]) for k, v in got[0].items())
+
+
+def test_words_and_numbers_of_texts():
+    texts = ["  A b\u00a0c\x0b\tÄd ", None, "", "\n", "x", "b b q q q R"]
+    flat, lengths = language_model.split(pa.array(texts, pa.string()))
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert [w.encode() for w in flat.to_pylist()] == [w for own in plain for w in own] and lengths.tolist() == list(map(len, plain))
+    known = {b"": 0, b"b": 1, b"x": 2}
+    v = language_model.Vocabulary(recurrent.Shape(3, 2, 48), pa.array(["", "b", "x"]), 0, np.ones(3), np.arange(3), 1.0, np.zeros(48))
+    made = v.numbers(pa.array(texts, pa.string()))
+    for i, own in enumerate(plain):
+        at = slice(made.starts[i], made.starts[i] + made.lengths[i])
+        assert made.place[at].tolist() == [known.get(w, -1) for w in [*own, b""]]
+        assert made.number[at].tolist() == [known.get(w, 3 + language_model.rare_class(w)) for w in [*own, b""]]
+        rest = slice(made.bounds[i], made.bounds[i + 1])
+        assert dict(zip(made.others[rest].to_pylist(), made.times[rest].tolist(), strict=True)) == Counter(w.decode() for w in own if w not in known)
+
+
 def test_start_is_fitted_from_a_small_settled_table(spark, corpus, monkeypatch, tmp_path):
     docs, plain = corpus[0].select("doc_id", "text"), language_model.train
     docs.repartition(5).write.parquet(str(tmp_path / "documents"))
