@@ -3,8 +3,9 @@
 A sketch counts values in buckets of bounded relative width (a value's bucket is the ceiling of its
 logarithm), so a quantile is right to within that width; sketches of parts merge by adding counts, which
 is what Spark's partial aggregation does, and give the same result in any order. Each language and source
-has one per statistic; small groups use the sketch merged over their language, or over everything. A
-document is rejected where a statistic lies far outside its group's quartiles.
+has one per statistic, with its language's sketch merged in at the weight of a few rows, and each language so
+with that of everything: thresholds of a small group move to its own as it grows, with no size at which they
+jump. A document is rejected where a statistic lies far outside its group's quartiles.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from poolscope.session import settled
 
 BATCH_BYTES = 8_000_000
 ACCURACY = 0.01
-LEAST_ROWS = 50
+PRIOR_ROWS = 50  # weight of the sketch above in each group's
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -109,32 +110,38 @@ def quantiles(merged: DataFrame, keys: list[str], at: list[float], accuracy: flo
     """keys, statistic, n_rows and q0, q1, ... for the wanted shares: the value at rank ceil(share * n)."""
     group = W.partitionBy(*keys, "statistic")
     ranked = merged.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("_all", F.sum("n").over(group))
-    found = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * q), F.col("bucket"))).alias(f"q{i}") for i, q in enumerate(at)]
+    # n may be a weight; sums of the same weights in another order differ by far less than the margin.
+    found = [F.min(F.when(F.col("_upto") >= F.col("_all") * (q * (1 - 1e-9)), F.col("bucket"))).alias(f"q{i}") for i, q in enumerate(at)]
     out = ranked.groupBy(*keys, "statistic").agg(F.max("_all").alias("n_rows"), *found)
     return out.select(*keys, "statistic", "n_rows", *[bucket_value(F.col(f"q{i}"), accuracy).alias(f"q{i}") for i in range(len(at))])
 
 
-def thresholds(rows: DataFrame, *, least_rows: int = LEAST_ROWS, accuracy: float = ACCURACY) -> DataFrame:
+def pooled(own: DataFrame, keys: list[str], above: DataFrame, shared: list[str], prior_rows: float) -> DataFrame:
+    """Each group's sketch with the one ``above`` it merged in, scaled to ``prior_rows`` rows.
+
+    own: keys, statistic, bucket, n. above: shared (some of the keys), statistic, bucket, n; null keys are keys like others.
+    """
+    rows = W.partitionBy(*shared, "statistic")
+    scaled = above.select(*[F.col(k).alias(f"_{k}") for k in shared], F.col("statistic").alias("_statistic"), "bucket",
+                          (F.col("n") * (prior_rows / F.sum("n").over(rows))).alias("n"))
+    groups = own.select(*keys, "statistic").distinct()
+    same = F.col("statistic") == F.col("_statistic")
+    for k in shared:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    lent = groups.join(scaled, same).select(*keys, "statistic", "bucket", "n")
+    both = own.withColumn("n", F.col("n").cast("double")).unionByName(lent)
+    return both.groupBy(*keys, "statistic", "bucket").agg(F.sum("n").alias("n"))
+
+
+def thresholds(rows: DataFrame, *, prior_rows: float = PRIOR_ROWS, accuracy: float = ACCURACY) -> DataFrame:
     """lang, source, and low_s and high_s for each statistic s. rows: lang, source and the statistics, none null."""
-    names = [r[0] for r in RULES]
-    own = sketches(rows, ["lang", "source"], names, accuracy)
+    own = sketches(rows, ["lang", "source"], [r[0] for r in RULES], accuracy)
     total = F.sum("n").alias("n")
-    levels = {
-        "_own": (own, ["lang", "source"]),
-        "_lang": (own.groupBy("lang", "statistic", "bucket").agg(total), ["lang"]),
-        "_all": (own.groupBy("statistic", "bucket").agg(total), []),
-    }
-    found = own.select("lang", "source", "statistic").distinct()
-    for level, (sketch, keys) in levels.items():
-        q = quantiles(sketch, keys, [0.25, 0.5, 0.75], accuracy).select(
-            *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("statistic").alias("_key_statistic"),
-            F.struct("n_rows", "q0", "q1", "q2").alias(level))
-        same = F.col("statistic") == F.col("_key_statistic")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-        found = found.join(q, same, "left").drop("_key_statistic", *[f"_key_{k}" for k in keys])
-    enough = [F.when(F.col(f"{level}.n_rows") >= least_rows, F.col(level)) for level in ("_own", "_lang")]
-    picked = found.select("lang", "source", "statistic", F.coalesce(*enough, F.col("_all")).alias("q"))
+    by_lang = own.groupBy("lang", "statistic", "bucket").agg(total)
+    by_lang = pooled(by_lang, ["lang"], own.groupBy("statistic", "bucket").agg(total), [], prior_rows)
+    merged = pooled(own, ["lang", "source"], by_lang, ["lang"], prior_rows)
+    found = quantiles(merged, ["lang", "source"], [0.25, 0.5, 0.75], accuracy)
+    picked = found.select("lang", "source", "statistic", F.struct("q0", "q1", "q2").alias("q"))
     out = []
     for name, _, sides, spreads, least in RULES:
         q0, q1, q2 = (F.col(f"q.q{i}") for i in range(3))
@@ -146,20 +153,22 @@ def thresholds(rows: DataFrame, *, least_rows: int = LEAST_ROWS, accuracy: float
     return picked.groupBy("lang", "source").agg(*out)
 
 
-def apply_rules(docs: DataFrame, *, least_rows: int = LEAST_ROWS, accuracy: float = ACCURACY) -> DataFrame:
+def apply_rules(docs: DataFrame, *, prior_rows: float = PRIOR_ROWS, accuracy: float = ACCURACY) -> DataFrame:
     """Counts, base_failed and kept of each row of documents, with the statistics and the rules it broke.
 
     base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. Sketches are taken over the
-    documents that pass this; the others are never kept. Groups of fewer than ``least_rows`` such documents use
-    their language's thresholds, and small languages those of all documents. Null languages and sources are
-    groups of their own. Null or empty texts have no words and fail. Repeated rows are judged each and count
-    each; an empty table gives an empty result. Runs a job when called; reads each text once.
+    documents that pass this; the others are never kept. A group's thresholds are those of its documents and
+    ``prior_rows`` rows shaped like its language's, which has as many shaped like all documents. Null languages
+    and sources are groups of their own. Null or empty texts have no words and fail; very long texts are judged
+    whole; a value equal to a threshold stays. Repeated rows, and rows that share an id, are judged each and count
+    each; further columns, whatever their names, are ignored; an empty table gives an empty result. Runs a job
+    when called; reads each text once.
     """
     counted = settled(document_counts(docs))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = counted.withColumn("base_failed", failed)
     measured = rows.where(~F.col("base_failed")).select("*", *[F.expr(f"CAST({e} AS DOUBLE)").alias(s) for s, e, *_ in RULES])
-    limits = thresholds(measured, least_rows=least_rows, accuracy=accuracy)
+    limits = thresholds(measured, prior_rows=prior_rows, accuracy=accuracy)
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # A hot source's rows all meet the same row of limits; the join splits them, or sends the limits around if small.
     same = rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"])

@@ -207,6 +207,67 @@ def test_rules_adapt_to_their_group(spark):
     assert rules.apply_rules(docs.limit(0)).count() == 0
 
 
+def plain_kept(rows):
+    """What apply_rules keeps, by (doc_id, text), from sketches in dictionaries."""
+    gamma = (1 + rules.ACCURACY) / (1 - rules.ACCURACY)
+    at = lambda x: -(1 << 20) if x <= 1e-9 else math.ceil(math.log(x) / math.log(gamma))
+    value = lambda b: 0.0 if b == -(1 << 20) else 2 * gamma**b / (gamma + 1)
+    judged = []
+    for doc_id, text, lang, source in rows:
+        own, lines = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+        repeated = plain_repeated(own)
+        if len(own) >= 20 and 100 * repeated <= 30 * len(own):
+            symbols = sum(c in "#*$%&|<>" for c in text)
+            judged.append((doc_id, text, lang, source, (sum(map(len, own)) / len(own), symbols / len(own), 1 - len(set(lines)) / len(lines), repeated / len(own))))
+    kept = {(d, t) for d, t, *_ in judged}
+    for k, (low, spreads, least) in enumerate([(True, 4, 1.0), (False, 4, 0.1), (False, 4, 0.5), (False, 4, 0.25)]):
+        for d, t, lang, source, s in judged:
+            everything, same_lang, same = (Counter(at(o[4][k]) for o in judged if all(o[i] == j[i] for i in fields))
+                                           for j in [(d, t, lang, source)] for fields in [(), (2,), (2, 3)])
+            for upper, lower in ((everything, same_lang), (same_lang, same)):
+                rows_above = sum(upper.values())
+                for b in list(upper):
+                    lower[b] += upper[b] * rules.PRIOR_ROWS / rows_above
+            total, upto, q = sum(same.values()), 0.0, {}
+            for b in sorted(same):
+                upto += same[b]
+                for share in (0.25, 0.5, 0.75):
+                    if share not in q and upto >= share * total * (1 - 1e-9):
+                        q[share] = value(b)
+            reach = max(spreads * (q[0.75] - q[0.25]), least)
+            if s[k] > q[0.5] + reach or (low and s[k] < q[0.5] - reach):
+                kept.discard((d, t))
+    return kept
+
+
+def test_rules_against_a_plain_version(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(140):
+        lang, source = [("en", "a"), ("en", "b"), ("de", "a"), (None, None)][int(i % 9 > 3) + int(i % 9 > 6) + int(i % 9 > 7)]
+        length = {"en": 4, "de": 9, None: 6}[lang]
+        words = ["".join(rng.choice(list("abcdefgh"), max(1, int(rng.normal(length, 1))))) for _ in range(int(rng.integers(15, 80)))]
+        words += ["#" * int(rng.integers(1, 9)) for _ in range(int(rng.integers(0, 3)))]
+        if i % 11 == 0:
+            words += ["x" * 30] * int(rng.integers(5, 25))
+        rows.append((i // 2, ("\n" if i % 5 else " ").join([" ".join(words)] * (1 + (i % 13 == 0))), lang, source))
+    rows += [(1, None, "en", "a"), (2, "", "en", "a"), (3, "long " * 40_000, "de", "a"), (4, "ab cde fgh " * 3 + " ".join(map(str, range(90_000))), "en", "b")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"n_words": F.lit("clash"), "bucket": F.lit(1), "n": F.lit(1)})
+    got = rules.apply_rules(docs).collect()
+    key = lambda d, t: (d, len((t or "").split()), len("".join((t or "").split())))
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"]) for r in got) == Counter(key(d, t) for d, t, *_ in rows)
+    want = {key(d, t) for d, t in plain_kept(rows)}
+    assert {(r["doc_id"], r["n_words"], r["word_chars"]) for r in got if r["kept"]} == want
+    assert 0 < len(want) < sum(not r["base_failed"] for r in got)
+
+
+def test_one_more_row_moves_thresholds_little(spark):
+    rows = [("en", "a", i, 5.0 + i % 3) for i in range(400)] + [("en", "b", i, 9.0 + i % 3 / 10) for i in range(50)]
+    names = [r[0] for r in rules.RULES]
+    table = lambda n: spark.createDataFrame([(lang, src, *[x] * 4) for lang, src, i, x in rows if src == "a" or i < n], ["lang", "source", *names])
+    few, more = (rules.thresholds(table(n)).where("source = 'b'").first() for n in (49, 50))
+    assert few["high_word_length"] == pytest.approx(more["high_word_length"], rel=0.05)
+
+
 def test_gradients():
     shape, rng = recurrent.Shape(12, 4, 3), np.random.default_rng(0)
     p = {k: v.astype(float) for k, v in recurrent.initial(shape, rng.integers(1, 50, 15).astype(float), hidden=5).items()}
