@@ -10,6 +10,8 @@ _LIMB = 15  # hex digits per limb: 60 bits, so conv() stays inside a signed 64-b
 _MOST_HEX = 32  # hex digits of the largest decimal(38,0)
 _WAD = 1e18
 _BLANKS = " \t\n\r\f\x0b"
+# Amounts that fit 64 bits whatever their digits are: nearly all, so they skip the wide arithmetic.
+_SHORT_DECIMAL, _SHORT_HEX = r"^[0-9]{1,18}\z", rf"^0[xX][0-9a-fA-F]{{1,{_LIMB}}}\z"
 
 
 def base_units(col: Column, *, name: str | Column, amount_type: str = "bigint") -> Column:
@@ -17,7 +19,8 @@ def base_units(col: Column, *, name: str | Column, amount_type: str = "bigint")
 
     Null and blank give 0 and thousands commas are dropped. Anything else that isn't a whole number
     (points, exponents, letters) is an error that names the column; so is a value outside
-    ``amount_type``, of which decimal(38,0) is the widest.
+    ``amount_type``, of which decimal(38,0) is the widest. Short plain digits are read as 64-bit numbers; all
+    other forms go through decimals.
     """
     label = F.lit(name) if isinstance(name, str) else name
     text = F.trim(F.coalesce(col.cast("string"), F.lit("0")), F.lit(_BLANKS))
@@ -45,7 +48,13 @@ def base_units(col: Column, *, name: str | Column, amount_type: str = "bigint")
         .when(~plain.rlike("^[+-]?[0-9]+$"), fail("expected a whole number, found"))
         .otherwise(plain.cast(_WIDE))
     )
-    return parsed.cast(amount_type)
+    given = col.cast("string")
+    short = lambda number: number.cast("bigint").cast(amount_type)
+    return (
+        F.when(given.rlike(_SHORT_DECIMAL), short(given))
+        .when(given.rlike(_SHORT_HEX), short(F.conv(F.substr(given, F.lit(3)), 16, 10)))
+        .otherwise(parsed.cast(amount_type))
+    )
 
 
 def rate_per_second(col: Column) -> Column:

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
 _owners: list[list[str]] = []
+#: Bytes of code beyond which HotSpot never compiles a method but interprets it, row by row.
+_HUGE_METHOD = "8000"
 
 
 def build_session(master: str | None = None, *, app: str = "poolscope", **conf: str) -> SparkSession:
     """Session with UTC time and strict (ANSI) arithmetic; other settings as given.
 
     The window tables are wide and one plan has more generated classes than Spark keeps by default
-    (100), which would compile them anew for every query; the larger cache keeps them.
+    (100), which would compile them anew for every query; the larger cache keeps them. See also :func:`keep_compiled`.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -32,7 +34,19 @@ def build_session(master: str | None = None, *, app: str = "poolscope", **conf:
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return keep_compiled(builder.getOrCreate())
+
+
+def keep_compiled(spark: SparkSession) -> SparkSession:
+    """The session, told not to fuse operators into methods that the JVM refuses to compile.
+
+    The wide tables (46 to 300 columns) make such methods, and Spark's own limit is eight times the JVM's. Unfused, each
+    operator's expressions are split into small methods. A limit that the session has been given stays.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit, "65535") == "65535":
+        spark.conf.set(limit, _HUGE_METHOD)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

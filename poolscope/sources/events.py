@@ -73,7 +73,7 @@ class EventStore:
         """
         schema = all_events_schema()
         try:
-            df = self.spark.read.schema(schema).parquet(self._glob("*"))
+            df = self.spark.read.schema(schema).parquet(self._glob(f"{{{','.join(EVENTS)}}}"))
         except AnalysisException as problem:
             if not self.allow_missing or problem.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -85,7 +85,7 @@ class EventStore:
             F.substring_index(F.col("_metadata.file_path"), "/", place - len(folders)), "/", 1
         )
         kind = F.substring(folder, F.lit(len(before) + 1), F.length(folder) - len(before) - len(after))
-        df = df.withColumn("event_type", kind).where(F.col("event_type").isin(*EVENTS))
+        df = df.withColumn("event_type", kind)
         if market_ids is not None:
             ids = [market_ids] if isinstance(market_ids, str) else list(market_ids)
             df = df.where(F.col("id").isin(ids))

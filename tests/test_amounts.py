@@ -44,3 +44,10 @@ def test_refused_forms(spark, value, message):
 def test_rate(spark):
     df = spark.createDataFrame([("1000000000",), (None,)], "r string")
     assert [r[0] for r in df.select(rate_per_second(F.col("r"))).collect()] == [1e-9, 0.0]
+
+
+def test_short_amounts_skip_the_wide_arithmetic(spark):
+    plan = spark.createDataFrame([("1",)], "a string").select(base_units(F.col("a"), name="x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[0-9]{1,18}" in plan and plan.index("[0-9]{1,18}") < plan.index("decimal(38,0)")
+    assert parse(spark, ["0", "007", "9" * 18, "0x" + "f" * 15, "0x7" + "f" * 15, "0X0a", "7\n", "0xff\n"]) == [
+        0, 7, 10**18 - 1, 2**60 - 1, 2**63 - 1, 10, 7, 255]

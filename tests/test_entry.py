@@ -68,3 +68,31 @@ def test_rows_are_shuffled_once_from_scan_to_windows(spark):
         # The plan's first branch is the rows' own path, down to the first scan.
         rows = plan[: plan.index("FileScan")]
         assert rows.count("Exchange hashpartitioning") == 1 and rows.count("SortMergeJoin") == 2
+
+
+def test_ledger_queries_keep_methods_small_enough_to_be_compiled(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        event_store(spark, FOLDER)
+        assert int(spark.conf.get(limit)) <= 8_000
+        spark.conf.set(limit, "4000")
+        event_store(spark, FOLDER)
+        assert spark.conf.get(limit) == "4000"
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_doubles_are_rounded_without_text_and_the_kind_is_found_once(spark):
+    plan = _plan(driver.queries()["contributions"](spark, FOLDER))
+    assert "rint(" in plan and " round(" not in plan
+    scans = _plan(event_store(spark, FOLDER).read_together())
+    assert scans.count("substring_index(substring_index(") == 2  # in the kind and in its length
+    for digits in (8, 12, 18):
+        values = [0.0, -0.1, 1 / 3, 2e-9, -123456.789, 3.5e15, 1e-13, float("nan"), None]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = [r[0] for r in df.selectExpr(f"CAST(CAST(rint(v * 1e{digits}D) / 1e{digits}D AS FLOAT) AS DOUBLE) + 0D").collect()]
+        con = duckdb.connect()
+        want = [con.execute(f"SELECT CAST(CAST(round(?::DOUBLE, {digits}) AS FLOAT) AS DOUBLE) + 0.0::DOUBLE", [v]).fetchone()[0] for v in values]
+        assert repr(got) == repr(want)

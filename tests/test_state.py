@@ -73,3 +73,10 @@ def test_standardize_signs_and_contract(spark):
     wide = raw_ledger({"Supply": big, "Withdraw": tables["Withdraw"]}, amount_type="decimal(38,0)")
     from poolscope.operators.state import with_running_state
     assert with_running_state(wide).agg({"total_supplied_assets": "max"}).first()[0] == int("f" * 20, 16)
+
+
+def test_logs_numbered_over_the_whole_ledger_share_cells(spark):
+    frame = ledgers.raw(rows=64, markets=1).assign(block_number=1, block_timestamp=7, log_index=np.arange(64) * 65_536)
+    got = state_frame(ledgers.to_spark(spark, frame))
+    assert got.select("market_id", "block_number", "_cell").distinct().count() <= 4
+    ledgers.assert_columns(ledgers.collected(got), ledgers.enriched(frame), STATE, tol=1e-12)

@@ -10,7 +10,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolscope.session import shared_folder
+from poolscope.session import keep_compiled, shared_folder
 from poolscope.sources.events import EventStore
 
 # Event kind by event_id % 8.
@@ -61,6 +61,7 @@ def lending_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_store(spark: SparkSession, sf_dir: str) -> EventStore:
     """Event tables of one data folder, written on first use into the shared folder."""
+    keep_compiled(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]

@@ -36,8 +36,9 @@ class Query:
 
     def spark(self, store: EventStore) -> DataFrame:
         df = self.plan(store)
+        # As DuckDB rounds: scaled, to a whole number, and back. Spark's round writes each double out as text and reads it again.
         rounded = [
-            f"CAST(CAST(round({c}, {_digits(c)}) AS FLOAT) AS DOUBLE) + 0D AS {c}" for c in self.doubles
+            f"CAST(CAST(rint({c} * 1e{_digits(c)}D) / 1e{_digits(c)}D AS FLOAT) AS DOUBLE) + 0D AS {c}" for c in self.doubles
         ]
         return df.selectExpr(*[f"{c} AS {c}" for c in self.exact], *rounded)
 
