@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens on the bytes of each text.
 
-A batch of texts is encoded by both sides; tokens become byte ranges. ``pandas.merge_asof``, keyed by the
-document, finds for each token start the other side's token that covers it. Two ranges overlap exactly if
+A batch of texts is encoded by both sides; tokens become byte ranges. ``pandas.merge_asof``, keyed by offsets that
+run on from document to document, finds for each token start the other side's token that covers it. Two ranges overlap exactly if
 one's start lies in the other, so both directions together are all overlaps. Where both sides start
 (end) at one byte a group starts (ends).
 
@@ -121,11 +121,14 @@ class Pieces(Side):
         return [ids or [self.blank] for ids in found]
 
 
-def covering(starts: np.ndarray, of: np.ndarray, other: np.ndarray, of_other: np.ndarray) -> np.ndarray:
-    """For each token start, the position of the other side's token that covers it, keyed by document."""
-    left = pd.DataFrame({"start": starts, "doc": of})
-    right = pd.DataFrame({"start": other, "doc": of_other, "token": np.arange(len(other))})
-    return pd.merge_asof(left, right, on="start", by="doc")["token"].to_numpy()
+def covering(starts: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each token start, the position of the other side's token that covers it.
+
+    Offsets run on through a batch, so they are the key of the document too: both sides of a document start at the same one.
+    """
+    left = pd.DataFrame({"start": starts})
+    right = pd.DataFrame({"start": other, "token": np.arange(len(other))})
+    return pd.merge_asof(left, right, on="start")["token"].to_numpy()
 
 
 class Aligned:
@@ -137,12 +140,11 @@ class Aligned:
     def __init__(self, a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_lengths: np.ndarray):
         self.n_a, self.n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
         self.a, self.b = np.concatenate([*a, np.zeros(0, np.int32)]), np.concatenate([*b, np.zeros(0, np.int32)])
-        self.doc_a, self.doc_b = (np.repeat(np.arange(len(n)), n) for n in (self.n_a, self.n_b))
+        self.doc_a = np.repeat(np.arange(len(a)), self.n_a)
         # Offsets run on through the batch, so they are sorted over all documents.
         size_a, size_b = a_lengths[self.a], b_lengths[self.b]
         start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        over_a = covering(start_a, self.doc_a, start_b, self.doc_b)
-        over_b = covering(start_b, self.doc_b, start_a, self.doc_a)
+        over_a, over_b = covering(start_a, start_b), covering(start_b, start_a)
         self.opens_a, self.opens_b = start_b[over_a] == start_a, start_a[over_b] == start_b
         # Common starts are found from both sides; they count once.
         self.link_a = np.concatenate([np.arange(len(self.a)), over_b[~self.opens_b]])

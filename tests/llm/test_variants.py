@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,14 @@ def test_alignment_of_odd_tables(spark):
     assert alignment.align_tokens(spark.createDataFrame([], DOCS), A, B).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], DOCS).withColumn("pairs", F.lit(1)).withColumn("row", F.lit("x"))
     assert sorted(tuple(r) for r in alignment.align_tokens(blank, A, B).collect()) == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2)]
+
+
+def test_offsets_key_the_document_in_both_directions():
+    """Tokens of three documents, one of them without any: no link leaves its document, and groups end with it."""
+    from poolscope.llm.alignment import Aligned, covering
+    assert covering(np.array([0, 2, 5]), np.array([0, 3, 5])).tolist() == [0, 0, 2]
+    sizes = np.array([1, 2, 3])
+    none = np.zeros(0, np.int32)
+    found = Aligned([np.array([1, 2], np.int32), none, np.array([0, 1], np.int32)], [np.array([2, 1], np.int32), none, np.array([2], np.int32)], sizes, sizes)
+    assert sorted(zip(found.link_a.tolist(), found.link_b.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 2), (3, 2)]
+    assert found.groups().tolist() == [1, 0, 1]
