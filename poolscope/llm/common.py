@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -16,6 +17,9 @@ SPACES = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: Spark's own limit of an Arrow batch, and what operators set in its place: a batch is held by the JVM and by the worker.
+_SPARKS_BATCH, ARROW_BATCH = 64 << 20, 8 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,7 +29,13 @@ def words(text: str | None) -> list[str]:
 
 
 def words_on_workers(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package wherever the driver was started."""
+    """Lets Python workers on this machine import the package wherever the driver was started.
+
+    Arrow batches are kept to some ARROW_BATCH bytes, or one row; a limit that the session has been given stays.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit).rstrip("b") == str(_SPARKS_BATCH):
+        spark.conf.set(limit, str(ARROW_BATCH))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -57,10 +67,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
 
 
 def release(*caches: dict) -> None:
-    """For the end of a task: empties what a reused worker would carry into other stages."""
+    """For the end of a task: empties what a reused worker would carry into other stages, and hands free memory back."""
     for cache in caches:
         cache.clear()
     pa.default_memory_pool().release_unused()
+    if _trim:  # of the C library on Linux; it keeps freed pieces otherwise
+        _trim(0)
 
 
 def documents(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:

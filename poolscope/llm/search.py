@@ -34,7 +34,7 @@ HEAD_TERMS = 384
 MARGIN = 1.001e-6  # scores that round to the same 6 places differ by less
 SIDE = 256
 QUERY_POSTINGS = 1_500_000
-EXPANDED = 1_000_000
+EXPANDED = 250_000
 BATCH_BYTES = 4_000_000
 HELD_WORDS = 300_000
 
@@ -163,10 +163,11 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Side:
-    """Some queries: the weights of the frequent terms as a matrix, those of the others by term."""
+    """Some queries: where the frequent terms lie in the matrix of their weights, and the weights of the others by term."""
 
     ids: np.ndarray
-    head: np.ndarray
+    cells: np.ndarray
+    values: np.ndarray
     terms: np.ndarray
     start: np.ndarray
     queries: np.ndarray
@@ -178,12 +179,17 @@ class Side:
         owner = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
         at = np.minimum(np.searchsorted(head, every), max(0, len(head) - 1))
         is_head = head[at] == every if len(head) else np.zeros(len(every), bool)
-        dense = np.zeros((len(ids), len(head)))
-        dense[owner[is_head], at[is_head]] = w[is_head]
+        cells, values = (owner * len(head) + at)[is_head].astype(np.int32), w[is_head]
         every, w, owner = every[~is_head], w[~is_head], owner[~is_head]
         order = np.argsort(every, kind="stable")
         distinct, start = np.unique(every[order], return_index=True)
-        return Side(np.array(ids), dense, distinct, np.append(start, len(every)), owner[order], w[order])
+        return Side(np.array(ids), cells, values, distinct, np.append(start, len(every)), owner[order].astype(np.int32), w[order])
+
+    def matrix(self, width: int) -> np.ndarray:
+        """Weights of the frequent terms by query. Made for each shard, as those of all queries of a block would fill a worker."""
+        out = np.zeros(len(self.ids) * width)
+        out[self.cells] = self.values
+        return out.reshape(len(self.ids), width)
 
 
 def _kth(scores: np.ndarray, k: int) -> float:
@@ -216,7 +222,7 @@ def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float,
     while i < len(posting):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + EXPANDED, "right")))
         source = _ranges(shard.start[at][of_term[i:j]], length[i:j])
-        cell = np.repeat(side.queries[posting[i:j]] * scores.shape[1], length[i:j]) + shard.docs[source]
+        cell = np.repeat(side.queries[posting[i:j]].astype(np.int64) * scores.shape[1], length[i:j]) + shard.docs[source]
         flat += np.bincount(cell, np.repeat(side.weights[posting[i:j]], length[i:j]) * weight[source], minlength=len(flat))
         i = j
     # The frequent terms: a matrix of weights, and its largest values by block as bounds.
@@ -227,13 +233,14 @@ def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float,
             s = slice(shard.start[p], shard.start[p + 1])
             dense[row, shard.docs[s]] = weight[s]
     cubes = scores.reshape(nq, blocks, BLOCK)
-    bounds = cubes.max(2) + side.head @ dense.reshape(len(head), blocks, BLOCK).max(2)
+    asked = side.matrix(len(head))
+    bounds = cubes.max(2) + asked @ dense.reshape(len(head), blocks, BLOCK).max(2)
     done = np.zeros((nq, blocks), bool)
 
     def finish(wanted: np.ndarray) -> None:
         for block in np.flatnonzero(wanted.any(0)):
             q = np.flatnonzero(wanted[:, block])
-            cubes[q, block] += side.head[q] @ dense[:, block * BLOCK : (block + 1) * BLOCK]
+            cubes[q, block] += asked[q] @ dense[:, block * BLOCK : (block + 1) * BLOCK]
         done[wanted] = True
 
     first = np.zeros((nq, blocks), bool)
@@ -318,6 +325,7 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = TOP, query_postings:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(side.ids, n), pa.int64()), pa.array(np.concatenate([x[0] for x in kept[s]]), pa.int64()),
                          pa.array(np.concatenate([x[1] for x in kept[s]]), pa.float64())], ["query_id", "doc_id", "score"])
+            release()
 
         parts.append(settled(index.coalesce(tasks).mapInArrow(find, kind)))
         shared.unpersist()
