@@ -23,7 +23,8 @@ from poolscope.llm.common import by_bytes, documents, release, words_on_workers
 
 CAPACITY = 2048
 LEAST_TAIL = 64
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
+ENCODED_AT_ONCE = 8_192
 SEGMENT_CHARS = 1_000_000
 CACHED_PARTS = 250_000
 CACHED_CHARS = 64
@@ -89,8 +90,10 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
                 own += cut(segment)
         parts.append(own)
     missing = list(set().union(*parts).difference(known))
-    for part, found in zip(missing, model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-        known[part] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+    for i in range(0, len(missing), ENCODED_AT_ONCE):  # an encoding takes many times its ids
+        some = missing[i : i + ENCODED_AT_ONCE]
+        for part, found in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            known[part] = b"".join([i.to_bytes(4, "little") for i in found.ids])
     out = [b"".join(map(known.__getitem__, own)) for own in parts]
     room = len(known) <= CACHED_PARTS
     for part in missing:

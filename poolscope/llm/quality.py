@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.common import by_bytes, documents, fold, words, words_on_workers
+from poolscope.llm.common import by_bytes, documents, fold, release, words, words_on_workers
 from poolscope.session import settled
 
 BATCH_BYTES = 8_000_000
@@ -87,6 +87,7 @@ def document_statistics(docs: DataFrame, *, whole: bool = False) -> DataFrame:
             rows = [statistics(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(rows, pa.list_(pa.float64()))], [*kept, "stats"])
+        release()
 
     return own.mapInArrow(measure, own.select(*kept).withColumn("stats", F.array().cast("array<double>")).schema)
 
