@@ -3,7 +3,7 @@
 ``Window.partitionBy(market).orderBy(...)`` sends a whole market to one task. Here the order is cut
 into nested pieces by columns that respect it, for example
 
-    rows  ->  (block, log_index div 1048576)  ->  block div 4096  ->  market
+    rows  ->  (block, log_index div 16777216)  ->  block div 4096  ->  market
 
 Each level holds a bounded number of entries per group, because its members are unique integers
 within a fixed range. A level's totals are ordinary aggregates (partial sums before the shuffle); the
@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOGS_PER_CELL = 1_048_576
+LOGS_PER_CELL = 16_777_216
 BLOCKS_PER_SPAN = 4_096
 CELL = "_cell"
 

@@ -8,7 +8,7 @@ sliding frame per row. Here every window is a merge of partial aggregates, in li
                      +  cells of the block one width back, ts > t - w   (tail)
                      +  whole blocks in between, if the window spans several
 
-A cell is (market, block, log_index div 1048576), so a cell is bounded and the rows shuffle once however
+A cell is (market, block, log_index div 16777216), so a cell is bounded and the rows shuffle once however
 many windows are asked for. Head and tail run over cells, not rows: cells are copied once as query and
 once as carried one width ahead, so both meet in one group, and the two frames start unbounded. A time
 block is at most a day wide; a longer window is a whole number of blocks, whose totals go through the

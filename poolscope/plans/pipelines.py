@@ -1,6 +1,7 @@
 """From event tables to finished datasets, of all markets at once.
 
-All functions are lazy but ``tick_dataset``, which settles the condensed rows: it runs a job when called.
+``tick_dataset`` settles the condensed rows and ``ledger_state`` the parsed events (so do the datasets with windows, which start
+from it): these run a job when called. All others are lazy.
 Common options: ``seconds_per_year`` holds for every yield and rate of a dataset; ``leading_rate`` says what
 holds before a market's first interest event; ``amount_type`` is bigint or, for larger amounts,
 decimal(38,0), and is kept by every integer column.
@@ -19,19 +20,31 @@ from poolscope.operators.standardize import raw_ledger_together
 from poolscope.operators.state import state_frame
 from poolscope.operators.ticks import aggregate_ledger
 from poolscope.schemas import LEDGER, SECONDS_PER_YEAR
+from poolscope.session import settled
 from poolscope.sources.events import EventStore
 
 Markets = str | Iterable[str] | None
 
 
 def ledger_state(store: EventStore, market_ids: Markets = None, *, amount_type: str = "bigint", **options) -> DataFrame:
-    """Scan, standardize, running state; keeps the previous-row columns for the steps that follow."""
-    return state_frame(raw_ledger_together(store.read_together(market_ids), amount_type=amount_type), **options)
+    """Scan, standardize, running state; keeps the previous-row columns for the steps that follow.
 
+    Windows read the state twice and the state its events twice, each time with other columns, so the plan would scan and
+    parse all events four times. The parsed events are settled here: a job when called, and amounts that are no numbers
+    fail in it.
+    """
+    return state_frame(settled(_raw(store, market_ids, amount_type)), **options)
+
+
+def _raw(store: EventStore, market_ids: Markets, amount_type: str) -> DataFrame:
+    return raw_ledger_together(store.read_together(market_ids), amount_type=amount_type)
 
-def enriched_ledger_dataset(store: EventStore, market_ids: Markets = None, **options) -> DataFrame:
+
+def enriched_ledger_dataset(
+    store: EventStore, market_ids: Markets = None, *, amount_type: str = "bigint", **options
+) -> DataFrame:
     """The 20-column ledger."""
-    return ledger_state(store, market_ids, **options).select(*LEDGER.names)
+    return state_frame(_raw(store, market_ids, amount_type), **options).select(*LEDGER.names)
 
 
 def tick_dataset(
