@@ -159,6 +159,16 @@ def _groups(classes: np.ndarray, shape: Shape) -> Iterator[tuple[int, slice]]:
             yield c, slice(edges[c], edges[c + 1])
 
 
+def _member_logits(p: dict, x: np.ndarray, classes: np.ndarray, groups: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits of the members of each head token's class, by member and token: one product a class, the rest at once."""
+    n = groups[-1][1].stop if groups else 0
+    logits = np.empty((p["bi"].shape[1], n), x.dtype)
+    for c, own in groups:
+        logits[:, own] = p["wi"][c].T @ x[:, own]
+    logits += p["bi"].T.take(classes[:n], 1)
+    return logits
+
+
 def _by_class(states: np.ndarray, tokens: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """Positions of the tokens in order of their classes, and by that order states (by unit), tokens and classes."""
     at = np.flatnonzero(tokens.ravel() >= 0)
@@ -182,10 +192,10 @@ def log_probabilities(p: dict, shape: Shape, documents: list[np.ndarray]) -> np.
         logits = p["wo"].T @ x + p["bo"][:, None]
         found = logits[classes, np.arange(len(y))]
         found -= _log_total(logits)
-        for c, own in _groups(classes, shape):
-            inner = p["wi"][c].T @ x[:, own] + p["bi"][c][:, None]
-            own_logit = inner[y[own] - c * shape.members, np.arange(own.stop - own.start)]
-            found[own] += own_logit - _log_total(inner)
+        inner = _member_logits(p, x, classes, list(_groups(classes, shape)))
+        n = inner.shape[1]
+        found[:n] += inner[y[:n] - classes[:n] * shape.members, np.arange(n)]
+        found[:n] -= _log_total(inner)
         out[t : t + SCORE_WINDOW].ravel()[at] = found
     there = owner >= 0
     return np.bincount(owner[there], out[there].astype(float), minlength=len(documents))
@@ -207,16 +217,19 @@ def gradients(p: dict, shape: Shape, tokens: np.ndarray, before: np.ndarray, fir
     prob *= 1 / size
     g["wo"], g["bo"] = x @ prob.T, prob.sum(1)
     dx = p["wo"] @ prob
-    for c, part in _groups(classes, shape):
-        own, place = x[:, part], (y[part] - c * shape.members, np.arange(part.stop - part.start))
-        logits = p["wi"][c].T @ own + p["bi"][c][:, None]
-        own_logit = logits[place]
-        inner, log_total = _softmax(logits)
-        loss += float((log_total - own_logit).sum())
-        inner[place] -= 1
-        inner *= 1 / size
-        g["wi"][c], g["bi"][c] = own @ inner.T, inner.sum(1)
-        dx[:, part] += p["wi"][c] @ inner
+    groups = list(_groups(classes, shape))
+    logits = _member_logits(p, x, classes, groups)
+    heads = logits.shape[1]
+    place = y[:heads] - classes[:heads] * shape.members, rows[:heads]
+    own_logit = logits[place]
+    inner, log_total = _softmax(logits)
+    loss += float((log_total - own_logit).sum())
+    inner[place] -= 1
+    inner *= 1 / size
+    for c, part in groups:
+        own = inner[:, part]
+        g["wi"][c], g["bi"][c] = x[:, part] @ own.T, own.sum(1)
+        dx[:, part] += p["wi"][c] @ own
     in_order, dx = dx, np.zeros((n, tokens.size), dx.dtype)
     dx[:, at] = in_order
     dstates = dx.reshape(n, *tokens.shape).transpose(1, 0, 2)
@@ -239,10 +252,13 @@ def gradients(p: dict, shape: Shape, tokens: np.ndarray, before: np.ndarray, fir
             dh = np.where(first[t], states.dtype.type(0), dh)
     dgates[:, : 2 * n] = through[:, : 2 * n]
     g["u"] = _by_unit(was) @ _by_unit(through).T
+    # Sums by input: in order of the inputs they are runs.
     by_unit, inputs = _by_unit(dgates), before.ravel()
     g["b"] = by_unit.sum(1)
-    for k, own in enumerate(by_unit):
-        g["wx"][:, k] = np.bincount(inputs, own, minlength=len(g["wx"]))
+    order = np.argsort(inputs.astype(np.int16) if shape.start < 1 << 15 else inputs, kind="stable")
+    inputs = inputs[order]
+    runs = np.flatnonzero(np.diff(inputs, prepend=-1))
+    g["wx"][inputs[runs]] = np.add.reduceat(by_unit.take(order, 1), runs, axis=1).T
     return loss, len(y), g, states[-1].T
 
 
@@ -250,9 +266,12 @@ class Trainer:
     """Adam over windows of a stream of documents."""
 
     def __init__(self, p: dict, shape: Shape, rate: float = RATE):
-        self.p, self.shape, self.rate = {k: v.copy() for k, v in p.items()}, shape, rate
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.shape, self.rate = shape, rate
+        # All weights lie in one array, of which p has views, so a step is a few operations on the whole.
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        ends = np.cumsum([v.size for v in p.values()])
+        self.p = {k: self.flat[end - v.size : end].reshape(v.shape) for (k, v), end in zip(p.items(), ends, strict=True)}
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.steps = self.tokens = 0
 
     def fit(self, documents: list[np.ndarray]) -> float:
@@ -267,20 +286,19 @@ class Trainer:
             self.steps += 1
             # A Python number, so that arrays stay in single precision.
             scale = self.rate * (n / (n + 256)) * (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
-            for k, d in g.items():
-                m, v = self.m[k], self.v[k]
-                np.clip(d, -1, 1, out=d)
-                m *= 0.9
-                m += 0.1 * d
-                v *= 0.999
-                d *= d
-                d *= 0.001
-                v += d
-                root = np.sqrt(v, out=d)
-                root += 1e-8
-                np.divide(m, root, out=root)
-                root *= scale
-                self.p[k] -= root
+            m, v, d = self.m, self.v, np.concatenate([g[k].ravel() for k in self.p])
+            np.clip(d, -1, 1, out=d)
+            m *= 0.9
+            m += 0.1 * d
+            v *= 0.999
+            d *= d
+            d *= 0.001
+            v += d
+            root = np.sqrt(v, out=d)
+            root += 1e-8
+            np.divide(m, root, out=root)
+            root *= scale
+            self.flat -= root
             total, seen = total + loss, seen + n
         self.tokens += seen
         return total / max(1, seen)
