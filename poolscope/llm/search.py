@@ -2,10 +2,12 @@
 
 Each task inverts its documents into shards of bounded size: sorted term hashes, and for each term the
 documents and frequencies. Queries are whole texts, weighed by the global document frequencies, and
-are sent round in blocks of bounded size to all shards. Within a shard the rarer terms of a query are
-scored first; documents lie in blocks of like ones, and a block is left out if the scores so far and the
-largest contributions that the frequent terms can make there stay below the k-th best score found, here
-or in an earlier shard of the task. What is left out can't be among the k best, so results are exact.
+are sent round in blocks of bounded size to all shards. Like queries form a side, like documents a piece of
+a shard. For each side and piece the rarer terms are scored first, by pairs of postings; terms of many queries
+and documents are columns of a matrix. Documents lie in blocks of like ones, and a block is left out if the
+scores so far and the largest contributions that these terms can make there stay below the k-th best score found
+in earlier pieces of the task. The matrix is first multiplied in single precision, rounded up; what may be among
+the k best is then scored exactly. What is left out can't be among the k best, so results are exact.
 """
 
 from __future__ import annotations
@@ -32,11 +34,14 @@ SHARD_POSTINGS = 1_000_000
 BLOCK = 128
 HEAD_TERMS = 384
 MARGIN = 1.001e-6  # scores that round to the same 6 places differ by less
-SIDE = 256
+SIDE = 1024
 QUERY_POSTINGS = 1_500_000
 EXPANDED = 250_000
+PIECE_DOCS = 1024
+CROWDED = 0.002  # of all pairs of a query and a document: from here on a matrix product costs less than pairs of postings
 BATCH_BYTES = 4_000_000
 HELD_WORDS = 300_000
+NO_HEAD = np.zeros(0, np.uint64)
 
 _held: dict[bytes, int] = {}
 
@@ -94,6 +99,23 @@ class Shard:
         for i in range(batch.num_rows):
             yield Shard(*[np.frombuffer(batch.column(f)[i].as_buffer(), k) for f, k in zip(Shard._fields, Shard._kinds, strict=True)])
 
+    def contributions(self, mean_length: float, k1: float = K1, b: float = B) -> np.ndarray:
+        """What each posting adds to a score for a weight of 1."""
+        norm = k1 * (1 - b + b * self.lengths / max(mean_length, 1e-9))
+        return self.times * (k1 + 1) / (self.times + norm[self.docs])
+
+    def pieces(self, wanted: np.ndarray, most: int) -> Iterator[Shard]:
+        """The shard cut into runs of at most ``most`` documents, terms as their places among the wanted ones, without the others."""
+        number = np.repeat(_places(wanted, self.terms), np.diff(self.start))
+        kept = np.flatnonzero(number >= 0)
+        kept = kept[np.argsort((self.docs[kept] // most).astype(np.uint16), kind="stable")]
+        number, docs, times = number[kept], self.docs[kept], self.times[kept]
+        cuts = np.searchsorted(docs // most, np.arange(-(-len(self.ids) // most) + 1))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            first = np.flatnonzero(np.diff(number[a:b], prepend=-1))
+            rows = slice(i * most, (i + 1) * most)
+            yield Shard(self.ids[rows], self.lengths[rows], number[a:b][first], np.append(first, b - a), docs[a:b] - i * most, times[a:b])
+
 
 def build_index(docs: DataFrame) -> DataFrame:
     """One row per shard, of at most SHARD_DOCS documents and, unless it is one document, some SHARD_POSTINGS postings."""
@@ -192,71 +214,98 @@ class Side:
         return out.reshape(len(self.ids), width)
 
 
-def _kth(scores: np.ndarray, k: int) -> float:
-    """The k-th largest of them; -1 if there are fewer. Places without a document have score 0 and count for nothing."""
-    return float(np.partition(scores, -k, None)[-k]) if scores.size >= k else -1.0
-
-
-def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float, k: int, floor: np.ndarray,
-                 k1: float = K1, b: float = B) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the documents of the shard that may be among its k best, with exact scores.
+def _match(side: Side, piece: Shard, at: np.ndarray, weight: np.ndarray, head: np.ndarray, k: int,
+           floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, documents and exact scores of what may be among the k best of the side's queries.
 
-    floor: a score per query that k documents elsewhere reach; -1 if there are none.
+    at: the places of the terms of head and then of the side's others in the piece, -1 if they aren't there.
     """
-    n, nq = len(shard.ids), len(side.ids)
+    n, nq = len(piece.ids), len(side.ids)
     blocks = -(-n // BLOCK)
-    norm = k1 * (1 - b + b * shard.lengths / max(mean_length, 1e-9))
-    weight = shard.times * (k1 + 1) / (shard.times + norm[shard.docs])
+    term = np.flatnonzero(at[len(head) :] >= 0)
+    place, first = at[len(head) :][term], side.start[term]
+    many, length = side.start[term + 1] - first, piece.start[place + 1] - piece.start[place]
+    # A term of many queries and documents costs less as a column of a matrix than as pairs of postings.
+    crowded = many * length > CROWDED * nq * n
+    if np.count_nonzero(crowded) > HEAD_TERMS:
+        crowded[np.argsort(-many * length, kind="stable")[HEAD_TERMS:]] = False
     # The rarer terms: every posting of a query meets every posting of its term here.
     scores = np.zeros((nq, blocks * BLOCK))
     flat = scores.ravel()
-    at = np.searchsorted(shard.terms, side.terms)
-    here = at < len(shard.terms)
-    here[here] = shard.terms[at[here]] == side.terms[here]
-    term, at = np.flatnonzero(here), at[here]
-    many = np.diff(side.start)[term]
-    posting, of_term = _ranges(side.start[term], many), np.repeat(np.arange(len(term)), many)
-    length = np.diff(shard.start)[at][of_term]
-    ends = np.cumsum(length)
+    rare = ~crowded
+    posting = _ranges(first[rare], many[rare])
+    pairs, source = np.repeat(length[rare], many[rare]), np.repeat(piece.start[place[rare]], many[rare])
+    # Unpickled arrays hold a dtype of their own, with which np.add.at takes ten times as long; hence the view.
+    cells, values = side.queries[posting] * np.int32(scores.shape[1]), side.weights[posting].view(np.float64)
+    ends = np.cumsum(pairs)
     i = 0
     while i < len(posting):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + EXPANDED, "right")))
-        source = _ranges(shard.start[at][of_term[i:j]], length[i:j])
-        cell = np.repeat(side.queries[posting[i:j]].astype(np.int64) * scores.shape[1], length[i:j]) + shard.docs[source]
-        flat += np.bincount(cell, np.repeat(side.weights[posting[i:j]], length[i:j]) * weight[source], minlength=len(flat))
+        here = _ranges(source[i:j], pairs[i:j])
+        np.add.at(flat, np.repeat(cells[i:j], pairs[i:j]) + piece.docs[here], np.repeat(values[i:j], pairs[i:j]) * weight[here])
         i = j
-    # The frequent terms: a matrix of weights, and its largest values by block as bounds.
-    dense = np.zeros((len(head), blocks * BLOCK))
-    at = np.searchsorted(shard.terms, head)
-    for row, p in enumerate(at):
-        if p < len(shard.terms) and shard.terms[p] == head[row]:
-            s = slice(shard.start[p], shard.start[p + 1])
-            dense[row, shard.docs[s]] = weight[s]
-    cubes = scores.reshape(nq, blocks, BLOCK)
-    asked = side.matrix(len(head))
-    bounds = cubes.max(2) + asked @ dense.reshape(len(head), blocks, BLOCK).max(2)
-    done = np.zeros((nq, blocks), bool)
-
-    def finish(wanted: np.ndarray) -> None:
-        for block in np.flatnonzero(wanted.any(0)):
-            q = np.flatnonzero(wanted[:, block])
-            cubes[q, block] += asked[q] @ dense[:, block * BLOCK : (block + 1) * BLOCK]
-        done[wanted] = True
-
-    first = np.zeros((nq, blocks), bool)
-    best = np.argsort(-bounds, axis=1)[:, : max(1, -(-2 * k // BLOCK))]
-    np.put_along_axis(first, best, True, 1)
-    finish(first & (bounds >= floor[:, None] - MARGIN))
-    # Documents of finished blocks have their exact score; any k of them bound the k-th best from below.
-    least = np.maximum(floor, [_kth(cubes[i, done[i]], k) for i in range(nq)])
-    finish(~done & (bounds >= least[:, None] - MARGIN))
-    out = []
-    for i in range(nq):
-        blocks = np.flatnonzero(done[i])
-        own = cubes[i, blocks]
-        at = np.flatnonzero((own >= max(least[i], _kth(own, k)) - MARGIN) & (own > 0))
-        out.append((shard.ids[blocks[at // BLOCK] * BLOCK + at % BLOCK], own.ravel()[at]))
-    return out
+    # The others: a matrix of weights, and its largest values by block as bounds.
+    held = np.flatnonzero(at[: len(head)] >= 0)
+    first, many, place = first[crowded], many[crowded], np.r_[at[held], place[crowded]]
+    asked = np.zeros((nq, len(place)))
+    if len(held):
+        asked[:, : len(held)] = side.matrix(len(head))[:, held]
+    posting = _ranges(first, many)
+    asked[side.queries[posting], np.repeat(np.arange(len(held), len(place)), many)] = side.weights[posting]
+    length = piece.start[place + 1] - piece.start[place]
+    here = _ranges(piece.start[place], length)
+    cells, values = np.repeat(np.arange(len(place)) * scores.shape[1], length) + piece.docs[here], weight[here]
+    dense = np.zeros((len(place), blocks * BLOCK), np.float32)
+    dense.ravel()[cells] = values
+    # Sums in single precision, of nothing below 0, are off by less than this share of themselves.
+    off = np.float32(1 + (len(place) + 4) * 2.0**-23)
+    rough = asked.astype(np.float32) * off
+    least = floor - MARGIN
+    done = scores.reshape(nq, blocks, BLOCK).max(2) + rough @ dense.reshape(len(place), blocks, BLOCK).max(2) * off >= least[:, None]
+    upper = scores.copy()
+    for block in np.flatnonzero(done.any(0)):
+        part = slice(block * BLOCK, (block + 1) * BLOCK)
+        q = np.flatnonzero(done[:, block])
+        if 2 * len(q) > nq:
+            upper[:, part] += rough @ dense[:, part]
+        else:
+            upper[q, part] += rough[q] @ dense[:, part]
+    # Places left out hold parts of scores, which stay below least.
+    found = np.flatnonzero(upper >= np.maximum(least, np.finfo(float).tiny)[:, None])
+    if len(found) > 4 * k * nq:
+        # While few documents are known: only what the k-th largest, less what it may be off, doesn't rule out.
+        kth = np.partition(upper, -k, axis=1)[:, -k] if upper.shape[1] >= k else least
+        least = np.maximum(least, kth / float(off) ** 4 - MARGIN)
+        found = found[upper.ravel()[found] >= least[found // upper.shape[1]]]
+    query, doc = np.divmod(found, upper.shape[1])
+    exact = scores.ravel()[found]
+    if len(place):
+        columns = np.zeros((blocks * BLOCK, len(place)))
+        columns.ravel()[piece.docs[here].astype(np.int64) * len(place) + np.repeat(np.arange(len(place)), length)] = values
+        for i in range(0, len(found), 256):
+            exact[i : i + 256] += np.einsum("ij,ij->i", asked[query[i : i + 256]], columns[doc[i : i + 256]])
+    real = exact > 0
+    return query[real], piece.ids[doc[real]], exact[real]
+
+
+def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float, k: int, floor: np.ndarray,
+                 k1: float = K1, b: float = B) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the documents of the shard that may be among its k best, with exact scores.
+
+    floor: a score per query that k documents elsewhere reach; -1 if there are none.
+    """
+    query, ids, scores = _match(side, shard, _places(shard.terms, np.r_[head, side.terms]), shard.contributions(mean_length, k1, b), head, k, floor)
+    order = np.argsort(query, kind="stable")
+    cuts = np.searchsorted(query[order], np.arange(1, len(side.ids)))
+    return list(zip(np.split(ids[order], cuts), np.split(scores[order], cuts), strict=True))
+
+
+def _places(terms: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted ones are in the ascending terms; -1 if they aren't there."""
+    at = np.searchsorted(terms, wanted)
+    there = at < len(terms)
+    there[there] = terms[at[there]] == wanted[there]
+    return np.where(there, at, -1)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +313,43 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+class Best:
+    """The k best documents so far of some queries, and the scores that others must reach."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -1.0)
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self._new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merges only once there is about one for each query: a merge sorts them all."""
+        if len(query):
+            self._new.append((query, ids, scores))
+        if sum(len(x[0]) for x in self._new) >= len(self.floor):
+            self.merge()
+
+    def merge(self) -> None:
+        query, ids, scores = (np.concatenate(x) for x in zip((self.query, self.ids, self.scores), *self._new, strict=True))
+        self._new = []
+        order = np.lexsort((ids, -np.round(scores, 6), query))
+        order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < self.k]
+        self.query, self.ids, self.scores = query[order], ids[order], scores[order]
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.floor)) == self.k)
+        least = np.full(len(self.floor), np.inf)
+        np.minimum.at(least, self.query, self.scores)
+        self.floor[full] = least[full]
+
+
+def sides_of(ids: list[int], terms: list[np.ndarray], weights: list[np.ndarray]) -> list[Side]:
+    """The queries in sides of like ones, by the term that tells most of their language and by length."""
+    seen, number, often = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
+    cuts = np.cumsum([len(t) for t in terms])[:-1]
+    lead = [int(n[np.argmax(w * often[n])]) if len(n) else -1 for n, w in zip(np.split(number, cuts), weights, strict=True)]
+    order = sorted(range(len(ids)), key=lambda i: (lead[i], len(terms[i]), ids[i]))
+    sides = (order[i : i + SIDE] for i in range(0, len(order), SIDE))
+    return [Side.build([ids[i] for i in own], [terms[i] for i in own], [weights[i] for i in own], NO_HEAD) for own in sides]
+
+
 def search(docs: DataFrame, queries: DataFrame, *, k: int = TOP, query_postings: int = QUERY_POSTINGS) -> DataFrame:
     """query_id, rank, doc_id, score: the k rows of docs with the highest BM25 scores above 0 for each query.
 
@@ -298,33 +384,30 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = TOP, query_postings:
         rows = vectors.where(F.col("block") == block).orderBy("query_id").toArrow()
         if not rows.num_rows:
             continue
-        terms = [np.asarray(t) for t in rows.column("terms").to_pylist()]
+        terms = [np.asarray(t, np.int64) for t in rows.column("terms").to_pylist()]
         weights = [np.asarray(w, float) for w in rows.column("weights").to_pylist()]
-        seen, often = np.unique(np.concatenate(terms).astype(np.int64).view(np.uint64), return_counts=True)
-        head = np.sort(seen[np.argsort(-often, kind="stable")[:HEAD_TERMS]])
-        ids = rows.column("query_id").to_pylist()
-        sides = [Side.build(ids[i : i + SIDE], terms[i : i + SIDE], weights[i : i + SIDE], head) for i in range(0, len(ids), SIDE)]
-        shared = spark.sparkContext.broadcast((head, sides))
+        shared = spark.sparkContext.broadcast(sides_of(rows.column("query_id").to_pylist(), terms, weights))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            head, sides = shared.value
-            kept = [[(np.zeros(0, np.int64), np.zeros(0))] * len(s.ids) for s in sides]
-            floors = [np.full(len(s.ids), -1.0) for s in sides]
+            sides = shared.value
+            wanted = np.unique(np.concatenate([side.terms for side in sides]))
+            numbers = [np.searchsorted(wanted, side.terms) for side in sides]
+            best = [Best(len(side.ids), k) for side in sides]
+            place = np.full(len(wanted), -1)
             for batch in batches:
                 for shard in Shard.unpacked(batch):
-                    for s, side in enumerate(sides):
-                        for i, (found, scores) in enumerate(search_shard(side, shard, head, mean_length, k, floors[s])):
-                            if len(found):
-                                own = kept[s][i]
-                                kept[s][i] = own = _best(np.r_[own[0], found], np.r_[own[1], scores], k)
-                                if len(own[0]) == k:
-                                    floors[s][i] = own[1].min()
-            for s, side in enumerate(sides):
-                n = [len(x[0]) for x in kept[s]]
-                if sum(n):
+                    for piece in shard.pieces(wanted, PIECE_DOCS):
+                        weight = piece.contributions(mean_length)
+                        place[piece.terms] = np.arange(len(piece.terms))
+                        for side, number, own in zip(sides, numbers, best, strict=True):
+                            own.add(*_match(side, piece, place[number], weight, NO_HEAD, k, own.floor))
+                        place[piece.terms] = -1
+            for side, own in zip(sides, best, strict=True):
+                own.merge()
+                if len(own.ids):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(side.ids, n), pa.int64()), pa.array(np.concatenate([x[0] for x in kept[s]]), pa.int64()),
-                         pa.array(np.concatenate([x[1] for x in kept[s]]), pa.float64())], ["query_id", "doc_id", "score"])
+                        [pa.array(side.ids[own.query], pa.int64()), pa.array(own.ids, pa.int64()), pa.array(own.scores, pa.float64())],
+                        ["query_id", "doc_id", "score"])
             release()
 
         parts.append(settled(index.coalesce(tasks).mapInArrow(find, kind)))

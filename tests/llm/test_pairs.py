@@ -171,3 +171,37 @@ def test_search_equals_brute_force(spark, monkeypatch, small):
     want = sorted(plain_search(rows, queries, 4))
     assert [x[:3] for x in have] == [x[:3] for x in want] and np.allclose([x[3] for x in have], [x[3] for x in want], atol=2e-6)
     assert search.search(docs.limit(0), docs.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
+
+
+def test_terms_of_many_queries_and_documents_are_not_paired(monkeypatch):
+    """300 terms that all of 64 queries and 64 documents share were 1.2 million pairs of postings."""
+    made, ranges = [], search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda start, length: made.append(int(np.sum(length))) or ranges(start, length))
+    terms, none = np.arange(1, 301), np.zeros(0, np.uint64)
+    side = search.Side.build(list(range(64)), [terms] * 64, [terms / (i + 1) for i in range(64)], none)
+    shard = search.Shard.build(list(range(64)), [Counter({int(t): 1 + (t * d) % 5 for t in terms}) for d in range(64)])
+    found = search.search_shard(side, shard, none, 700.0, 3, np.full(64, -1.0))
+    assert sum(made) < 300 * 64 * 4
+    plain = lambda d: sum(t * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * shard.lengths[d] / 700)) for t in terms for c in [1 + (t * shard.ids[d]) % 5])
+    want = np.sort([plain(d) for d in range(64)])[::-1][:3]
+    for i, (ids, scores) in enumerate(found):
+        assert len(ids) < 64 and np.allclose(np.sort(scores)[::-1][:3], want / (i + 1), rtol=1e-12)
+
+
+def test_pieces_of_a_shard_find_what_the_shard_does(monkeypatch):
+    rng = np.random.default_rng(3)
+    own = [Counter(rng.zipf(1.3, 40).clip(max=400).tolist()) for _ in range(100)]
+    shard = search.Shard.build(list(range(100)), own)
+    none, k = np.zeros(0, np.uint64), 5
+    monkeypatch.setattr(search, "HEAD_TERMS", 20)
+    asked = [np.array(sorted(c)) for c in own[:30]]
+    side = search.Side.build(list(range(30)), asked, [1 + 1 / t for t in asked], none)
+    whole = [search._best(*x, k) for x in search.search_shard(side, shard, none, 40.0, k, np.full(30, -1.0))]
+    best = search.Best(30, k)
+    for piece in shard.pieces(side.terms, 16):
+        at = search._places(piece.terms, np.arange(len(side.terms)))
+        best.add(*search._match(side, piece, at, piece.contributions(40.0), none, k, best.floor))
+    best.merge()
+    for i, (ids, scores) in enumerate(whole):
+        mine = best.query == i
+        assert best.ids[mine].tolist() == ids.tolist() and np.allclose(best.scores[mine], scores, rtol=1e-12)
