@@ -34,7 +34,7 @@ SHARD_POSTINGS = 1_000_000
 BLOCK = 128
 HEAD_TERMS = 384
 MARGIN = 1.001e-6  # scores that round to the same 6 places differ by less
-SIDE = 1024
+SIDE = 512
 QUERY_POSTINGS = 1_500_000
 EXPANDED = 250_000
 PIECE_DOCS = 1024
