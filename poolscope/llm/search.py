@@ -1,13 +1,12 @@
-"""Exact BM25 top-k search: block-max indexes by shard, merged with global statistics.
-
-Each task inverts its documents into shards of bounded size: sorted term hashes, and for each term the
-documents and frequencies. Queries are whole texts, weighed by the global document frequencies, and
-are sent round in blocks of bounded size to all shards. Like queries form a side, like documents a piece of
-a shard. For each side and piece the rarer terms are scored first, by pairs of postings; terms of many queries
-and documents are columns of a matrix. Documents lie in blocks of like ones, and a block is left out if the
-scores so far and the largest contributions that these terms can make there stay below the k-th best score found
-in earlier pieces of the task. The matrix is first multiplied in single precision, rounded up; what may be among
-the k best is then scored exactly. What is left out can't be among the k best, so results are exact.
+"""Exact BM25 top-k search: indexes by shard of like documents, bounds by block, merged with global statistics.
+
+Each task inverts its documents into shards of bounded size: documents of one kind (those whose commonest words are the
+same, as in a language) and of like lengths, the longest first, as these give the scores that others must reach. Queries
+are whole texts, weighed by the global document frequencies, and are sent round in blocks of bounded size to all shards.
+Like queries form a side. A query leaves out a block of documents if all its terms, each at the largest contribution it
+has there, stay below the k-th best score found in earlier blocks of the task. What is left is scored in single
+precision: terms of many queries and documents are columns of a matrix, the others pairs of postings. What may be among
+the k best by these scores, rounded up, is scored again exactly, so results are exact.
 """
 
 from __future__ import annotations
@@ -19,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,35 +29,42 @@ from poolscope.session import settled
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_DOCS = 4096
+SHARD_DOCS = 1024
 SHARD_POSTINGS = 1_000_000
-BLOCK = 128
-HEAD_TERMS = 384
+GATHERED = 3_000_000
+LEADS = 64
+FEW = 16  # kinds of fewer texts than one in so many of a shard's or a side's are put together
+BLOCK = 1024
+HEAD_TERMS = 1536
 MARGIN = 1.001e-6  # scores that round to the same 6 places differ by less
-SIDE = 512
-QUERY_POSTINGS = 1_500_000
-EXPANDED = 250_000
-PIECE_DOCS = 1024
-CROWDED = 0.002  # of all pairs of a query and a document: from here on a matrix product costs less than pairs of postings
+SIDE = 1024
+QUERY_POSTINGS = 4_000_000
+EXPANDED = 131_072
+CROWDED = 0.003  # of all pairs of a query and a document: from here on a matrix product costs less than pairs of postings
 BATCH_BYTES = 4_000_000
-HELD_WORDS = 300_000
 NO_HEAD = np.zeros(0, np.uint64)
+WIDTHS = np.unique(np.r_[1:5, [x << i for i in range(1, 30) for x in (3, 4)]])
+TABLES = np.searchsorted(WIDTHS, np.arange(2049)).astype(np.uint8)
 
-_held: dict[bytes, int] = {}
 
+def term_frequencies(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its words with A-Z in lower case, as 64-bit hashes, and how often each occurs; 12 bytes a posting.
 
-def term_frequencies(text: str | None) -> Counter:
-    """Words with A-Z in lower case, as 64-bit hashes, and how often each occurs."""
-    own = Counter((text or "").encode().lower().split())
-    if len(_held) > HELD_WORDS:
-        _held.clear()
-    new = [w for w in own if w not in _held]
-    _held.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
-    return Counter(dict(zip(map(_held.__getitem__, own), own.values(), strict=True)))
+    Words are bytes between ASCII whitespace, split and numbered by Arrow; each distinct one is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    owner, every = pc.list_parent_indices(split), pc.list_flatten(split)
+    there = pc.greater(pc.binary_length(every), 0)
+    coded = pc.dictionary_encode(every.filter(there))
+    hashes = hash_array(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False)
+    key = owner.filter(there).to_numpy().astype(np.int64) * max(1, len(hashes)) + coded.indices.to_numpy()
+    key, times = np.unique(key, return_counts=True)
+    cuts = np.searchsorted(key, np.arange(1, len(texts)) * max(1, len(hashes)))
+    return list(zip(np.split(hashes[key % max(1, len(hashes))], cuts), np.split(times.astype(np.int32), cuts), strict=True))
 
 
 def compact(own: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and frequencies as arrays: 12 bytes a posting, a tenth of what objects take."""
+    """Terms and frequencies as arrays."""
     return np.fromiter(own.keys(), np.uint64, len(own)), np.fromiter(own.values(), np.int32, len(own))
 
 
@@ -74,17 +81,15 @@ class Shard:
 
     @staticmethod
     def build(ids: list, own: list[Counter | tuple[np.ndarray, np.ndarray]]) -> Shard:
-        """Documents are put in the order of their most frequent word and length, so that blocks hold like ones."""
         own = [compact(c) if isinstance(c, Counter) else c for c in own]
+        sizes = np.array([len(terms) for terms, _ in own], np.int64)
         lengths = np.array([times.sum() for _, times in own], np.int64)
-        lead = [int(terms[times == times.max()].max()) if len(terms) else 0 for terms, times in own]
-        order = sorted(range(len(own)), key=lambda i: (lead[i], lengths[i], ids[i] is None, ids[i] or 0))
-        sizes = np.array([len(own[i][0]) for i in order], np.int64)
-        terms, times = (np.concatenate([own[i][at] for i in order]) for at in (0, 1))
-        docs = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+        terms, times = (np.concatenate([x[at] for x in own]) for at in (0, 1))
+        docs = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
         by_term = np.argsort(terms, kind="stable")
-        distinct, start = np.unique(terms[by_term], return_index=True)
-        return Shard(np.array([-(1 << 63) if ids[i] is None else ids[i] for i in order], np.int64), lengths[order], distinct,
+        terms = terms[by_term]
+        start = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
+        return Shard(np.array([-(1 << 63) if i is None else i for i in ids], np.int64), lengths, terms[start],
                      np.append(start, len(terms)).astype(np.int64), docs[by_term], times[by_term])
 
     _fields = ("ids", "lengths", "terms", "start", "docs", "times")
@@ -104,12 +109,24 @@ class Shard:
         norm = k1 * (1 - b + b * self.lengths / max(mean_length, 1e-9))
         return self.times * (k1 + 1) / (self.times + norm[self.docs])
 
-    def pieces(self, wanted: np.ndarray, most: int) -> Iterator[Shard]:
+    def laid(self, weight: np.ndarray) -> Laid:
+        """Laid out for these contributions of its postings; kept for the next side."""
+        if getattr(self, "_laid", None) is None or self._laid.weight is not weight:
+            self._laid = Laid.out(self, weight)
+        return self._laid
+
+    def pieces(self, wanted: np.ndarray | Places, most: int) -> Iterator[Shard]:
         """The shard cut into runs of at most ``most`` documents, terms as their places among the wanted ones, without the others."""
-        number = np.repeat(_places(wanted, self.terms), np.diff(self.start))
-        kept = np.flatnonzero(number >= 0)
-        kept = kept[np.argsort((self.docs[kept] // most).astype(np.uint16), kind="stable")]
-        number, docs, times = number[kept], self.docs[kept], self.times[kept]
+        number = wanted.of(self.terms) if isinstance(wanted, Places) else _places(wanted, self.terms)
+        length = np.diff(self.start)
+        kept = np.repeat(number >= 0, length)
+        docs, times = self.docs[kept], self.times[kept]
+        length, number = length[number >= 0], number[number >= 0]
+        if len(self.ids) <= most:
+            yield Shard(self.ids, self.lengths, number, np.append(0, np.cumsum(length)), docs, times)
+            return
+        order = np.argsort(docs // most, kind="stable")
+        number, docs, times = np.repeat(number, length)[order], docs[order], times[order]
         cuts = np.searchsorted(docs // most, np.arange(-(-len(self.ids) // most) + 1))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             first = np.flatnonzero(np.diff(number[a:b], prepend=-1))
@@ -117,8 +134,89 @@ class Shard:
             yield Shard(self.ids[rows], self.lengths[rows], number[a:b][first], np.append(first, b - a), docs[a:b] - i * most, times[a:b])
 
 
+class Places:
+    """Where terms are among ascending ones, by the first bits of their hashes: a table leads next to the place."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.shift = np.uint64(64 - max(1, int(len(terms)).bit_length()))
+        self.first = np.searchsorted(terms, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The places of the wanted ones; -1 if they aren't there."""
+        if not len(self.terms):
+            return np.full(len(wanted), -1)
+        last = len(self.terms) - 1
+        at = np.minimum(self.first[(wanted >> self.shift).astype(np.int64)], last).astype(np.int64)
+        found = self.terms[at]
+        further = np.flatnonzero((found < wanted) & (at < last))
+        for _ in range(16):
+            if not len(further):
+                break
+            at[further] += 1
+            found[further] = self.terms[at[further]]
+            further = further[(found[further] < wanted[further]) & (at[further] < last)]
+        if len(further):  # terms that aren't spread like hashes
+            return _places(self.terms, wanted)
+        return np.where(found == wanted, at, -1)
+
+
+def kinds(own: list[tuple[np.ndarray, np.ndarray]], few: int) -> np.ndarray:
+    """A number for each text, given as terms and how often they occur; texts whose commonest words are the same share it.
+
+    The words that lead the most texts are put together where half of the texts that hold one hold the other too, as
+    those of a language are. Texts of two such languages are apart from the others, and together if fewer than ``few``
+    are alike. It only decides what lies together, never what is found.
+    """
+    lead = np.array([terms[np.argmax(times)] if len(terms) else 0 for terms, times in own], np.uint64)
+    leads, votes = np.unique(lead, return_counts=True)
+    leads = np.sort(leads[np.argsort(-votes, kind="stable")[:LEADS]])
+    there = np.zeros((len(own), len(leads)), np.float32)
+    for i in range(0, len(own), 256):
+        part = [terms for terms, _ in own[i : i + 256]]
+        every = np.concatenate(part).view(np.uint64)
+        at = np.minimum(np.searchsorted(leads, every), len(leads) - 1)
+        hit = np.flatnonzero(leads[at] == every)
+        there[np.repeat(np.arange(i, i + len(part)), [len(x) for x in part])[hit], at[hit]] = 1
+    both, alone = there.T @ there, there.sum(0)
+    near = (2 * both >= np.maximum(alone[:, None], alone)) | np.eye(len(leads), dtype=bool)
+    label = np.arange(len(leads))
+    for _ in leads:
+        label = np.where(near, label, len(leads)).min(1)
+    tells = there * np.log1p(len(own) / np.maximum(alone, 1))
+    tells = np.stack([tells[:, label == x].sum(1) for x in np.unique(label)], 1)
+    first = tells.argmax(1)
+    rest = tells.copy()
+    rest[np.arange(len(own)), first] = 0
+    second = np.where(2 * rest.max(1) > tells.max(1), rest.argmax(1) + 1, 0)
+    kind = first * (tells.shape[1] + 2) + second
+    apart = np.where(second > 0, first * (tells.shape[1] + 2) + tells.shape[1] + 1, kind)
+    kind = np.where(np.bincount(kind, minlength=1)[kind] < few, apart, kind)
+    return np.where(np.bincount(kind, minlength=1)[kind] < few, -1, kind)
+
+
+def gathered(ids: list, own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[Shard]:
+    """Shards of like documents: of one kind and of like lengths, the longest first, as these give the scores to beat."""
+    lengths = np.array([times.sum() for _, times in own], np.int64)
+    kind = kinds(own, SHARD_DOCS // FEW)
+    runs = []
+    for each in np.unique(kind):
+        order = np.flatnonzero(kind == each)
+        order = order[np.argsort(-lengths[order], kind="stable")]
+        cuts, postings = [0], 0
+        for i, doc in enumerate(order.tolist()):
+            more = len(own[doc][0])
+            if i > cuts[-1] and (i - cuts[-1] == SHARD_DOCS or postings + more > SHARD_POSTINGS):
+                cuts.append(i)
+                postings = 0
+            postings += more
+        runs += [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+    for run in sorted(runs, key=lambda x: -lengths[x].mean()):
+        yield Shard.build([ids[i] for i in run], [own[i] for i in run])
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row per shard, of at most SHARD_DOCS documents and, unless it is one document, some SHARD_POSTINGS postings."""
+    """One row per shard, of at most SHARD_DOCS documents and, unless it is one document, SHARD_POSTINGS postings."""
     words_on_workers(docs.sparkSession)
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,21 +224,21 @@ def build_index(docs: DataFrame) -> DataFrame:
         own: list[tuple[np.ndarray, np.ndarray]] = []
         postings = 0
 
-        def row() -> pa.RecordBatch:
-            values = [pa.array([x], pa.binary()) for x in Shard.build(ids, own).packed()]
-            return pa.RecordBatch.from_arrays(values, list(Shard._fields))
+        def rows() -> Iterator[pa.RecordBatch]:
+            for shard in gathered(ids, own):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in shard.packed()], list(Shard._fields))
 
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), term_frequencies(batch.column("text")), strict=True):
                 ids.append(doc_id)
-                own.append(compact(term_frequencies(text)))
-                postings += len(own[-1][0])
-                if len(ids) == SHARD_DOCS or postings >= SHARD_POSTINGS:
-                    yield row()
+                own.append(found)
+                postings += len(found[0])
+                if postings >= GATHERED:
+                    yield from rows()
                     ids, own, postings = [], [], 0
         if ids:
-            yield row()
-        release(_held)
+            yield from rows()
+        release()
 
     return documents(docs, "doc_id", "text").mapInArrow(invert, ", ".join(f"{f} binary" for f in Shard._fields))
 
@@ -148,12 +246,26 @@ def build_index(docs: DataFrame) -> DataFrame:
 def document_frequencies(index: DataFrame) -> DataFrame:
     """term, df over all shards."""
 
+    def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        terms, df = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(terms, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(terms[order]) != 0])
+        terms, df = terms[order][first], np.add.reduceat(df[order], first)
+        for i in range(0, len(terms), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(df[i : i + 100_000])], ["term", "df"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 terms, start = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int64) for c in ("terms", "start"))
-                for i in range(0, len(terms), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(np.diff(start[i : i + 100_001]))], ["term", "df"])
+                if len(terms):
+                    found.append((terms.copy(), np.diff(start)))
+                if sum(len(x) for x, _ in found) >= SHARD_POSTINGS:
+                    yield from summed(found)
+                    found = []
+        if found:
+            yield from summed(found)
 
     return index.select("terms", "start").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -163,12 +275,12 @@ def query_vectors(queries: DataFrame, frequencies: DataFrame, n_docs: int) -> Da
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            found = [compact(term_frequencies(t)) for t in batch.column("text").to_pylist()]
+            found = term_frequencies(batch.column("text"))
             ids = np.repeat(batch.column("query_id").to_numpy(zero_copy_only=False), [len(terms) for terms, _ in found])
             terms = np.concatenate([x for x, _ in found]).astype(np.int64)
             times = np.concatenate([x for _, x in found]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms), pa.array(times)], ["query_id", "term", "times"])
-        release(_held)
+        release()
 
     each = queries.select("query_id", "text").mapInArrow(count, "query_id long, term long, times long")
     idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -214,78 +326,148 @@ class Side:
         return out.reshape(len(self.ids), width)
 
 
+@dataclass
+class Laid:
+    """What all sides need of a piece: largest contributions by term, postings by document, and tables of terms of like length."""
+
+    weight: np.ndarray
+    most: np.ndarray
+    table: np.ndarray
+    row: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]]
+    by_doc: np.ndarray
+    doc_terms: np.ndarray
+    doc_weights: np.ndarray
+    scratch: np.ndarray
+
+    @staticmethod
+    def out(piece: Shard, weight: np.ndarray) -> Laid:
+        length = np.diff(piece.start)
+        most = np.maximum.reduceat(weight, piece.start[:-1]) if len(length) else np.zeros(0)
+        # A table has the documents of terms in rows of one width, the last one repeated with nothing to add.
+        table = TABLES[np.minimum(length, len(TABLES) - 1)] if length.max(initial=0) < len(TABLES) else np.searchsorted(WIDTHS, length).astype(np.uint8)
+        row = np.zeros(len(length), np.int64)
+        tables: list = [None] * len(WIDTHS)
+        docs, light = piece.docs, weight.astype(np.float32)
+        for i in np.flatnonzero(np.bincount(table, minlength=len(WIDTHS))):
+            own = np.flatnonzero(table == i)
+            row[own] = np.arange(len(own))
+            at = np.minimum(np.arange(WIDTHS[i], dtype=np.int32), (length[own, None] - 1).astype(np.int32))
+            more = at < np.arange(WIDTHS[i], dtype=np.int32)
+            at += piece.start[own, None].astype(np.int32)
+            values = light.take(at)
+            values[more] = 0
+            tables[i] = docs.take(at).astype(np.int64), values
+        order = np.argsort(piece.docs.astype(np.uint16) if len(piece.ids) <= 1 << 16 else piece.docs, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(piece.docs, minlength=len(piece.ids)))]
+        return Laid(weight, most, table, row, tables, cuts, np.repeat(np.arange(len(length), dtype=np.int32), length)[order], weight[order], np.zeros(len(length)))
+
+
+def _add_pairs(flat: np.ndarray, laid: Laid, place: np.ndarray, cell: np.ndarray, value: np.ndarray) -> None:
+    """Adds to flat, from each cell on, the contributions of the term at each place; the places in order of their tables."""
+    cuts = np.searchsorted(laid.table[place], np.arange(len(WIDTHS) + 1))
+    cells, values = np.empty(EXPANDED, np.int64), np.empty(EXPANDED, np.float32)
+    row = laid.row[place]
+    for i in np.flatnonzero(np.diff(cuts)):
+        docs, weights = laid.tables[i]
+        width = docs.shape[1]
+        # Buffers are used again, as memory that comes from the system at each step costs more than the sums.
+        if width > len(cells):
+            cells, values = np.empty(width, np.int64), np.empty(width, np.float32)
+        step = len(cells) // width
+        for j in range(cuts[i], cuts[i + 1], step):
+            own = slice(j, min(j + step, cuts[i + 1]))
+            m = own.stop - own.start
+            at, v = cells[: m * width].reshape(m, width), values[: m * width].reshape(m, width)
+            docs.take(row[own], axis=0, out=at, mode="clip")
+            at += cell[own, None]
+            weights.take(row[own], axis=0, out=v, mode="clip")
+            v *= value[own, None]
+            np.add.at(flat, at.ravel(), v.ravel())
+
+
+def _exact(laid: Laid, place: np.ndarray, asker: np.ndarray, value: np.ndarray, query: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Scores in double precision of documents for queries, these ascending."""
+    out = np.zeros(len(query))
+    asked = np.zeros(asker.max(initial=0) + 1, bool)
+    asked[query] = True
+    own = np.flatnonzero(asked[asker])
+    own = own[np.argsort(asker[own].astype(np.uint16), kind="stable")]
+    place, value, cuts = place[own], value[own], np.r_[0, np.cumsum(np.bincount(asker[own]))].tolist()
+    order = np.argsort(doc, kind="stable")
+    last, scratch = -1, laid.scratch
+    for at, q, d in zip(order.tolist(), query[order].tolist(), doc[order].tolist(), strict=True):
+        if d != last:
+            if last >= 0:
+                scratch[terms] = 0
+            last, terms = d, laid.doc_terms[laid.by_doc[d] : laid.by_doc[d + 1]]
+            scratch[terms] = laid.doc_weights[laid.by_doc[d] : laid.by_doc[d + 1]]
+        out[at] = scratch[place[cuts[q] : cuts[q + 1]]] @ value[cuts[q] : cuts[q + 1]]
+    if last >= 0:
+        scratch[terms] = 0
+    return out
+
+
 def _match(side: Side, piece: Shard, at: np.ndarray, weight: np.ndarray, head: np.ndarray, k: int,
            floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query numbers, documents and exact scores of what may be among the k best of the side's queries.
 
     at: the places of the terms of head and then of the side's others in the piece, -1 if they aren't there.
     """
-    n, nq = len(piece.ids), len(side.ids)
-    blocks = -(-n // BLOCK)
+    n, nq, least = len(piece.ids), len(side.ids), floor - MARGIN
+    laid = piece.laid(weight)
     term = np.flatnonzero(at[len(head) :] >= 0)
     place, first = at[len(head) :][term], side.start[term]
-    many, length = side.start[term + 1] - first, piece.start[place + 1] - piece.start[place]
-    # A term of many queries and documents costs less as a column of a matrix than as pairs of postings.
-    crowded = many * length > CROWDED * nq * n
-    if np.count_nonzero(crowded) > HEAD_TERMS:
-        crowded[np.argsort(-many * length, kind="stable")[HEAD_TERMS:]] = False
-    # The rarer terms: every posting of a query meets every posting of its term here.
-    scores = np.zeros((nq, blocks * BLOCK))
-    flat = scores.ravel()
-    rare = ~crowded
-    posting = _ranges(first[rare], many[rare])
-    pairs, source = np.repeat(length[rare], many[rare]), np.repeat(piece.start[place[rare]], many[rare])
-    # Unpickled arrays hold a dtype of their own, with which np.add.at takes ten times as long; hence the view.
-    cells, values = side.queries[posting] * np.int32(scores.shape[1]), side.weights[posting].view(np.float64)
-    ends = np.cumsum(pairs)
-    i = 0
-    while i < len(posting):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + EXPANDED, "right")))
-        here = _ranges(source[i:j], pairs[i:j])
-        np.add.at(flat, np.repeat(cells[i:j], pairs[i:j]) + piece.docs[here], np.repeat(values[i:j], pairs[i:j]) * weight[here])
-        i = j
-    # The others: a matrix of weights, and its largest values by block as bounds.
-    held = np.flatnonzero(at[: len(head)] >= 0)
-    first, many, place = first[crowded], many[crowded], np.r_[at[held], place[crowded]]
-    asked = np.zeros((nq, len(place)))
-    if len(held):
-        asked[:, : len(held)] = side.matrix(len(head))[:, held]
+    many = side.start[term + 1] - first
     posting = _ranges(first, many)
-    asked[side.queries[posting], np.repeat(np.arange(len(held), len(place)), many)] = side.weights[posting]
-    length = piece.start[place + 1] - piece.start[place]
-    here = _ranges(piece.start[place], length)
-    cells, values = np.repeat(np.arange(len(place)) * scores.shape[1], length) + piece.docs[here], weight[here]
-    dense = np.zeros((len(place), blocks * BLOCK), np.float32)
-    dense.ravel()[cells] = values
+    # Unpickled arrays hold a dtype of their own, with which numpy takes far longer; hence the view.
+    place, asker, value = np.repeat(place, many), side.queries.take(posting), side.weights.view(np.float64).take(posting)
+    if len(side.cells):
+        cell, column = np.divmod(side.cells, np.int32(len(head)))
+        there = at[column] >= 0
+        place, asker, value = np.r_[at[column][there], place], np.r_[cell[there], asker], np.r_[side.values[there], value]
+    # What a query could reach if one document had each term at its most: hardly anything where the languages differ.
+    reach = np.bincount(asker, value * laid.most.take(place), nq)
+    alive = (reach * (1 + 1e-9) >= least) & (reach > 0)
+    rows = np.flatnonzero(alive)
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if len(rows) < nq:
+        own = np.flatnonzero(alive.take(asker))
+        place, asker, value = place.take(own), (np.cumsum(alive) - 1).take(asker.take(own)), value.take(own)
+    asker = asker.astype(np.int64)
+    # A term of many queries and documents costs less as a column of a matrix than as pairs of postings.
+    pairs = np.bincount(place, minlength=len(laid.most)) * np.diff(piece.start)
+    crowded = np.flatnonzero(pairs > CROWDED * len(rows) * n)
+    if len(crowded) > HEAD_TERMS:
+        crowded = crowded[np.argsort(-pairs[crowded], kind="stable")[:HEAD_TERMS]]
+    column = np.full(len(laid.most), -1)
+    column[crowded] = np.arange(len(crowded))
+    of = column[place]
+    dense = of >= 0
+    asked = np.zeros((len(rows), len(crowded)), np.float32)
+    asked.ravel()[asker[dense] * len(crowded) + of[dense]] = value[dense]
+    length = piece.start[crowded + 1] - piece.start[crowded]
+    here = _ranges(piece.start[crowded], length)
+    columns = np.zeros((len(crowded), n), np.float32)
+    columns.ravel()[np.repeat(np.arange(len(crowded)) * n, length) + piece.docs[here]] = weight[here]
+    upper = asked @ columns
+    rare = np.flatnonzero(~dense)
+    rare = rare[np.argsort(laid.table[place[rare]], kind="stable")]
+    _add_pairs(upper.ravel(), laid, place[rare], asker[rare] * n, value[rare].astype(np.float32))
     # Sums in single precision, of nothing below 0, are off by less than this share of themselves.
-    off = np.float32(1 + (len(place) + 4) * 2.0**-23)
-    rough = asked.astype(np.float32) * off
-    least = floor - MARGIN
-    done = scores.reshape(nq, blocks, BLOCK).max(2) + rough @ dense.reshape(len(place), blocks, BLOCK).max(2) * off >= least[:, None]
-    upper = scores.copy()
-    for block in np.flatnonzero(done.any(0)):
-        part = slice(block * BLOCK, (block + 1) * BLOCK)
-        q = np.flatnonzero(done[:, block])
-        if 2 * len(q) > nq:
-            upper[:, part] += rough @ dense[:, part]
-        else:
-            upper[q, part] += rough[q] @ dense[:, part]
-    # Places left out hold parts of scores, which stay below least.
-    found = np.flatnonzero(upper >= np.maximum(least, np.finfo(float).tiny)[:, None])
-    if len(found) > 4 * k * nq:
+    off = 1 + (np.bincount(asker).max() + 8) * 2.0**-23
+    least = least[rows]
+    found = np.flatnonzero(upper >= np.maximum(least / off, np.finfo(np.float32).tiny).astype(np.float32)[:, None] * np.float32(1 - 2**-22))
+    if len(found) > 4 * k * len(rows) and n >= k:
         # While few documents are known: only what the k-th largest, less what it may be off, doesn't rule out.
-        kth = np.partition(upper, -k, axis=1)[:, -k] if upper.shape[1] >= k else least
-        least = np.maximum(least, kth / float(off) ** 4 - MARGIN)
-        found = found[upper.ravel()[found] >= least[found // upper.shape[1]]]
-    query, doc = np.divmod(found, upper.shape[1])
-    exact = scores.ravel()[found]
-    if len(place):
-        columns = np.zeros((blocks * BLOCK, len(place)))
-        columns.ravel()[piece.docs[here].astype(np.int64) * len(place) + np.repeat(np.arange(len(place)), length)] = values
-        for i in range(0, len(found), 256):
-            exact[i : i + 256] += np.einsum("ij,ij->i", asked[query[i : i + 256]], columns[doc[i : i + 256]])
+        kth = np.partition(upper, -k, axis=1)[:, -k]
+        least = np.maximum(least / off, (kth / off - MARGIN) / off)
+        found = found[upper.ravel()[found] >= (least * (1 - 2.0**-22))[found // n]]
+    query, doc = np.divmod(found, n)
+    exact = _exact(laid, place, asker, value, query, doc)
     real = exact > 0
-    return query[real], piece.ids[doc[real]], exact[real]
+    return rows[query[real]], piece.ids[doc[real]], exact[real]
 
 
 def search_shard(side: Side, shard: Shard, head: np.ndarray, mean_length: float, k: int, floor: np.ndarray,
@@ -340,12 +522,16 @@ class Best:
         self.floor[full] = least[full]
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column, as arrays."""
+    column = column.combine_chunks()
+    return np.split(column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
+
+
 def sides_of(ids: list[int], terms: list[np.ndarray], weights: list[np.ndarray]) -> list[Side]:
-    """The queries in sides of like ones, by the term that tells most of their language and by length."""
-    seen, number, often = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
-    cuts = np.cumsum([len(t) for t in terms])[:-1]
-    lead = [int(n[np.argmax(w * often[n])]) if len(n) else -1 for n, w in zip(np.split(number, cuts), weights, strict=True)]
-    order = sorted(range(len(ids)), key=lambda i: (lead[i], len(terms[i]), ids[i]))
+    """The queries in sides of like ones, by kind and by length."""
+    kind = kinds(list(zip(terms, weights, strict=True)), SIDE // FEW)
+    order = sorted(range(len(ids)), key=lambda i: (kind[i], len(terms[i]), ids[i]))
     sides = (order[i : i + SIDE] for i in range(0, len(order), SIDE))
     return [Side.build([ids[i] for i in own], [terms[i] for i in own], [weights[i] for i in own], NO_HEAD) for own in sides]
 
@@ -377,26 +563,26 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = TOP, query_postings:
     postings = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, math.ceil(postings / query_postings))
     vectors = vectors.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    tasks = spark.sparkContext.defaultParallelism
     kind = "query_id long, doc_id long, score double"
     parts = []
     for block in range(blocks):
         rows = vectors.where(F.col("block") == block).orderBy("query_id").toArrow()
         if not rows.num_rows:
             continue
-        terms = [np.asarray(t, np.int64) for t in rows.column("terms").to_pylist()]
-        weights = [np.asarray(w, float) for w in rows.column("weights").to_pylist()]
+        terms, weights = (_lists(rows.column(c)) for c in ("terms", "weights"))
         shared = spark.sparkContext.broadcast(sides_of(rows.column("query_id").to_pylist(), terms, weights))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sides = shared.value
             wanted = np.unique(np.concatenate([side.terms for side in sides]))
             numbers = [np.searchsorted(wanted, side.terms) for side in sides]
+            places = Places(wanted)
             best = [Best(len(side.ids), k) for side in sides]
             place = np.full(len(wanted), -1)
             for batch in batches:
                 for shard in Shard.unpacked(batch):
-                    for piece in shard.pieces(wanted, PIECE_DOCS):
+                    for piece in shard.pieces(places, BLOCK):
                         weight = piece.contributions(mean_length)
                         place[piece.terms] = np.arange(len(piece.terms))
                         for side, number, own in zip(sides, numbers, best, strict=True):

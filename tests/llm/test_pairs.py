@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,46 @@ def test_pieces_of_a_shard_find_what_the_shard_does(monkeypatch):
     for i, (ids, scores) in enumerate(whole):
         mine = best.query == i
         assert best.ids[mine].tolist() == ids.tolist() and np.allclose(best.scores[mine], scores, rtol=1e-12)
+
+
+def test_words_are_those_of_python():
+    texts = ["  a  B\tc\n\x0b x\x0cy\r\n", None, "", " ", "É é ÀB \x1cq\x85w İ", "the The THE", " lead", "trail ", "a\x00b A\x00B a\x00c"]
+    got = search.term_frequencies(pa.array(texts, pa.string()))
+    assert [sorted(times.tolist()) for _, times in got] == [sorted(Counter((t or "").encode().lower().split()).values()) for t in texts]
+    number = {}
+    for (terms, times), text in zip(got, texts, strict=True):
+        want = Counter((text or "").encode().lower().split())
+        assert len(set(terms.tolist())) == len(want)
+        if len(want) == 1:
+            assert number.setdefault(next(iter(want)), terms[0]) == terms[0]
+
+
+def test_shards_hold_like_documents_longest_first(spark):
+    """Languages and lengths shared shards before, and no shard could be left out."""
+    rng = random.Random(1)
+    text = lambda i: " ".join(["ab"[i % 2] + str(int(rng.paretovariate(0.6)) % 300) for _ in range(rng.randint(20, 300))])
+    docs = spark.createDataFrame([(i, text(i)) for i in range(160)], "doc_id long, text string").coalesce(1)
+    rows = search.build_index(docs).collect()
+    ids, lengths = ([np.frombuffer(r[c], np.int64) for r in rows] for c in ("ids", "lengths"))
+    assert len(rows) == 2 and all(len(set((x % 2).tolist())) == 1 for x in ids)
+    assert sorted(np.concatenate(ids).tolist()) == list(range(160))
+    assert all((np.diff(n) <= 0).all() for n in lengths)
+
+
+def test_queries_leave_out_what_cannot_reach_their_floors(monkeypatch):
+    """Rare terms were paired whatever the floor: 2,400 pairs and their 1,200 postings."""
+    made, ranges = [], search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda start, length: made.append(int(np.sum(length))) or ranges(start, length))
+    rng, none = np.random.default_rng(2), np.zeros(0, np.uint64)
+    held = lambda: [np.flatnonzero(row) + 1 for row in (rng.random((600, 64)).argsort(1).argsort(1) < 2).T]
+    asked, own = held(), [Counter(t.tolist()) for t in held()]
+    side = search.Side.build(list(range(64)), asked, [np.ones(len(t)) for t in asked], none)
+    shard = search.Shard.build(list(range(64)), own)
+    least = np.array([2.2 * len(t) + 1 for t in asked])
+    assert all(len(ids) == 0 for ids, _ in search.search_shard(side, shard, none, 20.0, 3, least))
+    assert sum(made) <= 1200
+    least[5] = -1  # one that has no floor is searched alone
+    found = search.search_shard(side, shard, none, 20.0, 3, least)
+    scores = [sum(1 * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(c) / 20)) for t in asked[5].tolist() if t in c) for c in own]
+    assert sorted(np.round(found[5][1], 9).tolist())[-3:] == sorted(np.round(scores, 9).tolist())[-3:]
+    assert all(len(ids) == 0 for i, (ids, _) in enumerate(found) if i != 5)
