@@ -459,11 +459,12 @@ def _match(side: Side, piece: Shard, at: np.ndarray, weight: np.ndarray, head: n
     off = 1 + (np.bincount(asker).max() + 8) * 2.0**-23
     least = least[rows]
     found = np.flatnonzero(upper >= np.maximum(least / off, np.finfo(np.float32).tiny).astype(np.float32)[:, None] * np.float32(1 - 2**-22))
-    if len(found) > 4 * k * len(rows) and n >= k:
+    many = np.flatnonzero(np.bincount(found // n, minlength=len(rows)) > 2 * k)
+    if len(many) and n >= k:
         # While few documents are known: only what the k-th largest, less what it may be off, doesn't rule out.
-        kth = np.partition(upper, -k, axis=1)[:, -k]
-        least = np.maximum(least / off, (kth / off - MARGIN) / off)
-        found = found[upper.ravel()[found] >= (least * (1 - 2.0**-22))[found // n]]
+        kth = np.partition(upper[many], -k, axis=1)[:, -k].astype(np.float64)
+        least[many] = np.maximum(least[many], kth / off - MARGIN)
+        found = found[upper.ravel()[found] >= (least / off * (1 - 2.0**-22))[found // n]]
     query, doc = np.divmod(found, n)
     exact = _exact(laid, place, asker, value, query, doc)
     real = exact > 0
