@@ -529,8 +529,17 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
 
 
+def _once(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending terms, each once with the sum of its weights: rows that share a query_id repeat terms."""
+    if (terms[1:] != terms[:-1]).all():
+        return terms, weights
+    first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+    return terms[first], np.add.reduceat(weights, first)
+
+
 def sides_of(ids: list[int], terms: list[np.ndarray], weights: list[np.ndarray]) -> list[Side]:
     """The queries in sides of like ones, by kind and by length."""
+    terms, weights = zip(*map(_once, terms, weights), strict=True)
     kind = kinds(list(zip(terms, weights, strict=True)), SIDE // FEW)
     order = sorted(range(len(ids)), key=lambda i: (kind[i], len(terms[i]), ids[i]))
     sides = (order[i : i + SIDE] for i in range(0, len(order), SIDE))

@@ -249,3 +249,16 @@ def test_queries_leave_out_what_cannot_reach_their_floors(monkeypatch):
     scores = [sum(1 * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(c) / 20)) for t in asked[5].tolist() if t in c) for c in own]
     assert sorted(np.round(found[5][1], 9).tolist())[-3:] == sorted(np.round(scores, 9).tolist())[-3:]
     assert all(len(ids) == 0 for i, (ids, _) in enumerate(found) if i != 5)
+
+
+def test_queries_that_share_an_id_are_one_of_all_their_words(spark):
+    """A term of both rows counted once where it was a column of the matrix, twice where it was paired."""
+    rng = random.Random(6)
+    word = lambda: "w" + str(int(rng.paretovariate(0.8)) % 200)
+    rows = [(i, " ".join(word() for _ in range(40))) for i in range(60)]
+    queries = [(1, rows[1][1]), (1, rows[1][1]), (2, rows[2][1]), (2, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = search.search(docs, spark.createDataFrame(queries, "query_id long, text string"), k=5).collect()
+    want = plain_search(rows, [(1, " ".join([rows[1][1]] * 2)), (2, f"{rows[2][1]} {rows[3][1]}")], 5)
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(x[:3] for x in want)
+    assert np.allclose(sorted(r["score"] for r in got), sorted(x[3] for x in want), atol=2e-6)
